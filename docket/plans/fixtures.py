@@ -64,11 +64,11 @@ def notices_sql(div: str = SPARK_DIV) -> str:
 
 
 def expected_labels_sql(div: str = SPARK_DIV) -> str:
-    """Notices with their known `noccur` and `similar` (the fixture answer)."""
+    """Notices with their known `noccur` and `sim` = expected `similar` (the fixture answer)."""
     return f"""
 SELECT row_id, dia, processo, jornal, mode, v, intimacao,
        CASE WHEN v = 9 THEN 1 ELSE 9 END AS noccur,
-       CASE WHEN ev = -1 THEN -1 ELSE row_id - v + ev END AS similar
+       CASE WHEN ev = -1 THEN -1 ELSE row_id - v + ev END AS sim
 FROM (SELECT *, {EXPECTED_V_SQL} AS ev FROM ({notices_sql(div)}) q) x
 """
 
