@@ -28,6 +28,7 @@ from typing import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT, TriageConfig, UNDECIDED
 from .nearcopy import _cut, _union_all
@@ -115,7 +116,8 @@ class CallableJudge:
 
     def respond(self, tries: DataFrame) -> DataFrame:
         fn = self.fn
-        schema = tries.schema.add("response", "string")
+        # StructType.add mutates in place; build a new schema instead.
+        schema = T.StructType([*tries.schema.fields, T.StructField("response", T.StringType())])
 
         def run(batches):
             for pdf in batches:

@@ -1,0 +1,63 @@
+"""Token diff (X1-X3): fast path against the full Differ walk, and edge cases."""
+import random
+
+from hypothesis import given, settings, strategies as st
+
+from docket.functions.tokendiff import first_diffs, marker_edge, token_diff, two_sided
+from model import MARKER, differ_facts
+
+M = MARKER
+tokens = st.lists(st.sampled_from(["a", "b", "c", M, "x", "y"]), max_size=12)
+
+
+@settings(max_examples=400, deadline=None)
+@given(tokens, tokens)
+def test_fast_path_equals_differ(a, b):
+    ta, tb = " ".join(a), " ".join(b)
+    got = token_diff(ta, tb, M, 5)
+    exp = differ_facts(ta, tb)
+    assert got[:4] == exp[:4]
+    assert got[4] == exp[4]
+    assert two_sided(ta, tb) == exp[3]
+    assert marker_edge(ta, tb, M, 5) == exp[4]
+
+
+def test_long_lists_with_popular_tokens():
+    rng = random.Random(7)
+    for _ in range(40):
+        base = [rng.choice(["de", "a", "o", M, "juiz"] + [f"w{i}" for i in range(30)]) for _ in range(260)]
+        other = list(base)
+        for _ in range(rng.randint(1, 25)):
+            other[rng.randrange(len(other))] = rng.choice(["de", "a", "x1", "x2"])
+        a, b = " ".join(base), " ".join(other)
+        assert token_diff(a, b, M, 5) == differ_facts(a, b)
+
+
+def test_whitespace_only_is_not_a_change():
+    assert token_diff("a  b c", "a b c", M, 5)[:4] == (0, None, None, False)
+
+
+def test_insertion_only_is_one_sided():
+    assert two_sided("a b c", "a b x c") is False
+
+
+def test_marker_window_distances():
+    # marker 1, 5 and 6 tokens before the first difference
+    pre = "t1 t2 t3 t4 t5 t6"
+    assert marker_edge(f"{pre} {M} A", f"{pre} {M} B", M, 5)
+    assert marker_edge(f"{pre} {M} k1 k2 k3 k4 A", f"{pre} {M} k1 k2 k3 k4 B", M, 5)
+    assert not marker_edge(f"{pre} {M} k1 k2 k3 k4 k5 A", f"{pre} {M} k1 k2 k3 k4 k5 B", M, 5)
+
+
+def test_python_slice_rule_for_short_lists():
+    assert marker_edge(f"a b {M} X", f"a b {M} Y", M, 5)          # 4 tokens: window wraps
+    assert not marker_edge(f"a b c {M} X", f"a b c {M} Y", M, 5)  # 5 tokens: empty window
+    assert marker_edge(f"a b c {M} X", f"a b c {M} Y", M, 5, python_slices=False)
+
+
+def test_earlier_difference_blocks_merge():
+    assert not marker_edge(f"n 1 {M} ANA", f"n 2 {M} JOSE", M, 5)
+
+
+def test_first_diffs_counts():
+    assert first_diffs("a b c".split(), "a x c".split()) == (2, 1, 1)
