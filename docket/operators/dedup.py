@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, TriageConfig, UNDECIDED
 from ..functions.text import fingerprint
-from .nearcopy import near_copy_labels
+from .nearcopy import _cut, near_copy_labels
 
 _FP = "_fp"
 
@@ -84,7 +84,9 @@ def label_similar_with_rejects(df: DataFrame, cfg: TriageConfig = DEFAULT):
     d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
     cols = df.columns
     kept, rejected_keys = split_null_keys(df, cfg)
-    facts = copy_facts(kept, cfg)
+    # Materialised once: the decided rows, the residue and the rejects all
+    # read it, and the near-copy rounds iterate over the residue.
+    facts = _cut(copy_facts(kept, cfg).drop(_FP))
     null_text = F.col(t).isNull() & (F.col("noccur") > 1)
     rejected = rejected_keys.unionByName(
         facts.where(null_text).select(*cols).withColumn("reason", F.lit("null_text")))

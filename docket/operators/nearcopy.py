@@ -177,7 +177,7 @@ def near_copy_labels(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
     """W3 + X5 + W4 over the residue. Output: (day, row_id, similar)."""
     d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
     res = residue.select(d, k_, r, t)
-    ks = sticky_start(res, cfg)
+    ks = _cut(sticky_start(res, cfg))
     with_k = res.join(ks, [d, k_], "left")
     late = with_k.where(F.col("k").isNotNull() & (F.col(r) >= F.col("k"))).drop("k")
     early = with_k.where(F.col("k").isNull() | (F.col(r) < F.col("k"))).select(d, k_, r)
