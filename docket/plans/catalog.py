@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT as CFG
 from ..operators import dedup, match, quality, report
 from ..operators.nearcopy import _cut
+from ..operators.ranking import rank_within
 from ..operators.similarity import tfidf_cosine
 from ..functions.text import iso_cleanup
 from ..functions.tokendiff import token_diff_udf
@@ -104,6 +105,25 @@ def q_filtered_notices(spark, sf):
         "row_id", "dia", "processo", "similar", "undecided_flag")
 
 
+def q_representatives(spark, sf):
+    return dedup.representatives(_labelled(spark, sf), CFG).select("row_id", "dia", "processo")
+
+
+def q_undecided_rows(spark, sf):
+    return dedup.undecided(_labelled(spark, sf)).select("row_id", "dia", "processo")
+
+
+def q_decided_flag(spark, sf):
+    return dedup.decided_flag(_labelled(spark, sf)).select("row_id", "decided")
+
+
+def q_filtered_order(spark, sf):
+    """O1 as an explicit position per day: representatives, then undecided."""
+    f = dedup.filtered(_labelled(spark, sf), CFG)
+    ranked = rank_within(f, ["dia"], "row_id", out="filter_pos", extra_order=[F.col("undecided_flag")])
+    return ranked.select("row_id", "dia", "filter_pos")
+
+
 def q_undecided_per_case(spark, sf):
     return report.undecided_per_case(_labelled(spark, sf), CFG)
 
@@ -274,6 +294,10 @@ def q_manifest_files(spark, sf):
     return landing.manifest_files(listed).select("name", "generation", "file_name")
 
 
+def q_manifest_generations(spark, sf):
+    return landing.generations(landing.list_prefix(_objects(spark, sf), "compare"))
+
+
 def q_manifest_count(spark, sf):
     return landing.manifest_count(landing.list_prefix(_objects(spark, sf), "compare"))
 
@@ -302,6 +326,10 @@ QUERIES = {
     "label_similar": q_label_similar,
     "label_similar_documents": q_label_similar_documents,
     "filtered_notices": q_filtered_notices,
+    "representatives": q_representatives,
+    "undecided_rows": q_undecided_rows,
+    "decided_flag": q_decided_flag,
+    "filtered_order": q_filtered_order,
     "undecided_per_case": q_undecided_per_case,
     "day_summary": q_day_summary,
     "distinct_cases": q_distinct_cases,
@@ -327,6 +355,7 @@ QUERIES = {
     "landing_refused": q_landing_refused,
     "content_type": q_content_type,
     "manifest_files": q_manifest_files,
+    "manifest_generations": q_manifest_generations,
     "manifest_count": q_manifest_count,
     "account_checks": q_account_checks,
     "account_quality": q_account_quality,
@@ -427,6 +456,11 @@ ORACLES = {
         CAST(CASE WHEN noccur = 1 THEN row_id WHEN n_exact >= 2 THEN leader ELSE -1 END AS BIGINT) AS "similar" FROM w""",
     "label_similar": f'WITH {_N}, {_LAB} SELECT row_id, dia, processo, CAST(noccur AS BIGINT) AS noccur, CAST(sim AS BIGINT) AS "similar" FROM lab',
     "filtered_notices": f'WITH {_N}, {_LAB}, {_F} SELECT row_id, dia, processo, CAST(sim AS BIGINT) AS "similar", undecided_flag FROM f',
+    "representatives": f"WITH {_N}, {_LAB} SELECT row_id, dia, processo FROM lab WHERE sim = row_id",
+    "undecided_rows": f"WITH {_N}, {_LAB} SELECT row_id, dia, processo FROM lab WHERE sim = -1",
+    "decided_flag": f"WITH {_N}, {_LAB} SELECT row_id, sim >= 0 AS decided FROM lab",
+    "filtered_order": f"""WITH {_N}, {_LAB}, {_F} SELECT row_id, dia,
+        row_number() OVER (PARTITION BY dia ORDER BY undecided_flag, row_id) - 1 AS filter_pos FROM f""",
     "undecided_per_case": f"WITH {_N}, {_LAB} SELECT dia, processo, count(*) FILTER (WHERE sim = -1) AS n_undecided FROM lab GROUP BY dia, processo",
     "day_summary": f"""WITH {_N}, {_LAB} SELECT dia, count(*) FILTER (WHERE sim >= 0) AS decided,
         count(*) FILTER (WHERE sim < 0) AS undecided, count(*) AS total,
@@ -469,6 +503,7 @@ ORACLES = {
     "content_type": f"SELECT page_id AS \"order\", {_CTYPE} AS content_type FROM pages",
     "manifest_files": f"""WITH {_OBJECTS} SELECT name, generation, 'turn_' || CAST(turn AS VARCHAR) || '.xlsx' AS file_name
         FROM objs WHERE starts_with(name, 'compare')""",
+    "manifest_generations": f"WITH {_OBJECTS} SELECT DISTINCT generation FROM objs WHERE starts_with(name, 'compare')",
     "manifest_count": f"WITH {_OBJECTS} SELECT greatest(count(DISTINCT name), 1) AS n_manifests FROM objs WHERE starts_with(name, 'compare')",
     "account_checks": f"WITH {_ACCOUNTS}, {_CHECKS} SELECT * FROM chk",
     "account_quality": f"""WITH {_ACCOUNTS}, {_CHECKS} SELECT count(*) FILTER (WHERE NOT username_ok) AS username_ok_failures,
