@@ -23,6 +23,8 @@ HEADLINE = [
     "label_similar",
     "exact_copy_documents",
     "label_similar_documents",
+    "label_similar_orders",
+    "label_similar_hot",
     "first_match",
     "first_match_offline",
     "two_day_report",

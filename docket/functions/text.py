@@ -18,8 +18,15 @@ def _python_whitespace_class() -> str:
     Built from the rule ``str.isspace`` so JVM tokens equal Python tokens
     (Java's ``\\s`` misses e.g. the no-break space).
     """
-    chars = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()]
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+    points = [i for i in range(sys.maxunicode + 1) if chr(i).isspace()]
+    # Consecutive code points become ranges: a short class matches faster.
+    ranges, start = [], points[0]
+    for prev, cur in zip(points, points[1:] + [None]):
+        if cur != prev + 1:
+            ranges.append((start, prev))
+            start = cur
+    return "[" + "".join(f"\\u{a:04x}" if a == b else f"\\u{a:04x}-\\u{b:04x}"
+                         for a, b in ranges) + "]"
 
 
 PY_WS = _python_whitespace_class()

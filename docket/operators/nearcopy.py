@@ -46,15 +46,17 @@ def _union_all(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts, empty)
 
 
-# Heads tried per group in the first round: several for ordinary groups (one
-# round usually settles them), one for huge groups, doubling each round.
-SMALL_GROUP = 4096
-FIRST_WIDTH_SMALL = 8
+# Heads per group: one in the first round (it settles ordinary groups, and
+# a wider first round would multiply the diff work), then eight times more
+# each round, up to MAX_WIDTH, so long chains of undecidable rows and groups
+# with many leaders need few rounds.
+FIRST_WIDTH = 1
+GROWTH = 8
 MAX_WIDTH = 64
 
 
 def _first_width(n):
-    return F.when(n <= SMALL_GROUP, F.lit(FIRST_WIDTH_SMALL)).otherwise(F.lit(1)).cast("bigint")
+    return F.lit(FIRST_WIDTH).cast("bigint")
 
 
 def sticky_start(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
@@ -63,10 +65,9 @@ def sticky_start(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
     Input columns: day, key, row_id, text.  Output: (day, key, k) for the cases
     that have one; cases without ``k`` are absent.
 
-    Each round tries the next few rows of every unresolved case as heads (the
-    count doubles per round, up to MAX_WIDTH), so a round costs at most
-    width x n pairs for a case of n rows; each head is compared only with
-    the rows after it.
+    Each round tries the next few rows of every unresolved case as heads (1,
+    then 8, then 64), so a round costs at most width x n pairs for a case of
+    n rows; each head is compared only with the rows after it.
     """
     d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
     ranked = _cut(rank_within(residue.select(d, k_, r, t), [d, k_], r, out="_rank"))
@@ -87,21 +88,24 @@ def sticky_start(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
         found.append(verdict.where(F.col("k").isNotNull()))
         active = _cut(active.join(verdict.where(F.col("k").isNull()).select(d, k_), [d, k_])
                       .withColumn("_lo", F.col("_lo") + F.col("_w"))
-                      .withColumn("_w", F.least(F.col("_w") * 2, F.lit(MAX_WIDTH)))
+                      .withColumn("_w", F.least(F.col("_w") * GROWTH, F.lit(MAX_WIDTH)))
                       .where(F.col("_lo") < F.col("_n") - 1))
     spark = residue.sparkSession
     empty = spark.createDataFrame([], residue.select(d, k_, F.col(r).alias("k")).schema)
     return _union_all(found, empty)
 
 
-def marker_blocks(text, cfg: TriageConfig):
-    """Hashes of every token prefix that ends with a marker occurrence."""
-    toks = py_tokens(text)
+def marker_blocks(tokens, cfg: TriageConfig):
+    """Hashes of every token prefix that ends with a marker occurrence.
+
+    ``tokens`` must be a column reference (not an expression) so the split
+    is not re-run inside the lambdas.
+    """
     positions = F.filter(
-        F.transform(toks, lambda tok, i: F.when(tok == F.lit(cfg.marker), i + 1)),
+        F.transform(tokens, lambda tok, i: F.when(tok == F.lit(cfg.marker), i + 1)),
         lambda p: p.isNotNull())
     return F.transform(positions,
-                       lambda p: F.xxhash64(F.array_join(F.slice(toks, 1, p), " ")))
+                       lambda p: F.xxhash64(F.array_join(F.slice(tokens, 1, p), " ")))
 
 
 def leader_clusters(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
@@ -120,8 +124,16 @@ def leader_clusters(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
     """
     d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
     edge = marker_edge_udf(cfg.marker, cfg.window, cfg.python_slices)
-    blocked = rows.select(d, k_, r, t).withColumn("_blocks", marker_blocks(F.col(t), cfg))
+    # Rows without the marker string skip tokenizing altogether.
+    has_marker = F.col(t).contains(cfg.marker)
+    blocked = (rows.select(d, k_, r, t)
+               .withColumn("_toks", F.when(has_marker, py_tokens(F.col(t)))
+                           .otherwise(F.array().cast("array<string>")))
+               .withColumn("_blocks", marker_blocks(F.col("_toks"), cfg))
+               .drop("_toks"))
     # A row without a marker can neither join a leader nor be joined.
+    # Materialised: tokenizing is the costly part and several branches read it.
+    blocked = _cut(blocked)
     alone = blocked.where(F.size("_blocks") == 0).select(d, r, F.col(r).alias("similar"))
     marked = blocked.where(F.size("_blocks") > 0)
     multi = marked.groupBy(d, k_).agg(F.max(F.size("_blocks")).alias("_mb"))
@@ -137,7 +149,7 @@ def leader_clusters(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
     out: list[DataFrame] = [alone]
     rnd = 0
     while not work.isEmpty():
-        width = F.least(F.col("_w0") * F.lit(2 ** rnd), F.lit(MAX_WIDTH))
+        width = F.least(F.col("_w0") * F.lit(GROWTH ** rnd), F.lit(MAX_WIDTH))
         lo = work.groupBy(*g).agg(F.min("_rank").alias("_lo"))
         heads = (work.join(lo, g).where(F.col("_rank") < F.col("_lo") + width)
                  .select(*g, F.col(r).alias("_h"), F.col(t).alias("_h_text"),

@@ -100,6 +100,28 @@ def q_label_similar_documents(spark, sf):
     return dedup.label_similar(docs, CFG).select("row_id", "processo", "noccur", "similar")
 
 
+def _order_notices(spark, sf, key: str):
+    """Notices built from ``orders``: a fixed header ending with the marker,
+    then priority and customer (or status).  Any two different texts of a
+    case differ within 5 tokens after the marker, so the expected labels have
+    a closed form (see the oracle)."""
+    o = _table(spark, sf, "orders")
+    o.createOrReplaceTempView("orders")
+    return spark.sql(ORDER_NOTICES_SQL.format(key=key))
+
+
+def q_label_similar_orders(spark, sf):
+    """Whole labelling over ``orders``, one case per customer."""
+    lab = dedup.label_similar(_order_notices(spark, sf, "o_custkey"), CFG)
+    return lab.select("row_id", "processo", "noccur", "similar")
+
+
+def q_label_similar_hot(spark, sf):
+    """Whole labelling over ``orders`` with three hot cases (order status)."""
+    lab = dedup.label_similar(_order_notices(spark, sf, "o_orderstatus"), CFG)
+    return lab.select("row_id", "processo", "noccur", "similar")
+
+
 def q_filtered_notices(spark, sf):
     return dedup.filtered(_labelled(spark, sf), CFG).select(
         "row_id", "dia", "processo", "similar", "undecided_flag")
@@ -325,6 +347,8 @@ QUERIES = {
     "exact_copy_documents": q_exact_copy_documents,
     "label_similar": q_label_similar,
     "label_similar_documents": q_label_similar_documents,
+    "label_similar_orders": q_label_similar_orders,
+    "label_similar_hot": q_label_similar_hot,
     "filtered_notices": q_filtered_notices,
     "representatives": q_representatives,
     "undecided_rows": q_undecided_rows,
@@ -366,6 +390,30 @@ QUERIES = {
 # DuckDB side (the oracle).  Built on the fixture's known answers, not on
 # our Spark code.
 
+# The order notice text.
+ORDER_NOTICES_SQL = """
+SELECT o_orderkey AS row_id, CAST(0 AS BIGINT) AS dia, CAST({key} AS VARCHAR(64)) AS processo,
+       concat('Pedido de venda com chave ', CAST({key} AS VARCHAR(64)), ' Intimado(s)/Citado(s): ',
+              o_orderpriority, ' ', CAST(o_custkey AS VARCHAR(64)), ' ', o_orderstatus) AS intimacao
+FROM orders
+"""
+
+
+def _order_labels_oracle(key: str) -> str:
+    """Closed form: singletons and exact copies as usual; every other pair of
+    a case is a two-sided marker edge, so the first residue row leads all the
+    residue (or represents itself when it is alone)."""
+    notices = ORDER_NOTICES_SQL.format(key=key)
+    return f"""WITH o AS ({notices}),
+w AS (SELECT row_id, processo, count(*) OVER (PARTITION BY processo) AS noccur,
+      count(*) OVER (PARTITION BY processo, intimacao) AS n_exact,
+      min(row_id) OVER (PARTITION BY processo, intimacao) AS leader FROM o),
+r AS (SELECT *, count(*) FILTER (WHERE n_exact = 1 AND noccur > 1) OVER (PARTITION BY processo) AS n_res,
+      min(CASE WHEN n_exact = 1 THEN row_id END) OVER (PARTITION BY processo) AS first_res FROM w)
+SELECT row_id, processo, noccur, CAST(CASE WHEN noccur = 1 THEN row_id WHEN n_exact >= 2 THEN leader
+       WHEN n_res >= 2 THEN first_res ELSE row_id END AS BIGINT) AS "similar" FROM r"""
+
+
 VERDICTS_SQL = f"""
 SELECT c.row_id AS cur_id, p.row_id AS prev_id, {fixtures.VERDICT_RESPONSE_SQL} AS response
 FROM notices c JOIN notices p ON c.processo = p.processo
@@ -455,6 +503,8 @@ ORACLES = {
         SELECT row_id, processo, noccur,
         CAST(CASE WHEN noccur = 1 THEN row_id WHEN n_exact >= 2 THEN leader ELSE -1 END AS BIGINT) AS "similar" FROM w""",
     "label_similar": f'WITH {_N}, {_LAB} SELECT row_id, dia, processo, CAST(noccur AS BIGINT) AS noccur, CAST(sim AS BIGINT) AS "similar" FROM lab',
+    "label_similar_orders": _order_labels_oracle("o_custkey"),
+    "label_similar_hot": _order_labels_oracle("o_orderstatus"),
     "filtered_notices": f'WITH {_N}, {_LAB}, {_F} SELECT row_id, dia, processo, CAST(sim AS BIGINT) AS "similar", undecided_flag FROM f',
     "representatives": f"WITH {_N}, {_LAB} SELECT row_id, dia, processo FROM lab WHERE sim = row_id",
     "undecided_rows": f"WITH {_N}, {_LAB} SELECT row_id, dia, processo FROM lab WHERE sim = -1",
