@@ -42,6 +42,19 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def udf_partitions(spark: SparkSession) -> int:
+    """Partitions for a CPU-heavy Python step: a few per core of the cluster."""
+    return max(2 * spark.sparkContext.defaultParallelism,
+               int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, col: str) -> DataFrame:
+    """Even out rows before a Python UDF.  After a join on the case key one
+    hot case sits in one partition; the diff is CPU-bound, so the pairs are
+    re-hashed on the row id.  A fixed partition count is not coalesced by AQE."""
+    return df.repartition(udf_partitions(df.sparkSession), col)
+
+
 def _union_all(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts, empty)
 
@@ -50,13 +63,26 @@ def _union_all(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
 # a wider first round would multiply the diff work), then eight times more
 # each round, up to MAX_WIDTH, so long chains of undecidable rows and groups
 # with many leaders need few rounds.
-FIRST_WIDTH = 1
 GROWTH = 8
 MAX_WIDTH = 64
 
 
-def _first_width(n):
-    return F.lit(FIRST_WIDTH).cast("bigint")
+def _width(rnd: int) -> int:
+    return min(GROWTH ** rnd, MAX_WIDTH)
+
+
+def _heads(work: DataFrame, g: list[str], r: str, width: int, carry: dict[str, str]) -> DataFrame:
+    """The ``width`` smallest rows of every group, with some of their columns.
+
+    One head per group is a partial ``min``/``min_by`` aggregate; wider
+    rounds rank the remaining rows (few by then) without a one-task window.
+    """
+    if width == 1:
+        return work.groupBy(*g).agg(F.min(r).alias("_h"),
+                                    *[F.min_by(src, r).alias(dst) for src, dst in carry.items()])
+    ranked = rank_within(work, g, r, out="_rank")
+    return (ranked.where(F.col("_rank") < width)
+            .select(*g, F.col(r).alias("_h"), *[F.col(src).alias(dst) for src, dst in carry.items()]))
 
 
 def sticky_start(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
@@ -67,29 +93,26 @@ def sticky_start(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
 
     Each round tries the next few rows of every unresolved case as heads (1,
     then 8, then 64), so a round costs at most width x n pairs for a case of
-    n rows; each head is compared only with the rows after it.
+    n rows; each head is compared only with the rows after it.  Heads without
+    a two-sided partner leave the work set with everything before them.
     """
     d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
-    ranked = _cut(rank_within(residue.select(d, k_, r, t), [d, k_], r, out="_rank"))
-    sizes = ranked.groupBy(d, k_).agg(F.count(F.lit(1)).alias("_n"))
-    # A case needs two rows for a pair; lo = rank of the first untried head.
-    active = _cut(sizes.where(F.col("_n") >= 2).select(
-        d, k_, "_n", F.lit(0).cast("bigint").alias("_lo"), _first_width(F.col("_n")).alias("_w")))
+    g = [d, k_]
+    work = _cut(residue.select(d, k_, r, t))
     found: list[DataFrame] = []
-    while not active.isEmpty():
-        heads = (ranked.join(active, [d, k_])
-                 .where((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_lo") + F.col("_w")))
-                 .select(d, k_, F.col(r).alias("_h"), F.col(t).alias("_h_text")))
-        pairs = (ranked.join(heads, [d, k_])
-                 .where(F.col(r) > F.col("_h"))
+    rnd = 0
+    while not work.isEmpty():
+        heads = _heads(work, g, r, _width(rnd), {t: "_h_text"})
+        heads = _cut(heads) if _width(rnd) > 1 else heads
+        pairs = (spread(work.join(heads, g).where(F.col(r) > F.col("_h")), r)
                  .withColumn("_two", two_sided_udf(F.col("_h_text"), F.col(t))))
-        verdict = _cut(pairs.groupBy(d, k_)
-                       .agg(F.min(F.when(F.col("_two"), F.col("_h"))).alias("k")))
+        verdict = _cut(pairs.groupBy(*g).agg(F.min(F.when(F.col("_two"), F.col("_h"))).alias("k")))
         found.append(verdict.where(F.col("k").isNotNull()))
-        active = _cut(active.join(verdict.where(F.col("k").isNull()).select(d, k_), [d, k_])
-                      .withColumn("_lo", F.col("_lo") + F.col("_w"))
-                      .withColumn("_w", F.least(F.col("_w") * GROWTH, F.lit(MAX_WIDTH)))
-                      .where(F.col("_lo") < F.col("_n") - 1))
+        last = heads.groupBy(*g).agg(F.max("_h").alias("_last"))
+        work = _cut(work.join(last, g)
+                    .join(verdict.where(F.col("k").isNotNull()).select(*g), g, "left_anti")
+                    .where(F.col(r) > F.col("_last")).drop("_last"))
+        rnd += 1
     spark = residue.sparkSession
     empty = spark.createDataFrame([], residue.select(d, k_, F.col(r).alias("k")).schema)
     return _union_all(found, empty)
@@ -143,21 +166,16 @@ def leader_clusters(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
                            .otherwise(F.lit(0).cast("bigint")))
                .drop("_mb"))
     g = [d, k_, "_grp"]
-    ranked = rank_within(grouped, g, r, out="_rank")
-    sizes = ranked.groupBy(*g).agg(_first_width(F.count(F.lit(1))).alias("_w0"))
-    work = _cut(ranked.join(sizes, g))
+    work = _cut(grouped)
     out: list[DataFrame] = [alone]
     rnd = 0
     while not work.isEmpty():
-        width = F.least(F.col("_w0") * F.lit(GROWTH ** rnd), F.lit(MAX_WIDTH))
-        lo = work.groupBy(*g).agg(F.min("_rank").alias("_lo"))
-        heads = (work.join(lo, g).where(F.col("_rank") < F.col("_lo") + width)
-                 .select(*g, F.col(r).alias("_h"), F.col(t).alias("_h_text"),
-                         F.col("_blocks").alias("_h_blocks")))
+        heads = _heads(work, g, r, _width(rnd), {t: "_h_text", "_blocks": "_h_blocks"})
+        heads = _cut(heads) if _width(rnd) > 1 else heads
         # Python UDFs inside CASE are evaluated for every row, so the pairs
         # are filtered to shared blocks before the diff runs.
-        edges = _cut(work.join(heads, g)
-                     .where((F.col(r) > F.col("_h")) & F.arrays_overlap("_blocks", "_h_blocks"))
+        edges = _cut(spread(work.join(heads, g)
+                            .where((F.col(r) > F.col("_h")) & F.arrays_overlap("_blocks", "_h_blocks")), r)
                      .where(edge(F.col("_h_text"), F.col(t)))
                      .select(*g, "_h", r))
         head_ids = heads.select(*g, F.col("_h").alias(r))
@@ -172,7 +190,6 @@ def leader_clusters(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
                        "_heads", F.array().cast("array<bigint>"),
                        lambda acc, x: F.when(F.exists(x["nb"], lambda n: F.array_contains(acc, n)), acc)
                        .otherwise(F.concat(acc, F.array(x["i"])))).alias("_leaders")))
-        leaders = _cut(leaders)
         lead_rows = leaders.select(*g, F.explode("_leaders").alias(r))
         assigned = (edges.join(leaders, g).where(F.array_contains("_leaders", F.col("_h")))
                     .groupBy(d, r).agg(F.min("_h").alias("similar")))

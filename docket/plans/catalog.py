@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT as CFG
 from ..operators import dedup, match, quality, report
-from ..operators.nearcopy import _cut
+from ..operators.nearcopy import _cut, spread
 from ..operators.ranking import rank_within
 from ..operators.similarity import tfidf_cosine
 from ..functions.text import iso_cleanup
@@ -239,7 +239,7 @@ def q_token_diff_head_pairs(spark, sf):
     n = _notices(spark, sf)
     heads = n.groupBy("dia", "processo").agg(F.min("row_id").alias("head_id"),
                                               F.min_by("intimacao", "row_id").alias("head_text"))
-    pairs = n.join(heads, ["dia", "processo"]).where(F.col("row_id") > F.col("head_id"))
+    pairs = spread(n.join(heads, ["dia", "processo"]).where(F.col("row_id") > F.col("head_id")), "row_id")
     diff = token_diff_udf(CFG.marker, CFG.window, CFG.python_slices)(F.col("head_text"), F.col("intimacao"))
     return pairs.select("row_id", "head_id", diff.alias("d")).select("row_id", "head_id", "d.*")
 
