@@ -98,7 +98,7 @@ def sticky_start(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
     """
     d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
     g = [d, k_]
-    work = _cut(residue.select(d, k_, r, t))
+    work = residue.select(d, k_, r, t)  # callers pass materialised rows
     found: list[DataFrame] = []
     rnd = 0
     while not work.isEmpty():
@@ -166,7 +166,7 @@ def leader_clusters(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
                            .otherwise(F.lit(0).cast("bigint")))
                .drop("_mb"))
     g = [d, k_, "_grp"]
-    work = _cut(grouped)
+    work = grouped
     out: list[DataFrame] = [alone]
     rnd = 0
     while not work.isEmpty():
@@ -206,7 +206,7 @@ def near_copy_labels(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
     """W3 + X5 + W4 over the residue. Output: (day, row_id, similar)."""
     d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
     res = residue.select(d, k_, r, t)
-    ks = _cut(sticky_start(res, cfg))
+    ks = sticky_start(res, cfg)
     with_k = res.join(ks, [d, k_], "left")
     late = with_k.where(F.col("k").isNotNull() & (F.col(r) >= F.col("k"))).drop("k")
     early = with_k.where(F.col("k").isNull() | (F.col(r) < F.col("k"))).select(d, k_, r)

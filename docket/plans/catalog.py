@@ -226,7 +226,7 @@ def q_cross_day_summary(spark, sf):
 def q_two_day_report(spark, sf):
     """X13 from raw notices: label both days, filter, match, final table."""
     n = _notices(spark, sf)
-    lab = dedup.label_similar(n, CFG)
+    lab = _cut(dedup.label_similar(n, CFG))  # read by both days and the judge
     f = dedup.filtered(lab, CFG)
     prev, cur = f.where(F.col("dia") == PREV_DAY), f.where(F.col("dia") == CUR_DAY)
     out = match.match_days(prev, cur, match.TableJudge(_verdicts(spark, sf)), CFG)
