@@ -80,3 +80,19 @@ def test_offline_judge_against_brute_force(spark):
     prev, cur = _days(spark)
     got = {r.row_id: r.match_row for r in match.match_days(prev, cur, match.OfflineJudge(0.99)).collect()}
     assert got == {0: 2, 1: -1, 2: -1, 3: -1}
+
+
+def test_early_stop_asks_few_questions(spark):
+    """Every candidate matches: each of today's rows asks only its first
+    round of candidates (width 4), never all of yesterday's rows."""
+    n_prev = 40
+    prev = spark.createDataFrame([(i, 0, "P1", "DJSP", f"t {i}", i) for i in range(n_prev)], SCHEMA)
+    cur = spark.createDataFrame([(i, 1, "P1", "D J E N", f"t {i}", i) for i in range(5)], SCHEMA)
+    acc = spark.sparkContext.accumulator(0)
+
+    def judge(reqs):
+        acc.add(len(reqs))
+        return [YES] * len(reqs)
+    got = {r.row_id: r.match_row for r in match.match_days(prev, cur, match.CallableJudge(judge)).collect()}
+    assert got == {i: 2 for i in range(5)}
+    assert acc.value == 5 * match.FIRST_WIDTH

@@ -89,3 +89,26 @@ def test_write_days_refuses_overwrite(spark):
     assert days.read_days(spark, out).count() == 1
     with pytest.raises(Exception):
         days.write_days(df, out)
+
+
+def test_extension_filter_and_repeated_both_ways(spark):
+    from docket.operators import report
+    files = spark.createDataFrame([("a.XLSX",), ("b.pdf",), ("c.xlsx",)], "name string")
+    assert sorted(r.name for r in landing.only_extension(files).collect()) == ["a.XLSX", "c.xlsx"]
+    s = "row_id bigint, processo string"
+    d0 = spark.createDataFrame([(0, "A"), (1, "B")], s)
+    d1 = spark.createDataFrame([(0, "B"), (1, "C")], s)
+    assert [r.processo for r in report.repeated_cases(d1, d0).collect()] == ["B"]
+    assert [r.processo for r in report.repeated_cases(d0, d1).collect()] == ["B"]
+    assert [r.processo for r in report.new_cases(d1, d0).collect()] == ["C"]
+
+
+def test_write_labelled_and_filtered(spark):
+    from docket.operators import dedup
+    base = tempfile.mkdtemp(prefix="out-", dir="/tmp")
+    df = spark.createDataFrame([(0, 1, "P", "x"), (1, 1, "P", "x"), (2, 1, "Q", "y")],
+                               "row_id bigint, dia bigint, processo string, intimacao string")
+    lab = dedup.label_similar(df)
+    days.write_labelled_and_filtered(lab, dedup.filtered(lab), base)
+    assert days.read_days(spark, f"{base}/labelled").count() == 3
+    assert days.read_days(spark, f"{base}/filtered").count() == 2
