@@ -137,6 +137,31 @@ def marker_edge(a: str | None, b: str | None, marker: str, width: int,
     return token_diff(a, b, marker, width, python_slices)[4]
 
 
+def two_sided_and_marker(a: str | None, b: str | None, marker: str, width: int,
+                         python_slices: bool = True):
+    """(two_sided, marker) with the cheap two-sided test when the marker
+    cannot matter (absent from one of the texts)."""
+    if a is None or b is None:
+        return None, None
+    if marker in a and marker in b:
+        facts = token_diff(a, b, marker, width, python_slices)
+        return facts[3], facts[4]
+    return two_sided(a, b), False
+
+
+PAIR_SCHEMA = T.StructType([T.StructField("two_sided", T.BooleanType()),
+                            T.StructField("marker", T.BooleanType())])
+
+
+def two_sided_marker_udf(marker: str, width: int, python_slices: bool = True):
+    @F.pandas_udf(PAIR_SCHEMA)
+    def _udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = [two_sided_and_marker(x, y, marker, width, python_slices) for x, y in zip(a, b)]
+        out = pd.DataFrame(rows, columns=["two_sided", "marker"])
+        return out.astype("boolean")
+    return _udf
+
+
 def token_diff_udf(marker: str, width: int, python_slices: bool = True):
     @F.pandas_udf(DIFF_SCHEMA)
     def _udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:

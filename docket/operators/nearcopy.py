@@ -11,15 +11,22 @@ are not part of an exact-copy group), rows ascending by id:
    otherwise it becomes a leader itself.
 
 Both searches run in rounds.  Each round compares every remaining row of a
-case with one *head* (the case's smallest remaining row), so a round emits
-at most one pair per row -- a hot case with millions of rows costs millions
-of pairs per round, never its square.  The head is found with a partial
-aggregate and attached with an equi-join on the case key, which AQE splits
-when one case is huge.  Round state is checkpointed to cut lineage.
-
-Leader rounds are further pruned by *blocks*: a marker edge needs the same
-token prefix up to a marker occurrence in both texts, so a row is only
-diffed against a head that shares one of those prefixes.
+group with a few *heads* (the group's smallest remaining rows: one in the
+first round, then 8, then 64), so a round emits at most width x n pairs for
+a group of n rows -- a hot case with millions of rows costs a few million
+pairs per round, never its square.  Heads come from a partial aggregate (or
+a chunked rank of the few rows left in later rounds) and reach the rows
+through an equi-join on the case key, which AQE splits or broadcasts; the
+pairs are then re-spread on the row id before the Python diff.  Round state
+is checkpointed to cut lineage.
+
+The sticky-start rounds also return the marker edges of ``k`` (they diff
+``k`` against every later row anyway), so in the common case -- ``k`` is the
+first residue row and claims its near copies -- the leader rounds only see
+what ``k`` left.  Leader rounds are pruned by *blocks*: a marker edge needs
+the same token prefix up to a marker occurrence in both texts, so a row is
+only diffed against a head that shares one of those prefixes, and the blocks
+of a case run side by side when no row has two of them.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..config import TriageConfig, UNDECIDED
 from ..functions.text import py_tokens
-from ..functions.tokendiff import marker_edge_udf, two_sided_udf
+from ..functions.tokendiff import marker_edge_udf, two_sided_marker_udf
 from ..session import ensure_checkpoint_dir
 from .ranking import rank_within
 
@@ -85,11 +92,15 @@ def _heads(work: DataFrame, g: list[str], r: str, width: int, carry: dict[str, s
             .select(*g, F.col(r).alias("_h"), *[F.col(src).alias(dst) for src, dst in carry.items()]))
 
 
-def sticky_start(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
+def sticky_start(residue: DataFrame, cfg: TriageConfig):
     """Per case, ``k`` = first residue row with a two-sided later partner.
 
-    Input columns: day, key, row_id, text.  Output: (day, key, k) for the cases
-    that have one; cases without ``k`` are absent.
+    Input columns: day, key, row_id, text.  Returns ``(ks, k_edges)``:
+    ``ks`` = (day, key, k) for the cases that have one (others are absent);
+    ``k_edges`` = (day, row_id, similar=k) for the rows whose diff from ``k``
+    passes the marker rule.  Those pairs are diffed here anyway, and ``k`` is
+    the first leader of its case, so they are final labels and the leader
+    rounds start without them.
 
     Each round tries the next few rows of every unresolved case as heads (1,
     then 8, then 64), so a round costs at most width x n pairs for a case of
@@ -98,24 +109,29 @@ def sticky_start(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
     """
     d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
     g = [d, k_]
+    judge = two_sided_marker_udf(cfg.marker, cfg.window, cfg.python_slices)
     work = residue.select(d, k_, r, t)  # callers pass materialised rows
     found: list[DataFrame] = []
+    edges: list[DataFrame] = []
     rnd = 0
     while not work.isEmpty():
         heads = _heads(work, g, r, _width(rnd), {t: "_h_text"})
         heads = _cut(heads) if _width(rnd) > 1 else heads
-        pairs = (spread(work.join(heads, g).where(F.col(r) > F.col("_h")), r)
-                 .withColumn("_two", two_sided_udf(F.col("_h_text"), F.col(t))))
-        verdict = _cut(pairs.groupBy(*g).agg(F.min(F.when(F.col("_two"), F.col("_h"))).alias("k")))
+        pairs = _cut(spread(work.join(heads, g).where(F.col(r) > F.col("_h")), r)
+                     .select(*g, r, "_h", judge(F.col("_h_text"), F.col(t)).alias("_f")))
+        verdict = pairs.groupBy(*g).agg(F.min(F.when(F.col("_f.two_sided"), F.col("_h"))).alias("k"))
         found.append(verdict.where(F.col("k").isNotNull()))
+        edges.append(pairs.join(verdict, g).where((F.col("_h") == F.col("k")) & F.col("_f.marker"))
+                     .select(d, r, F.col("k").alias("similar")))
         last = heads.groupBy(*g).agg(F.max("_h").alias("_last"))
         work = _cut(work.join(last, g)
                     .join(verdict.where(F.col("k").isNotNull()).select(*g), g, "left_anti")
                     .where(F.col(r) > F.col("_last")).drop("_last"))
         rnd += 1
     spark = residue.sparkSession
-    empty = spark.createDataFrame([], residue.select(d, k_, F.col(r).alias("k")).schema)
-    return _union_all(found, empty)
+    no_k = spark.createDataFrame([], residue.select(d, k_, F.col(r).alias("k")).schema)
+    no_edge = spark.createDataFrame([], residue.select(d, r, F.col(r).alias("similar")).schema)
+    return _union_all(found, no_k), _union_all(edges, no_edge)
 
 
 def marker_blocks(tokens, cfg: TriageConfig):
@@ -206,13 +222,17 @@ def near_copy_labels(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
     """W3 + X5 + W4 over the residue. Output: (day, row_id, similar)."""
     d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
     res = residue.select(d, k_, r, t)
-    ks = sticky_start(res, cfg)
+    ks, k_edges = sticky_start(res, cfg)
     with_k = res.join(ks, [d, k_], "left")
-    late = with_k.where(F.col("k").isNotNull() & (F.col(r) >= F.col("k"))).drop("k")
+    # k leads its case; rows it already claimed skip the leader rounds.
+    k_rows = ks.select(d, F.col("k").alias(r), F.col("k").alias("similar"))
+    late = (with_k.where(F.col("k").isNotNull() & (F.col(r) > F.col("k"))).drop("k")
+            .join(k_edges.select(d, r), [d, r], "left_anti"))
     early = with_k.where(F.col("k").isNull() | (F.col(r) < F.col("k"))).select(d, k_, r)
     # A case with exactly one undecided row promotes it.
     n_early = early.groupBy(d, k_).agg(F.count(F.lit(1)).alias("_n_early"))
     early_lab = (early.join(n_early, [d, k_])
                  .select(d, r, F.when(F.col("_n_early") == 1, F.col(r))
                          .otherwise(F.lit(UNDECIDED)).cast("bigint").alias("similar")))
-    return early_lab.unionByName(leader_clusters(late, cfg))
+    return (early_lab.unionByName(k_rows).unionByName(k_edges)
+            .unionByName(leader_clusters(late, cfg)))
