@@ -41,7 +41,7 @@ def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled notices, computed once per session and input folder."""
-    key = ("labelled", id(spark), sf_dir)
+    key = ("labelled", spark.sparkContext.applicationId, sf_dir)
     if key not in _memo:
         _memo[key] = _cut(dedup.label_similar(_notices(spark, sf_dir), CFG))
     return _memo[key]
@@ -54,8 +54,8 @@ def _filtered_day(spark, sf_dir, day):
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture judge answers for today's x yesterday's notices of a case
     (cases hold at most 9 rows a day by construction of the fixture)."""
-    _notices(spark, sf_dir).createOrReplaceTempView("notices")
-    return spark.sql(VERDICTS_SQL)
+    return fixtures.run_sql(spark, VERDICTS_SQL.replace("FROM notices c JOIN notices p", "FROM {notices} c JOIN {notices} p"),
+                            notices=_notices(spark, sf_dir))
 
 
 # --------------------------------------------------------------------------
@@ -105,9 +105,8 @@ def _order_notices(spark, sf, key: str):
     then priority and customer (or status).  Any two different texts of a
     case differ within 5 tokens after the marker, so the expected labels have
     a closed form (see the oracle)."""
-    o = _table(spark, sf, "orders")
-    o.createOrReplaceTempView("orders")
-    return spark.sql(ORDER_NOTICES_SQL.format(key=key))
+    sql = ORDER_NOTICES_SQL.format(key=key).replace("FROM orders", "FROM {orders}")
+    return fixtures.run_sql(spark, sql, orders=_table(spark, sf, "orders"))
 
 
 def q_label_similar_orders(spark, sf):

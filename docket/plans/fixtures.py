@@ -41,7 +41,7 @@ SELECT row_id, dia, processo, jornal, mode, v, intimacao FROM (
     FROM (
       SELECT doc_id AS row_id, doc_id {div} 20 AS cs, (doc_id {div} 10) % 2 AS dia,
              doc_id % 10 AS v
-      FROM documents
+      FROM {documents}
     ) b
   ) c
 ) n
@@ -59,25 +59,41 @@ END
 """
 
 
-def notices_sql(div: str = SPARK_DIV) -> str:
-    return NOTICES_SQL.format(div=div, header=HEADER_SQL)
+def notices_sql(div: str = SPARK_DIV, documents: str = "documents") -> str:
+    return NOTICES_SQL.format(div=div, header=HEADER_SQL, documents=documents)
 
 
-def expected_labels_sql(div: str = SPARK_DIV) -> str:
+def expected_labels_sql(div: str = SPARK_DIV, documents: str = "documents") -> str:
     """Notices with their known `noccur` and `sim` = expected `similar` (the fixture answer)."""
     return f"""
 SELECT row_id, dia, processo, jornal, mode, v, intimacao,
        CASE WHEN v = 9 THEN 1 ELSE 9 END AS noccur,
        CASE WHEN ev = -1 THEN -1 ELSE row_id - v + ev END AS sim
-FROM (SELECT *, {EXPECTED_V_SQL} AS ev FROM ({notices_sql(div)}) q) x
+FROM (SELECT *, {EXPECTED_V_SQL} AS ev FROM ({notices_sql(div, documents)}) q) x
 """
 
 
+def run_sql(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
+    """``spark.sql`` with DataFrames bound to ``{name}`` placeholders (no
+    session-wide temp views); other braces in the text are kept literally."""
+    text = sql.replace("{", "{{").replace("}", "}}")
+    for name in frames:
+        text = text.replace("{{" + name + "}}", "{" + name + "}")
+    return spark.sql(text, **frames)
+
+
+def documents_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+
+
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The controlled notice fixture built from ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    docs.createOrReplaceTempView("documents")
-    return spark.sql(notices_sql(SPARK_DIV))
+    return run_sql(spark, notices_sql(SPARK_DIV, "{documents}"), documents=documents_ids(spark, sf_dir))
+
+
+def expected_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's known answer (column ``sim`` = expected ``similar``)."""
+    return run_sql(spark, expected_labels_sql(SPARK_DIV, "{documents}"), documents=documents_ids(spark, sf_dir))
 
 
 # Judge answers as a table: valid JSON unless the planted deviations apply.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from docket.config import MARKER
 from docket.operators import dedup, report
-from docket.plans.fixtures import expected_labels_sql, notices
+from docket.plans.fixtures import expected_labels, notices
 import model
 
 H = f"Tribunal Processo Vara {MARKER}"
@@ -55,7 +55,7 @@ def test_result_independent_of_partitioning(spark):
 
 def test_fixture_answers(spark):
     lab = dedup.label_similar(notices(spark, SF_SMALL)).select("row_id", "noccur", "similar")
-    exp = spark.sql(expected_labels_sql()).selectExpr("row_id", "noccur", "sim AS similar")
+    exp = expected_labels(spark, SF_SMALL).selectExpr("row_id", "noccur", "sim AS similar")
     assert lab.exceptAll(exp).count() == 0 and exp.exceptAll(lab).count() == 0
 
 
