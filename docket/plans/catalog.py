@@ -256,14 +256,28 @@ def q_tfidf_pair_cosine(spark, sf):
     return scored.select("conv_id", "turn", F.round("cosine", ROUND).alias("cosine"))
 
 
+def _wall_clock(df: DataFrame, name: str):
+    """The stored wall-clock time of a Parquet timestamp whatever the session
+    reads it as: NTZ as is, an instant rendered in UTC."""
+    from pyspark.sql.types import TimestampType
+    if isinstance(df.schema[name].dataType, TimestampType):
+        return F.to_utc_timestamp(F.col(name), spark_tz(df))
+    return F.col(name)
+
+
+def spark_tz(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.session.timeZone")
+
+
 def q_iso_cleanup(spark, sf):
     e = _table(spark, sf, "events")
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    iso = F.date_format(_wall_clock(e, "ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return e.select("event_id", iso_cleanup(iso).alias("ts_clean"))
 
 
 def q_assign_row_ids(spark, sf):
-    e = _table(spark, sf, "events").select("event_id", F.to_date("ts").alias("dia"))
+    e = _table(spark, sf, "events")
+    e = e.select("event_id", F.to_date(_wall_clock(e, "ts")).alias("dia"))
     return days.assign_row_ids(e, "event_id", CFG).select("event_id", "dia", "row_id")
 
 
