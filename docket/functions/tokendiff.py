@@ -16,7 +16,6 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,8 +186,3 @@ def marker_edge_udf(marker: str, width: int, python_slices: bool = True):
         return pd.Series([marker_edge(x, y, marker, width, python_slices)
                           for x, y in zip(a, b)], dtype="boolean")
     return _udf
-
-
-def diff_columns(left: Column, right: Column, marker: str, width: int,
-                 python_slices: bool = True) -> Column:
-    return token_diff_udf(marker, width, python_slices)(left, right)
