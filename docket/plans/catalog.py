@@ -194,6 +194,14 @@ def q_cross_day_pairs(spark, sf):
     return p.select("processo", "cur_id", "prev_id")
 
 
+def q_cross_day_scores(spark, sf):
+    """J7 blocked: TF-IDF cosine of each eligible row of today against
+    yesterday's first candidate of the same case (J3 + X4)."""
+    p = match.cross_day_pairs(_filtered_day(spark, sf, PREV_DAY), _filtered_day(spark, sf, CUR_DAY), CFG)
+    scored = tfidf_cosine(p, ["cur_id", "prev_id"], "cur_text", "prev_text")
+    return scored.select("cur_id", "prev_id", F.round("cosine", ROUND).alias("cosine"))
+
+
 def q_verdict_request(spark, sf):
     p = match.cross_day_pairs(_filtered_day(spark, sf, PREV_DAY), _filtered_day(spark, sf, CUR_DAY), CFG)
     return p.select("cur_id", "prev_id",
@@ -378,6 +386,7 @@ QUERIES = {
     "repeated_cases": q_repeated_cases,
     "new_cases": q_new_cases,
     "cross_day_pairs": q_cross_day_pairs,
+    "cross_day_scores": q_cross_day_scores,
     "verdict_request": q_verdict_request,
     "verdict_parse": q_verdict_parse,
     "first_match": q_first_match,
@@ -541,6 +550,10 @@ ORACLES = {
     "new_cases": f"""WITH {_N} SELECT row_id, processo FROM notices WHERE dia = {CUR_DAY}
         AND processo NOT IN (SELECT processo FROM notices WHERE dia = {PREV_DAY})""",
     "cross_day_pairs": f"{_BASE}, {_FIRST_CAND} SELECT cur.processo, cur.row_id AS cur_id, fc.prev_id FROM cur JOIN firstcand fc ON fc.processo = cur.processo",
+    "cross_day_scores": f"""{_BASE}, {_FIRST_CAND}, fp AS (SELECT cur.row_id AS cur_id, fc.prev_id,
+        cur.intimacao AS cur_text, p.intimacao AS prev_text FROM cur JOIN firstcand fc ON fc.processo = cur.processo
+        JOIN prev p ON p.row_id = fc.prev_id), """ + _tfidf_sql("fp", "cur_id, prev_id", "cur_text", "prev_text")
+        + " SELECT fp.cur_id, fp.prev_id, round(tc.cosine, 6) AS cosine FROM fp LEFT JOIN tc USING (cur_id, prev_id)",
     "verdict_request": f"""{_BASE}, {_FIRST_CAND} SELECT cur.row_id AS cur_id, fc.prev_id,
         'Notice A: "' || cur.intimacao || '"' || chr(10) || 'Notice B: "' || p.intimacao || '"' || chr(10) ||
         'Reply only with a JSON object: "same_story" (true if both notices report the same facts), "same_goal" (true if both order the same act), "same_litigation" (true if both belong to the same lawsuit), and "litigation-id" (the case number).' AS request
