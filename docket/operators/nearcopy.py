@@ -49,17 +49,13 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def udf_partitions(spark: SparkSession) -> int:
-    """Partitions for a CPU-heavy Python step: a few per core of the cluster."""
-    return max(2 * spark.sparkContext.defaultParallelism,
-               int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def spread(df: DataFrame, col: str) -> DataFrame:
     """Even out rows before a Python UDF.  After a join on the case key one
     hot case sits in one partition; the diff is CPU-bound, so the pairs are
-    re-hashed on the row id.  A fixed partition count is not coalesced by AQE."""
-    return df.repartition(udf_partitions(df.sparkSession), col)
+    re-hashed on the row id.  AQE then sizes the partitions (small ones are
+    merged up to its minimum size, so a late round with few pairs does not
+    start thousands of empty tasks)."""
+    return df.repartition(col)
 
 
 def _union_all(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
