@@ -6,10 +6,14 @@ whole-stage codegen.
 
 from __future__ import annotations
 
+import ast
 import sys
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _python_whitespace_class() -> str:
@@ -73,6 +77,24 @@ def join_path(folder: Column | str, name: Column) -> Column:
     return F.concat(folder_col, F.lit("/"), name)
 
 
+def simple_list_literal(lit_col: Column) -> Column:
+    """True when a list literal has no double quote and no backslash: its
+    strings are then single-quoted without escapes, and swapping the quotes
+    gives the same list as JSON."""
+    return ~lit_col.contains('"') & ~lit_col.contains("\\")
+
+
 def parse_list_literal(lit_col: Column) -> Column:
-    """a Python list literal of names ("['a', 'b']") as array<string>."""
+    """F7 (JVM path): a simple Python list literal ("['a', 'b']") as array<string>."""
     return F.from_json(F.translate(lit_col, "'", '"'), "array<string>")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def literal_eval_list(s: pd.Series) -> pd.Series:
+    """F7 (general path): any Python list literal of strings."""
+    def one(x):
+        if x is None:
+            return None
+        v = ast.literal_eval(x)
+        return [str(i) for i in v]
+    return s.map(one)

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name, join_path, parse_list_literal
+from ..functions.text import (base_name, join_path, literal_eval_list, parse_list_literal,
+                              simple_list_literal)
 
 # Magic numbers of the detected content types.
 ZIP_MAGIC = "504B0304"          # zip container (xlsx/docx are zip based)
@@ -95,8 +96,15 @@ def list_prefix(catalog: DataFrame, prefix: str, name: str = "name") -> DataFram
 
 
 def manifest_files(listed: DataFrame, meta: str = "list_files_compare") -> DataFrame:
-    """every file name recorded in the manifests, flattened."""
-    return listed.select("*", F.explode(parse_list_literal(F.col(meta))).alias("file_name"))
+    """every file name recorded in the manifests, flattened.
+
+    Simple literals are parsed on the JVM; the others (quotes or escapes in
+    a name) go through ``ast.literal_eval`` in a separate branch, so the
+    Python UDF only sees those rows."""
+    simple = simple_list_literal(F.col(meta))
+    fast = listed.where(simple).select("*", F.explode(parse_list_literal(F.col(meta))).alias("file_name"))
+    slow = listed.where(~simple).select("*", F.explode(literal_eval_list(F.col(meta))).alias("file_name"))
+    return fast.unionByName(slow)
 
 
 def manifest_count(listed: DataFrame, compat: bool = True) -> DataFrame:

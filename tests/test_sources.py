@@ -64,14 +64,16 @@ def test_landing_set_based_and_stop_at_first(spark):
 def test_manifest_listing(spark):
     schema = "name string, generation bigint, list_files_compare string"
     objs = spark.createDataFrame([("compare/1", 11, "['a.xlsx', 'b.xlsx']"), ("compare/2", 12, "['c.xlsx']"),
-                                  ("compare/3", 13, "[]"), ("other/4", 14, "['z.xlsx']")], schema)
+                                  ("compare/3", 13, "[]"), ("other/4", 14, "['z.xlsx']"),
+                                  ("compare/5", 15, """["O'Brien.xlsx", 'x\\', y.xlsx']""")], schema)
     listed = landing.list_prefix(objs, "compare")
-    assert sorted(r.file_name for r in landing.manifest_files(listed).collect()) == ["a.xlsx", "b.xlsx", "c.xlsx"]
-    assert landing.manifest_count(listed).first()[0] == 3
+    assert sorted(r.file_name for r in landing.manifest_files(listed).collect()) == [
+        "O'Brien.xlsx", "a.xlsx", "b.xlsx", "c.xlsx", "x', y.xlsx"]
+    assert landing.manifest_count(listed).first()[0] == 4
     empty = landing.list_prefix(objs, "nothing")
     assert landing.manifest_count(empty).first()[0] == 1
     assert landing.manifest_count(empty, compat=False).first()[0] == 0
-    assert sorted(r.generation for r in landing.generations(listed).collect()) == [11, 12, 13]
+    assert sorted(r.generation for r in landing.generations(listed).collect()) == [11, 12, 13, 15]
 
 
 def test_rank_within_matches_row_number(spark):
