@@ -49,8 +49,10 @@ def copy_facts(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
     """
     d, k_, r = cfg.day, cfg.key, cfg.row_id
     rows = _with_fp(df, cfg)
-    per_text = (rows.groupBy(d, k_, _FP)
-                .agg(F.min(r).alias("exact_leader"), F.count(F.lit(1)).alias("n_exact")))
+    # Materialised (no text, one row per distinct text) so the texts are
+    # scanned and hashed once for it, not once per branch that reads it.
+    per_text = _cut(rows.groupBy(d, k_, _FP)
+                    .agg(F.min(r).alias("exact_leader"), F.count(F.lit(1)).alias("n_exact")))
     per_case = per_text.groupBy(d, k_).agg(F.sum("n_exact").alias("noccur"))
     facts = per_text.join(per_case, [d, k_])
     return rows.join(facts, [d, k_, _FP])
