@@ -144,8 +144,11 @@ def first_matches(prev_f: DataFrame, cur_f: DataFrame, judge, cfg: TriageConfig
         answered = (judge.verdicts.join(cur_c.select("_key", "cur_id"), "cur_id")
                     .join(prev_c.select("_key", "prev_id", "prev_undecided"), ["_key", "prev_id"])
                     .where(parse_verdict(F.col("response"))["match"]))
-        return answered.groupBy("cur_id").agg(
-            F.min_by("prev_id", F.struct("prev_undecided", "prev_id")).alias("prev_id"))
+        # Filtered order = representatives first, then by id: the smallest
+        # representative, else the smallest undecided row (two hash-aggregated mins).
+        first = F.coalesce(F.min(F.when(F.col("prev_undecided") == 0, F.col("prev_id"))),
+                           F.min(F.when(F.col("prev_undecided") == 1, F.col("prev_id"))))
+        return answered.groupBy("cur_id").agg(first.alias("prev_id"))
     return _first_matches_in_rounds(prev_c, cur_c, judge)
 
 
