@@ -33,6 +33,11 @@ class TriageConfig:
     python_slices: bool = True
     row_offset: int = ROW_OFFSET
     journal_prefix: str = ELIGIBLE_JOURNAL_PREFIX
+    # Most heads a near-copy round compares each remaining row with (the
+    # rounds grow 1, 8, 64, ...).  A round costs up to max_heads x n diffs for
+    # a group of n rows; a larger cluster can afford more per round and then
+    # needs fewer rounds for groups with many distinct notices.
+    max_heads: int = 64
 
     def with_columns(self, **kw) -> "TriageConfig":
         return replace(self, **kw)

@@ -64,14 +64,13 @@ def _union_all(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
 
 # Heads per group: one in the first round (it settles ordinary groups, and
 # a wider first round would multiply the diff work), then eight times more
-# each round, up to MAX_WIDTH, so long chains of undecidable rows and groups
-# with many leaders need few rounds.
+# each round, up to ``cfg.max_heads``, so long chains of undecidable rows and
+# groups with many leaders need few rounds.
 GROWTH = 8
-MAX_WIDTH = 64
 
 
-def _width(rnd: int) -> int:
-    return min(GROWTH ** rnd, MAX_WIDTH)
+def _width(rnd: int, cfg: TriageConfig) -> int:
+    return min(GROWTH ** rnd, cfg.max_heads)
 
 
 def _heads(work: DataFrame, g: list[str], r: str, width: int, carry: dict[str, str]) -> DataFrame:
@@ -111,8 +110,8 @@ def sticky_start(residue: DataFrame, cfg: TriageConfig):
     edges: list[DataFrame] = []
     rnd = 0
     while not work.isEmpty():
-        heads = _heads(work, g, r, _width(rnd), {t: "_h_text"})
-        heads = _cut(heads) if _width(rnd) > 1 else heads
+        heads = _heads(work, g, r, _width(rnd, cfg), {t: "_h_text"})
+        heads = _cut(heads) if _width(rnd, cfg) > 1 else heads
         pairs = _cut(spread(work.join(heads, g).where(F.col(r) > F.col("_h")), r)
                      .select(*g, r, "_h", judge(F.col("_h_text"), F.col(t)).alias("_f")))
         verdict = pairs.groupBy(*g).agg(F.min(F.when(F.col("_f.two_sided"), F.col("_h"))).alias("k"))
@@ -182,8 +181,8 @@ def leader_clusters(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
     out: list[DataFrame] = [alone]
     rnd = 0
     while not work.isEmpty():
-        heads = _heads(work, g, r, _width(rnd), {t: "_h_text", "_blocks": "_h_blocks"})
-        heads = _cut(heads) if _width(rnd) > 1 else heads
+        heads = _heads(work, g, r, _width(rnd, cfg), {t: "_h_text", "_blocks": "_h_blocks"})
+        heads = _cut(heads) if _width(rnd, cfg) > 1 else heads
         # Python UDFs inside CASE are evaluated for every row, so the pairs
         # are filtered to shared blocks before the diff runs.
         edges = _cut(spread(work.join(heads, g)
@@ -192,7 +191,7 @@ def leader_clusters(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
                      .select(*g, "_h", r))
         head_ids = heads.select(*g, F.col("_h").alias(r))
         # Earlier heads with an edge to each head, then the greedy fold over
-        # the (at most MAX_WIDTH) heads of the group in id order.
+        # the (at most cfg.max_heads) heads of the group in id order.
         nb = (head_ids.join(edges, [*g, r], "left")
               .groupBy(*g, r).agg(F.collect_list("_h").alias("_nb")))
         leaders = (nb.groupBy(*g)
