@@ -85,3 +85,18 @@ def test_null_rules(spark):
     got = {r.row_id: (r.noccur, r.similar) for r in lab.collect()}
     assert got == {1: (1, 1), 3: (3, 3), 4: (3, 3)}
     assert {(r.row_id, r.reason) for r in rej.collect()} == {(0, "null_key"), (2, "null_text")}
+
+
+def test_narrow_rounds_match_model(spark):
+    """Two heads per round at most: many rounds, same answer."""
+    from docket.config import DEFAULT
+    rng = random.Random(23)
+    rows = _random_rows(rng, n_cases=12)
+    rows += [(5000 + i, "CHAIN", H + " ANA" + " x" * i) for i in range(9)]        # insert-only chain
+    rows += [(6000 + i, "MANY", H + f" N{i} " + rng.choice(VOCAB)) for i in range(12)]
+    df = spark.createDataFrame([(r, 0, c, t) for r, c, t in rows],
+                               "row_id bigint, dia bigint, processo string, intimacao string")
+    cfg = DEFAULT.with_columns(max_heads=2)
+    got = {r.row_id: (r.noccur, r.similar)
+           for r in dedup.label_similar(df, cfg).select("row_id", "noccur", "similar").collect()}
+    assert got == model.label(rows)
