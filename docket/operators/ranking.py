@@ -2,10 +2,10 @@
 
 ``row_number() OVER (PARTITION BY group ORDER BY id)`` sorts every group in a
 single task; a case holding a third of the data would then be one task.  Here
-the integer order column is cut into chunks of consecutive values, each chunk
-is ranked on its own (a window over (group, chunk), bounded by the chunk
-width), and the chunk's offset comes from a prefix sum over the small table of
-per-chunk counts.
+the integer order column is cut into chunks of consecutive values (a power
+of two wide), each chunk is ranked on its own (a window over (group, chunk),
+bounded by the chunk width), and the chunk's offset comes from a prefix sum
+over the small table of per-chunk counts.
 """
 
 from __future__ import annotations
@@ -22,8 +22,12 @@ def rank_within(df: DataFrame, group_cols: list[str], order_col: str,
     """0-based position of each row in its group by ``order_col`` (unique
     within the group).  ``extra_order`` columns, if given, sort before the
     order column and also split chunks (e.g. the O1 undecided flag)."""
+    if chunk <= 0 or chunk & (chunk - 1):
+        raise ValueError("chunk must be a power of two")
     extra = list(extra_order or [])
-    ck = [*extra, F.floor(F.col(order_col) / F.lit(chunk)).alias("_chunk")]
+    # Integer floor division by a power of two: exact for any 64-bit id and
+    # monotone, so chunk order follows id order.
+    ck = [*extra, F.shiftright(F.col(order_col).cast("bigint"), chunk.bit_length() - 1).alias("_chunk")]
     tagged = df.select("*", *[c.alias(f"_ck{i}") for i, c in enumerate(ck)])
     ck_cols = [f"_ck{i}" for i in range(len(ck))]
     local_w = Window.partitionBy(*group_cols, *ck_cols).orderBy(order_col)
