@@ -1,0 +1,32 @@
+"""docket: triage of daily notice batches on Spark.
+
+Typical use::
+
+    from docket import TriageConfig, label_similar, filtered, match_days, TableJudge
+"""
+
+from .config import DEFAULT, TriageConfig
+from .operators.dedup import (case_frequency, exact_copy_leaders, filtered, label_similar,
+                              label_similar_with_rejects, representatives, undecided)
+from .operators.match import (CallableJudge, OfflineJudge, TableJudge, eligible_cases,
+                              first_matches, match_days, parse_verdict, verdict_request)
+from .operators.quality import check_accounts, quality_report
+from .operators.ranking import rank_within
+from .operators.report import (cross_day_summary, day_summary, key_difference, new_cases,
+                               repeated_cases, review_highlight, undecided_per_case)
+from .operators.similarity import tfidf_cosine
+from .sources.days import assign_row_ids, read_days, write_days, write_labelled_and_filtered
+from .sources.landing import (content_type, list_prefix, manifest_count, manifest_files,
+                              plan_landing)
+from .sources.workbook import read_workbooks, workbook_table
+
+__all__ = [
+    "DEFAULT", "TriageConfig", "case_frequency", "exact_copy_leaders", "filtered", "label_similar",
+    "label_similar_with_rejects", "representatives", "undecided", "CallableJudge", "OfflineJudge",
+    "TableJudge", "eligible_cases", "first_matches", "match_days", "parse_verdict", "verdict_request",
+    "check_accounts", "quality_report", "rank_within", "cross_day_summary", "day_summary",
+    "key_difference", "new_cases", "repeated_cases", "review_highlight", "undecided_per_case",
+    "tfidf_cosine", "assign_row_ids", "read_days", "write_days", "write_labelled_and_filtered",
+    "content_type", "list_prefix", "manifest_count", "manifest_files", "plan_landing",
+    "read_workbooks", "workbook_table",
+]
