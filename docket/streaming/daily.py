@@ -1,13 +1,14 @@
 """Daily batches as a stream.
 
-Notices arrive as one file drop per day.  This runs the same within-day
-labelling on each new drop with Structured Streaming: a file source picks up
-new Parquet files, ``foreachBatch`` labels the micro-batch and writes the
-``labelled`` and ``filtered`` tables partitioned by day.  Writes overwrite
-only the days present in the batch (dynamic partition overwrite), so a
-micro-batch replayed after a failure rewrites the same days instead of
-duplicating rows.  The reference has no streaming; this is only a way to
-feed it.
+Notices arrive as file drops.  This runs the same within-day labelling with
+Structured Streaming: a file source picks up new Parquet files and
+``foreachBatch`` labels the *whole days* the micro-batch touches -- all rows
+of those days are read back from the source (a semi-join on the days, so the
+scan is pruned) -- and overwrites just those day partitions of the
+``labelled`` and ``filtered`` tables.  A day that arrives in several pieces
+is therefore relabelled completely each time a piece lands, and a replayed
+micro-batch rewrites the same days instead of duplicating rows.  The
+reference has no streaming; this is only a way to feed it.
 """
 
 from __future__ import annotations
@@ -21,18 +22,21 @@ from ..operators.dedup import filtered, label_similar
 
 def start_daily_labelling(spark: SparkSession, source_dir: str, out_dir: str,
                           checkpoint_dir: str, cfg: TriageConfig = DEFAULT,
-                          schema=None, once: bool = False) -> StreamingQuery:
-    """Label every new day drop under ``source_dir`` into ``out_dir``.
-
-    A day must arrive whole in one drop (labels compare rows of the same day).
-    """
+                          schema=None, once: bool = False,
+                          max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Label every day that receives new files under ``source_dir`` into ``out_dir``."""
     schema = schema or spark.read.parquet(source_dir).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        lab = label_similar(batch, cfg)
+        days = batch.select(cfg.day).distinct()
+        whole_days = spark.read.schema(schema).parquet(source_dir).join(days, cfg.day, "left_semi")
+        lab = label_similar(whole_days, cfg)
         for name, df in (("labelled", lab), ("filtered", filtered(lab, cfg))):
             (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy(cfg.day).parquet(f"{out_dir}/{name}"))

@@ -5,18 +5,25 @@ from conftest import SF_SMALL
 
 
 def test_daily_stream_labels_each_drop(spark):
+    """Day 0 arrives in two pieces (several part files, two drops): the
+    output still equals labelling each whole day in batch."""
+    from docket.operators import dedup
     from docket.plans.fixtures import notices
     from docket.streaming.daily import start_daily_labelling
     base = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
     n = notices(spark, SF_SMALL)
-    for d in (0, 1):
-        n.where(f"dia = {d}").write.parquet(f"{base}/in/drop{d}")
-    src = f"{base}/in/*"
-    q = start_daily_labelling(spark, src, f"{base}/out", f"{base}/ckpt", schema=n.schema, once=True)
+    n.where("dia = 0 AND row_id % 2 = 0").repartition(3).write.parquet(f"{base}/in/drop0a")
+    n.where("dia = 0 AND row_id % 2 = 1").repartition(2).write.parquet(f"{base}/in/drop0b")
+    n.where("dia = 1").repartition(3).write.parquet(f"{base}/in/drop1")
+    # one file per micro-batch: every day is split over several batches
+    q = start_daily_labelling(spark, f"{base}/in/*", f"{base}/out", f"{base}/ckpt", schema=n.schema,
+                              once=True, max_files_per_trigger=1)
     q.awaitTermination(600)
-    lab = spark.read.parquet(f"{base}/out/labelled")
-    assert lab.count() == n.count()
-    assert lab.where("similar = row_id OR similar = -1").count() == spark.read.parquet(f"{base}/out/filtered").count()
+    got = spark.read.parquet(f"{base}/out/labelled").select("row_id", "similar")
+    exp = dedup.label_similar(n).select("row_id", "similar")
+    assert got.count() == n.count()
+    assert got.exceptAll(exp).count() == 0
+    assert spark.read.parquet(f"{base}/out/filtered").count() == dedup.filtered(dedup.label_similar(n)).count()
 
 
 def test_entry_contract(spark):
