@@ -140,7 +140,7 @@ def _candidates(prev_f: DataFrame, cur_f: DataFrame, cfg: TriageConfig):
 def first_matches(prev_f: DataFrame, cur_f: DataFrame, judge, cfg: TriageConfig = DEFAULT) -> DataFrame:
     """X11: (cur_id, prev_id) of the first matching yesterday row per today row."""
     cur_c, prev_c = _candidates(prev_f, cur_f, cfg)
-    if isinstance(judge, TableJudge):
+    if type(judge) is TableJudge:  # stored answers: no rounds needed
         answered = (judge.verdicts.join(cur_c.select("_key", "cur_id"), "cur_id")
                     .join(prev_c.select("_key", "prev_id", "prev_undecided"), ["_key", "prev_id"])
                     .where(parse_verdict(F.col("response"))["match"]))

@@ -76,3 +76,23 @@ def label(rows):
         if len(left) == 1:
             sim[left[0]] = left[0]
     return {i: (noccur[i], sim[i]) for i in ids}
+
+
+def first_match(prev, cur, answer, prefix="D J E N", offset=2):
+    """prev/cur: lists of (row_id, case, journal, text, similar) of filtered
+    rows of yesterday/today.  ``answer(cur_row, prev_row)`` -> bool.
+    Returns {today's row_id: match_row}."""
+    prev_cases = {p[1] for p in prev}
+    eligible = []
+    for c in sorted(cur):
+        if c[1] in prev_cases and c[2] is not None and c[2].startswith(prefix) and c[1] not in eligible:
+            eligible.append(c[1])
+    out = {c[0]: -1 for c in cur}
+    for case in eligible:
+        tries = sorted((p for p in prev if p[1] == case), key=lambda p: (p[4] == -1, p[0]))
+        for c in sorted(x for x in cur if x[1] == case):
+            for p in tries:
+                if answer(c, p):
+                    out[c[0]] = p[0] + offset
+                    break
+    return out

@@ -96,3 +96,35 @@ def test_early_stop_asks_few_questions(spark):
     got = {r.row_id: r.match_row for r in match.match_days(prev, cur, match.CallableJudge(judge)).collect()}
     assert got == {i: 2 for i in range(5)}
     assert acc.value == 5 * match.FIRST_WIDTH
+
+
+def test_first_match_against_model(spark):
+    import random
+    import model
+    rng = random.Random(17)
+    prev, cur = [], []
+    for case in range(25):
+        for day, rows in ((0, prev), (1, cur)):
+            for _ in range(rng.randint(0, 6)):
+                rid = len(prev) + len(cur) + 1000 * day
+                journal = rng.choice(["D J E N - X", "DJSP", None])
+                sim = rng.choice([rid, -1])
+                rows.append((rid, f"P{case}", journal, f"t{rng.randint(0, 4)}", sim))
+    answer = lambda c, p: (c[0] * 7 + p[0] * 3) % 4 == 0
+    expected = model.first_match(prev, cur, answer)
+    schema = "row_id bigint, processo string, jornal string, intimacao string, similar bigint"
+    pf = spark.createDataFrame(prev, schema).withColumn("dia", F.lit(0))
+    cf = spark.createDataFrame(cur, schema).withColumn("dia", F.lit(1))
+    verdicts = spark.createDataFrame(
+        [(c[0], p[0], YES if answer(c, p) else '{"same_story": false}') for c in cur for p in prev if c[1] == p[1]],
+        "cur_id bigint, prev_id bigint, response string")
+    table = {r.row_id: r.match_row for r in match.match_days(pf, cf, match.TableJudge(verdicts)).collect()}
+    rounds = {r.row_id: r.match_row for r in match.match_days(
+        pf, cf, _CountingTableJudge(verdicts)).collect()}
+    assert table == expected
+    assert rounds == expected
+
+
+class _CountingTableJudge(match.TableJudge):
+    """Same answers, but not recognised as a table: goes through the rounds."""
+    pass
