@@ -5,7 +5,16 @@ Typical use::
     from docket import TriageConfig, label_similar, filtered, match_days, TableJudge
 """
 
-from .config import DEFAULT, TriageConfig
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Python workers may not have this package on their path (a cluster, or a
+# driver that imported it from a folder): functions defined here -- the diff
+# UDFs, the workbook parser -- are shipped by value with the tasks.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from .config import DEFAULT, TriageConfig  # noqa: E402
 from .operators.dedup import (case_frequency, exact_copy_leaders, filtered, label_similar,
                               label_similar_with_rejects, representatives, undecided)
 from .operators.match import (CallableJudge, OfflineJudge, TableJudge, eligible_cases,
