@@ -9,7 +9,8 @@ yesterday's row id + 2 (its spreadsheet row), else -1.
 Judges:
 
 * ``TableJudge``   -- answers already stored as (cur_id, prev_id, response);
-  the first match is a partial ``min_by`` aggregate, no pair enumeration.
+  the first match is two partial minimums per row (representatives, then
+  undecided rows), no pair enumeration.
 * ``OfflineJudge`` -- TF-IDF cosine >= threshold, computed natively.  It is a
   stand-in for a model and is not equivalent to one.
 * ``CallableJudge``-- any Python function from request texts to response
