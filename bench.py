@@ -41,7 +41,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, int(cpus) * 2))
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, int(cpus) * 2)))
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=parts)
     # Warm-up pass on the smallest data set: JVM JIT, generated-code cache and
     # Python workers, which a long-running service pays once.
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
