@@ -15,7 +15,8 @@ from pyspark import cloudpickle as _cloudpickle
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 from .config import DEFAULT, TriageConfig  # noqa: E402
-from .operators.dedup import (case_frequency, exact_copy_leaders, filtered, label_similar,
+from .operators.dedup import (case_frequency, duplicate_row_ids, exact_copy_leaders, filtered,
+                              label_similar,
                               label_similar_with_rejects, representatives, undecided)
 from .operators.match import (CallableJudge, OfflineJudge, TableJudge, eligible_cases,
                               first_matches, match_days, parse_verdict, verdict_request)
@@ -30,7 +31,7 @@ from .sources.landing import (content_type, list_prefix, manifest_count, manifes
 from .sources.workbook import read_workbooks, workbook_table
 
 __all__ = [
-    "DEFAULT", "TriageConfig", "case_frequency", "exact_copy_leaders", "filtered", "label_similar",
+    "DEFAULT", "TriageConfig", "case_frequency", "duplicate_row_ids", "exact_copy_leaders", "filtered", "label_similar",
     "label_similar_with_rejects", "representatives", "undecided", "CallableJudge", "OfflineJudge",
     "TableJudge", "eligible_cases", "first_matches", "match_days", "parse_verdict", "verdict_request",
     "check_accounts", "quality_report", "rank_within", "cross_day_summary", "day_summary",

@@ -33,6 +33,13 @@ def _with_fp(df: DataFrame, cfg: TriageConfig) -> DataFrame:
                          .otherwise(fingerprint(F.col(cfg.text))))
 
 
+def duplicate_row_ids(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
+    """Row ids used more than once in a day (labels assume none); one
+    partial aggregate, so it is an explicit check rather than a hidden cost."""
+    return (df.groupBy(cfg.day, cfg.row_id).agg(F.count(F.lit(1)).alias("n_rows"))
+            .where(F.col("n_rows") > 1))
+
+
 def split_null_keys(df: DataFrame, cfg: TriageConfig = DEFAULT):
     """Rows without a case key cannot be grouped: (kept, rejected)."""
     kept = df.where(F.col(cfg.key).isNotNull())

@@ -100,3 +100,10 @@ def test_narrow_rounds_match_model(spark):
     got = {r.row_id: (r.noccur, r.similar)
            for r in dedup.label_similar(df, cfg).select("row_id", "noccur", "similar").collect()}
     assert got == model.label(rows)
+
+
+def test_duplicate_row_ids(spark):
+    df = spark.createDataFrame([(0, 0, "P", "a"), (0, 0, "P", "b"), (0, 1, "P", "a")],
+                               "row_id bigint, dia bigint, processo string, intimacao string")
+    got = [(r.dia, r.row_id, r.n_rows) for r in dedup.duplicate_row_ids(df).collect()]
+    assert got == [(0, 0, 2)]
