@@ -14,6 +14,7 @@ pandas UDFs on the pairs Spark builds and shuffles.
 from __future__ import annotations
 
 import difflib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -28,6 +29,13 @@ DIFF_SCHEMA = T.StructType([
 ])
 
 
+@lru_cache(maxsize=256)
+def _tokens(text: str) -> tuple[str, ...]:
+    """Whitespace tokens; cached because every pair of a round repeats its
+    head's text."""
+    return tuple(text.split())
+
+
 def _first_diffs_differ(a: list[str], b: list[str]):
     """Walk the full Differ output; used when a replace block shares tokens."""
     ia = ib = n = 0
@@ -91,7 +99,7 @@ def token_diff(a: str | None, b: str | None, marker: str, width: int,
     """Full diff facts of one ordered pair (left = earlier row)."""
     if a is None or b is None:
         return None
-    ta, tb = a.split(), b.split()
+    ta, tb = _tokens(a), _tokens(b)
     n, fd, fi = first_diffs(ta, tb)
     two = fd is not None and fi is not None
     mk = bool(two
@@ -114,7 +122,7 @@ def two_sided(a: str | None, b: str | None) -> bool | None:
     """
     if a is None or b is None:
         return None
-    ta, tb = a.split(), b.split()
+    ta, tb = _tokens(a), _tokens(b)
     if ta == tb:
         return False
     if len(ta) == len(tb):
