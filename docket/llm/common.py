@@ -105,9 +105,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return store["up"], store["down"]
 
 
-def hashed_words(buf: bytes, word_byte: np.ndarray, piece: int = 1 << 19):
+def hashed_words(buf: bytes, word_byte: np.ndarray, find=None, piece: int = 1 << 19):
     """(hash, start, end) of every run of word bytes of ``buf``; ``word_byte``
-    tells for each of the 256 byte values if it belongs to a word.
+    tells for each of the 256 byte values if it belongs to a word.  ``find``
+    may cut the bytes of a piece otherwise: it returns starts and ends.
 
     The hash of a word is a polynomial over its bytes, read off prefix sums,
     so no step handles single words.  Work goes in pieces cut between words,
@@ -122,10 +123,7 @@ def hashed_words(buf: bytes, word_byte: np.ndarray, piece: int = 1 << 19):
             nxt = np.flatnonzero(~word_byte[data[stop:stop + piece]])
             stop = stop + int(nxt[0]) if len(nxt) else min(len(data), stop + piece)
         part = data[at:stop]
-        inside = np.zeros(len(part) + 2, bool)
-        inside[1:-1] = word_byte[part]
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        s, e = edge[::2], edge[1::2]
+        s, e = (find or _runs)(part, word_byte)
         up, down = _powers(len(part))
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(value[part] * up[:len(part)], out=total[1:])
@@ -140,6 +138,13 @@ def hashed_words(buf: bytes, word_byte: np.ndarray, piece: int = 1 << 19):
     return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
+def _runs(part: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = np.zeros(len(part) + 2, bool)
+    inside[1:-1] = word_byte[part]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` consecutive word hashes (empty if too few)."""
     n = len(h) - k + 1

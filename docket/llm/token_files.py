@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import struct
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import series_udf, shared_path, small, stage, worker_store
+from .common import hashed_words, series_udf, shared_path, small, stage, worker_store
 
 BLOCK_IDS = 128
 CHUNK_IDS = 1 << 16
@@ -125,66 +126,129 @@ def unpack(payload: bytes) -> np.ndarray:
 # ---------------------------------------------------------------------------
 # Encoding with the tokenizers library
 
-#: Texts of these characters alone (ASCII and Latin letters and signs, no
-#: control or combining characters) are split into words before encoding.
-_OTHER = re.compile("[^\t-\r\x20-\x7e\xa1-įı-ňŊ-ž]|<\\|")
-_CACHE = 400_000
+#: Texts of other characters than these (white space, printable ASCII, Latin
+#: letters) are left to the library as a whole.
+_OTHER = re.compile("[^\t-\r\x20-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]|<\\|")
+_CACHE = 150_000
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+
+
+def _byte_classes() -> np.ndarray:
+    kind = np.full(256, _SIGN, np.uint8)
+    kind[list(b" \t\n\v\f\r")] = _SPACE
+    kind[ord("a"):ord("z") + 1] = kind[0x80:] = _LETTER
+    kind[ord("0"):ord("9") + 1] = _DIGIT
+    return kind
+
+
+def _units(part: np.ndarray, _=None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of letters, runs of signs and single digits;
+    a word with an apostrophe stays whole."""
+    kind = _byte_classes()[part]
+    before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
+    cut = (kind != before) | (kind == _DIGIT)
+    quotes = np.flatnonzero(part == ord("'"))
+    if len(quotes):
+        edge = np.flatnonzero((kind == _SPACE) != (before == _SPACE))
+        edge = np.append(edge, len(part))
+        inner = np.zeros(len(part) + 1, np.int8)
+        right = np.unique(np.searchsorted(edge, quotes, side="right"))
+        inner[edge[right - 1] + 1] += 1
+        inner[edge[right]] -= 1
+        # A word of one byte opens and closes at the same place.
+        cut &= np.cumsum(inner[:-1]) == 0
+    start = np.flatnonzero(cut)
+    end = np.append(start[1:], len(part))
+    solid = kind[start] != _SPACE
+    return start[solid], end[solid]
 
 
 class Encoder:
     """Ids of texts, as ``Tokenizer.encode`` gives them without special tokens.
 
     The vocabulary's normaliser lower-cases and composes, and its splitting
-    pattern never crosses white space, so a text of plain characters encodes
-    word by word; the library's model encodes each new piece once per worker.
-    Any other text goes through the library whole.
+    pattern never crosses white space or, but for apostrophes, a change between
+    letters, digits and signs.  So texts of plain characters are cut into such
+    units in bulk, and the library's model encodes each distinct unit of a
+    group of texts once (a bounded cache carries over to later groups).  Any
+    other text, or another kind of vocabulary, goes through the library whole.
     """
 
     def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer, pre_tokenizers
         store = worker_store(f"encoder:{path}")
         if not store:
             import json
+
+            import regex
+            from tokenizers import Tokenizer, pre_tokenizers
             tok = Tokenizer.from_file(path)
             form = json.loads(tok.to_str())
             split = (form.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
             steps = [x.get("type") for x in (form.get("normalizer") or {}).get("normalizers", [])]
-            by_word = (split.get("type") == "Split" and steps == ["NFC", "Replace", "Lowercase"])
-            store.update(tok=tok, words={}, pieces={}, by_word=by_word,
-                         split=regex.compile(split["pattern"]["Regex"]).findall if by_word else None,
+            plain = split.get("type") == "Split" and steps == ["NFC", "Replace", "Lowercase"]
+            store.update(tok=tok, young={}, old={}, plain=plain,
+                         split=regex.compile(split["pattern"]["Regex"]).findall if plain else None,
                          to_bytes=pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
         self.store = store
 
-    def piece(self, piece: str) -> list[int]:
-        pieces = self.store["pieces"]
-        got = pieces.get(piece)
+    def unit(self, unit: bytes) -> list[int]:
+        """Ids of one unit; the two newest generations of units are kept."""
+        store = self.store
+        got = store["young"].get(unit)
         if got is None:
-            if len(pieces) >= _CACHE:
-                pieces.clear()
-            raw = self.store["to_bytes"].pre_tokenize_str(piece)[0][0] if not piece.isascii() else piece
-            got = pieces[piece] = [t.id for t in self.store["tok"].model.tokenize(raw)]
+            got = store["old"].get(unit)
+            if got is None:
+                text, tokenize = unit.decode(), store["tok"].model.tokenize
+                got = [t.id for p in (store["split"](text) if "'" in text else (text,))
+                       for t in tokenize(p if p.isascii()
+                                         else store["to_bytes"].pre_tokenize_str(p)[0][0])]
+            if len(store["young"]) >= _CACHE:
+                store["old"], store["young"] = store["young"], {}
+            store["young"][unit] = got
         return got
 
-    def word(self, word: str) -> list[int]:
-        words = self.store["words"]
-        if len(words) >= _CACHE:
-            words.clear()
-        out: list[int] = []
-        for piece in self.store["split"](word):
-            out += self.piece(piece)
-        words[word] = out
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if not self.store["by_word"] or _OTHER.search(text):
-            return self.store["tok"].encode(text, add_special_tokens=False).ids
-        get, out = self.store["words"].get, []
-        for w in text.lower().split():
-            ids = get(w)
-            out += self.word(w) if ids is None else ids
+    def plain_group(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each of a group of plain texts."""
+        raw = [t.lower().encode() for t in texts]
+        buf = b"\n".join(raw)
+        begin = np.cumsum([0] + [len(r) + 1 for r in raw])
+        h, s, e = hashed_words(buf, _byte_classes() != _SPACE, _units)
+        if not len(h):
+            return [np.zeros(0, np.uint32) for _ in texts]
+        code, distinct = pd.factorize(h)
+        first = np.zeros(len(distinct), np.int64)
+        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        ids = [self.unit(buf[a:b]) for a, b in zip(s[first].tolist(), e[first].tolist())]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
+        offset = np.cumsum(n) - n
+        each = n[code]
+        done = np.concatenate(([0], np.cumsum(each)))
+        out = flat[np.repeat(offset[code] - done[:-1], each) + np.arange(done[-1])]
+        bound = done[np.searchsorted(s, begin)]
+        return [out[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
+
+    def encode(self, texts, group_chars: int = 1 << 21):
+        """Ids of each text (null: none) in turn."""
+        whole = self.store["tok"].encode
+        group, places, out, size = [], [], [], 0
+        for t in texts:
+            t = t if isinstance(t, str) else ""
+            if not t or not self.store["plain"] or _OTHER.search(t):
+                out.append(np.array(whole(t, add_special_tokens=False).ids, np.uint32))
+            else:
+                places.append(len(out))
+                out.append(None)
+                group.append(t)
+                size += len(t)
+            if size >= group_chars:
+                yield from self._filled(out, places, group)
+                group, places, out, size = [], [], [], 0
+        yield from self._filled(out, places, group)
+
+    def _filled(self, out, places, group):
+        for i, ids in zip(places, self.plain_group(group) if group else []):
+            out[i] = ids
         return out
 
 
@@ -193,9 +257,10 @@ def encode_udf(tokenizer: str, end_id: int):
     32-bit little-endian integers."""
     def run(batches):
         enc = Encoder(tokenizer)
+        end = np.array([end_id], "<u4").tobytes()
         for texts in batches:
-            yield pd.Series([np.array(enc.encode(t if isinstance(t, str) else "") + [end_id],
-                                      "<u4").tobytes() for t in texts], dtype=object)
+            yield pd.Series([ids.astype("<u4").tobytes() + end for ids in enc.encode(texts)],
+                            dtype=object)
     return series_udf(run, "binary")
 
 
@@ -242,7 +307,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
 def _decoded(batches):
     """(shard, doc_id, offset in the shard, ids) of each document."""
     for batch in batches:
-        for r in batch.to_pylist():
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
             raw = unpack(r["payload"]).astype("<u4")
             n = np.array(r["lengths"], np.int64)
             start = np.cumsum(n) - n

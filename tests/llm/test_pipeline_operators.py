@@ -203,8 +203,12 @@ def test_encoder_equals_library(docs):
     odd = ["it's We'LL 'S x'd", "<|endoftext|> a", "é Å ﬁ İI ŉ", "a\x1cb\x85c\xa0d", "ÀÉ ÿŸ ſ ß", "12³ ½ª²"]
     odd += ["".join(chr(rnd.choice([*range(9, 14), *range(32, 127), *range(160, 384)]))
                     for _ in range(60)) for _ in range(300)]
-    for t in odd + [t for _, t in docs[:200]]:
-        assert enc.encode(t) == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    odd += ["".join(rnd.choice(["'", "s", "ll", "É", "7", "-", " ", "\n", "a", "re"])
+                    for _ in range(40)) for _ in range(300)] + ["'", "a 'b' c'", "x\n'"]
+    texts = odd + [t for _, t in docs[:200]] + ["", None]
+    for size in (1, 1 << 10, 1 << 22):
+        for t, ids in zip(texts, enc.encode(texts, size), strict=True):
+            assert ids.tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
 def test_token_files_edges(spark, edge, empty):
