@@ -34,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_words, series_udf, shared_path, small, stage, worker_store
+from .common import hashed_words, series_udf, shared_path, small, worker_store
 
 BLOCK_IDS = 128
 CHUNK_IDS = 1 << 16
-SHARD_IDS = 1 << 24
+SHARD_BYTES = 48 << 20
 #: Fixed values of the format: ids per word and bits per id, by selector.
 #: Selector 0 is the escape.
 COUNTS = (1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -129,7 +129,7 @@ def unpack(payload: bytes) -> np.ndarray:
 #: Texts of other characters than these (white space, printable ASCII, Latin
 #: letters) are left to the library as a whole.
 _OTHER = re.compile("[^\t-\r\x20-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]|<\\|")
-_CACHE = 150_000
+_CACHE = 100_000
 _SPACE, _LETTER, _DIGIT, _SIGN = range(4)
 
 
@@ -252,56 +252,87 @@ class Encoder:
         return out
 
 
-def encode_udf(tokenizer: str, end_id: int):
+def encode_udf(tokenizer: str, end_id: int, width: str = "<u4"):
     """Column function: a text's ids and the end id, as bytes of unsigned
-    32-bit little-endian integers."""
+    little-endian integers of type ``width``."""
     def run(batches):
         enc = Encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], width).tobytes()
         for texts in batches:
-            yield pd.Series([ids.astype("<u4").tobytes() + end for ids in enc.encode(texts)],
+            yield pd.Series([ids.astype(width).tobytes() + end for ids in enc.encode(texts)],
                             dtype=object)
     return series_udf(run, "binary")
 
 
-def _chunks(batches):
-    """Rows of the file format from sorted rows (doc_id, ids)."""
-    shard, seq, first = TaskContext.get().partitionId(), 0, 0
-    docs, parts, held = [], [], 0
-
-    def row():
-        payload = pack(np.frombuffer(b"".join(parts), "<u4"))
-        return pa.RecordBatch.from_pylist([{
-            "shard": shard, "seq": seq, "first": first, "doc_ids": docs,
-            "lengths": [len(p) // 4 for p in parts], "payload": payload}], schema=pa.schema([
-                ("shard", pa.int32()), ("seq", pa.int64()), ("first", pa.int64()),
-                ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
-                ("payload", pa.binary())]))
-
-    for batch in batches:
-        for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-            ids = ids.as_py()
-            if parts and held + len(ids) // 4 > CHUNK_IDS:
-                yield row()
-                seq, first = seq + 1, first + held
-                docs, parts, held = [], [], 0
-            docs.append(doc)
-            parts.append(ids)
-            held += len(ids) // 4
-    if parts:
-        yield row()
+def _chunk_writer(width: str):
+    """Function from sorted rows (doc_id, ids) to rows of the file format."""
+    def chunks(batches):
+        shard, seq, first = TaskContext.get().partitionId(), 0, 0
+        size, docs, parts, held = np.dtype(width).itemsize, [], [], 0
+
+        def row():
+            payload = pack(np.frombuffer(b"".join(parts), width))
+            return pa.RecordBatch.from_pylist([{
+                "shard": shard, "seq": seq, "first": first, "doc_ids": docs,
+                "lengths": [len(p) // size for p in parts], "payload": payload}], schema=pa.schema([
+                    ("shard", pa.int32()), ("seq", pa.int64()), ("first", pa.int64()),
+                    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
+                    ("payload", pa.binary())]))
+
+        for batch in batches:
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+                ids = ids.as_py()
+                if parts and held + len(ids) // size > CHUNK_IDS:
+                    yield row()
+                    seq, first = seq + 1, first + held
+                    docs, parts, held = [], [], 0
+                docs.append(doc)
+                parts.append(ids)
+                held += len(ids) // size
+        if parts:
+            yield row()
+    return chunks
+
+
+def shard_bounds(ids: DataFrame, shards: int) -> list[int]:
+    """Least id of each of about ``shards`` ranges of equally many ids, but
+    the first (one long per file that will be written)."""
+    if shards == 1:
+        return []
+    least = (ids.where(F.col("doc_id").isNotNull()).repartitionByRange(shards, "doc_id")
+             .groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("b")))
+    return sorted(r.b for r in least.select("b").collect())[1:]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
-                 doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write the ids of all texts, in ascending id order, to ``path``."""
-    ids = stage(docs.select(F.col(doc_id).cast("long").alias("doc_id"),
-                            F.xxhash64(F.col(text)).alias("tie"),
-                            encode_udf(tokenizer, end_id)(F.col(text)).alias("ids")), "ids")
-    total = ids.agg(F.sum(F.octet_length("ids")).alias("n")).first().n or 0
-    shards = max(1, -(-total // (4 * SHARD_IDS)))
-    (ids.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-     .select("doc_id", "ids").mapInArrow(_chunks, FILE).write.parquet(path))
+                 doc_id: str = "doc_id", text: str = "text",
+                 shard_bytes: int = SHARD_BYTES) -> None:
+    """Write the ids of all texts, in ascending id order, to ``path``.
+
+    Ranges of ids for the files come from the id column alone, so texts are
+    encoded once and only their ids are shuffled.
+    """
+    from tokenizers import Tokenizer
+    vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
+    width = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    bounds = shard_bounds(rows.select("doc_id"), max(1, -(-size // shard_bytes)))
+    edges = np.array(bounds, np.int64)
+
+    def place(batches):
+        for ids in batches:
+            at = np.searchsorted(edges, ids.fillna(0).to_numpy(np.int64), side="right")
+            yield pd.Series(np.where(ids.isna(), 0, at).astype(np.int32))
+
+    ids = rows.select("doc_id", F.xxhash64("text").alias("tie"),
+                      encode_udf(tokenizer, end_id, width)(F.col("text")).alias("ids"))
+    if bounds:
+        ids = ids.repartitionById(len(bounds) + 1, series_udf(place, "int")(F.col("doc_id")))
+    else:
+        ids = ids.repartition(1)
+    (ids.sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+     .mapInArrow(_chunk_writer(width), FILE).write.parquet(path))
 
 
 def _decoded(batches):

@@ -211,6 +211,15 @@ def test_encoder_equals_library(docs):
             assert ids.tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_token_files_in_shards(spark, docs, tmp_path):
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(d, path, queries.tokenizer_path(), shard_bytes=100_000)
+    assert spark.read.parquet(path).select("shard").distinct().count() > 10
+    got = queries.token_digest(token_files.read_tokens(spark, path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute.token_rows(docs, queries.tokenizer_path())
+
+
 def test_token_files_edges(spark, edge, empty):
     rows = token_files.round_trip(edge, queries.tokenizer_path()).orderBy("start").collect()
     assert len(rows) == edge.count() and rows[0].doc_id is None and rows[0].start == 0
