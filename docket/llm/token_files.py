@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_words, series_udf, shared_path, small, worker_store
+from .common import hashed_words, shared_path, small, worker_store
 
 BLOCK_IDS = 128
 CHUNK_IDS = 1 << 16
@@ -252,16 +253,25 @@ class Encoder:
         return out
 
 
-def encode_udf(tokenizer: str, end_id: int, width: str = "<u4"):
-    """Column function: a text's ids and the end id, as bytes of unsigned
-    little-endian integers of type ``width``."""
-    def run(batches):
+def encode_udf(tokenizer: str, end_id: int, width: str, bounds: list[int]):
+    """Function of (id, text) columns: struct of ``shard`` (number of the
+    id's range, by the least ids of all ranges but the first; a null id is in
+    the first) and ``ids`` (a text's ids and the end id, as bytes of unsigned
+    little-endian integers of type ``width``)."""
+    edges = np.array(bounds, np.int64)
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         enc = Encoder(tokenizer)
         end = np.array([end_id], width).tobytes()
-        for texts in batches:
-            yield pd.Series([ids.astype(width).tobytes() + end for ids in enc.encode(texts)],
-                            dtype=object)
-    return series_udf(run, "binary")
+        for doc, texts in batches:
+            at = np.searchsorted(edges, doc.fillna(0).to_numpy(np.int64), side="right")
+            yield pd.DataFrame({
+                "shard": np.where(doc.isna(), 0, at),
+                "ids": pd.Series([ids.astype(width).tobytes() + end for ids in enc.encode(texts)],
+                                 dtype=object)})
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]],
+                           "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, "shard int, ids binary")
 
 
 def _chunk_writer(width: str):
@@ -318,19 +328,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     bounds = shard_bounds(rows.select("doc_id"), max(1, -(-size // shard_bytes)))
-    edges = np.array(bounds, np.int64)
-
-    def place(batches):
-        for ids in batches:
-            at = np.searchsorted(edges, ids.fillna(0).to_numpy(np.int64), side="right")
-            yield pd.Series(np.where(ids.isna(), 0, at).astype(np.int32))
-
     ids = rows.select("doc_id", F.xxhash64("text").alias("tie"),
-                      encode_udf(tokenizer, end_id, width)(F.col("text")).alias("ids"))
-    if bounds:
-        ids = ids.repartitionById(len(bounds) + 1, series_udf(place, "int")(F.col("doc_id")))
-    else:
-        ids = ids.repartition(1)
+                      encode_udf(tokenizer, end_id, width, bounds)("doc_id", "text").alias("e"))
+    ids = ids.select("doc_id", "tie", "e.*").repartitionById(len(bounds) + 1, F.col("shard"))
     (ids.sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
      .mapInArrow(_chunk_writer(width), FILE).write.parquet(path))
 
