@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_rules, mixing, simhash, token_files
+from . import class_lm, decontam, langid, line_rules, mixing, simhash, token_files
 from .common import table
 
 
@@ -42,6 +42,16 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-bigram and unigram log probabilities of all documents."""
+    return class_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by rank-order profiles."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents inside 10-word windows of the benchmark."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,5 +63,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op3_simhash, op4_line_rules, op6_token_files,
+                                   op7_class_lm, op8_language_id,
                                    op10_decontamination)}
 ORACLES: dict[str, str] = {}
