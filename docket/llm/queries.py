@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontam, langid, line_rules, mixing, simhash, token_files
+from . import (class_lm, cotraining, decontam, langid, licenses, line_rules, mixing, perspectives,
+               simhash, token_files)
 from .common import table
 
 
@@ -20,6 +21,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of all documents by co-trained classifiers."""
+    docs = table(spark, sf_dir, "documents")
+    models = cotraining.fit(docs, table(spark, sf_dir, "labels"), ["quality", "toxic"])
+    scores = cotraining.score(docs, models)
+    good, toxic = F.col("quality_score") >= 0.5, F.col("toxic_score") >= 0.5
+    return scores.select("*", good.alias("good_quality"), toxic.alias("toxic"),
+                         (good & ~toxic).alias("kept"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents whose fingerprints are linked at 2 bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
@@ -37,6 +48,13 @@ def token_digest(decoded: DataFrame) -> DataFrame:
     return decoded.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents by sentence rules."""
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.array_join("licenses", ",").alias("licenses"),
+        F.array_join("sentences", ",").alias("sentences"), "n_unknown", "n_partial")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the ids of all documents to Simple-8b files and read them back."""
     return token_digest(token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path()))
@@ -52,6 +70,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations from the view of each participant."""
+    return perspectives.rotate(table(spark, sf_dir, "conversations")).withColumn(
+        "mask", perspectives.mask_text(F.col("mask")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents inside 10-word windows of the benchmark."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -62,7 +86,80 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("c.n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_simhash, op4_line_rules, op6_token_files,
-                                   op7_class_lm, op8_language_id,
-                                   op10_decontamination)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_mixing, op2_quality, op3_simhash, op4_line_rules, op5_licenses, op6_token_files,
+    op7_class_lm, op8_language_id, op9_perspectives, op10_decontamination)}
+
+ORACLES: dict[str, str] = {
+    "op1_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::DOUBLE AS sz,
+         [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
+  FROM d GROUP BY source),
+f AS (
+  SELECT *, sum(2 * sz) OVER (ORDER BY 2 * sz / w, source ROWS UNBOUNDED PRECEDING)
+            + 2 * sz / w * (sum(w) OVER () - sum(w) OVER (ORDER BY 2 * sz / w, source ROWS UNBOUNDED PRECEDING))
+            <= 1.5 * sum(sz) OVER () AS is_full
+  FROM s),
+t AS (
+  SELECT source, sz, least(2 * sz, round(CASE WHEN is_full THEN 2 * sz ELSE
+           (1.5 * sum(sz) OVER () - sum(CASE WHEN is_full THEN 2 * sz ELSE 0 END) OVER ())
+           / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER () * w END, 6)) AS target
+  FROM f),
+c AS (
+  SELECT d.*, sz, target, CASE WHEN sz > 0 THEN floor(target / sz) ELSE 0 END AS passes,
+         sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto,
+         sum(size) OVER (PARTITION BY d.source, h) AS unit
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, sz::BIGINT AS source_size, target,
+       (size * (passes + CASE WHEN target - passes * sz > 0 AND upto - unit < target - passes * sz
+                               AND 2 * upto - unit <= 2 * (target - passes * sz) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c""",
+    "op9_perspectives": """
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, floor(turn / 64)::BIGINT AS part,
+         count(*) AS k FROM conversations GROUP BY ALL),
+v AS (
+  SELECT t.*, s.role AS speaker,
+         CASE WHEN t.role = s.role THEN '<|assistant|>' || chr(10)
+              WHEN t.role = 'system' THEN '<|system|>' || chr(10)
+              ELSE '<|user name=' || coalesce(t.role, 'unknown') || '|>' || chr(10) END AS head
+  FROM t JOIN (SELECT DISTINCT conv_id, role FROM t WHERE role <> 'system') s
+    ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+p AS (
+  SELECT *, sum(length(head) + length(text) + 8) OVER (
+           PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop
+  FROM v)
+SELECT conv_id, speaker, part, sum(k)::BIGINT AS n_rows, count(*) AS n_turns,
+       count(*) FILTER (role = speaker) AS n_own,
+       string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered,
+       coalesce(string_agg((stop - length(text) - 8)::BIGINT || '-' || stop::BIGINT, ',' ORDER BY turn, role, text)
+         FILTER (role = speaker), '') AS mask
+FROM p GROUP BY conv_id, speaker, part""",
+    "op10_decontamination": r"""
+WITH x AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+  FROM b, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) u(i) WHERE len(w) > 0),
+dw AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM x, (SELECT DISTINCT n FROM bw) k, unnest(generate_series(1, len(w) - n + 1)) u(i) WHERE len(w) >= n),
+h AS (SELECT doc_id, dw.n, i, item_id FROM dw JOIN bw USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit
+        FROM h, unnest(generate_series(i, i + n - 1)) u(j) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id)
+SELECT x.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM x LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+}
