@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_groups
+from .common import short_batches, stage, text_groups
 
 ADD = 0.5
 GROUPS = 256
@@ -294,6 +294,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     """Train on the documents outside the held-out fold and score all: one row
     per document with ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score`` and ``score`` (log10 probabilities)."""
+    short_batches()
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
                        (split_number(F.col(doc_id), folds) == held_fold).alias("held_out"))

@@ -58,9 +58,18 @@ def worker_store(name: str) -> dict:
     return sys.modules[key].__dict__.setdefault(name, {})
 
 
+def short_batches() -> None:
+    """Let the session hand texts to Python in batches of a few megabytes:
+    10,000 rows, its own bound, can be a large part of a worker's memory."""
+    conf = SparkSession.active().conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def series_udf(run, returns: str):
     """Pandas UDF of ``run``: an iterator of Series in, an iterator of Series
     (or of DataFrames, for a struct type) out."""
+    short_batches()
     out = pd.DataFrame if "," in returns else pd.Series
     run.__annotations__ = {next(iter(run.__code__.co_varnames)): Iterator[pd.Series],
                            "return": Iterator[out]}

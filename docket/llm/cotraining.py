@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, text_groups
+from .common import hashed_words, short_batches, text_groups
 
 TEXT_DIM = 1 << 13
 META_DIM = 1 << 10
@@ -209,6 +209,7 @@ def _draw(id_column, n: int, of: int):
 def fit(docs: DataFrame, labels: DataFrame, targets: list[str], doc_id: str = "doc_id",
         sample: int = 4096, pool: int = 4096, rounds: int = 4) -> dict:
     """{target: model} for each label column of ``labels``."""
+    short_batches()
     known = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("i")).agg(
         *[F.round(F.avg(t)).alias(f"y{k}") for k, t in enumerate(targets)])
     drawn = known.where(_draw(F.col("i"), sample, known.count())).limit(2 * sample)
@@ -253,6 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: list[str], doc_id: str = "d
 def score(docs: DataFrame, models: dict, doc_id: str = "doc_id") -> DataFrame:
     """``doc_id`` and, for each target, ``<target>_text``, ``<target>_meta``
     and ``<target>_score``."""
+    short_batches()
     names = [f"{t}_{kind}" for t in models for kind in ("text", "meta", "score")]
     held = docs.sparkSession.sparkContext.broadcast(models)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .class_lm import split_number
-from .common import series_udf
+from .common import series_udf, short_batches
 
 UNKNOWN = "und"
 MAX_LANGUAGES = 5_000
@@ -152,6 +152,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
                        F.col(lang).cast("string").alias("lang"),
                        (split_number(F.col(doc_id), folds) == held_fold).alias("held_out"))
+    short_batches()
     found = profiles(rows.where(~F.col("held_out") & F.col("lang").isNotNull()), profile_size)
     return rows.withColumn("p", predictor(found, profile_size)(F.col("text"))).select(
         "doc_id", "held_out", "p.lang_pred", "p.score")

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_words, shared_path, small, worker_store
+from .common import hashed_words, shared_path, short_batches, small, worker_store
 
 BLOCK_IDS = 128
 CHUNK_IDS = 1 << 16
@@ -258,6 +258,7 @@ def encode_udf(tokenizer: str, end_id: int, width: str, bounds: list[int]):
     id's range, by the least ids of all ranges but the first; a null id is in
     the first) and ``ids`` (a text's ids and the end id, as bytes of unsigned
     little-endian integers of type ``width``)."""
+    short_batches()
     edges = np.array(bounds, np.int64)
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -356,6 +357,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of each document of the files; ``start``
     counts the ids of all documents before it, ``ids`` are 32-bit unsigned
     little-endian integers."""
+    short_batches()
     files = spark.read.schema(FILE).parquet(path)
     sizes = files.groupBy("shard").agg(F.sum(F.expr(
         "aggregate(lengths, 0L, (a, x) -> a + x)")).alias("n"))
