@@ -119,6 +119,42 @@ SELECT doc_id, size::BIGINT AS size, sz::BIGINT AS source_size, target,
        (size * (passes + CASE WHEN target - passes * sz > 0 AND upto - unit < target - passes * sz
                                AND 2 * upto - unit <= 2 * (target - passes * sz) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c""",
+    "op4_line_rules": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM d, unnest(generate_series(1, len(w) - 2)) u(i) WHERE len(w) > 2),
+r AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n
+  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g), (VALUES (0), (1), (2)) v(j)
+  WHERE k > 1 GROUP BY doc_id),
+l AS (
+  SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS k,
+         len(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS solid,
+         len(regexp_extract_all(line, '[!?]')) AS marks, len(regexp_extract_all(line, '[#*$%&<>]')) AS signs,
+         len(regexp_extract_all(line, '[|»•]')) AS seps,
+         regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           'accept all cookies|we use cookies|cookie policy|privacy policy|terms of service|terms of use|all rights reserved|enable javascript|click here|read more|sign up|log in|subscribe to our newsletter|share this|back to top|skip to content|follow us on|lorem ipsum') AS phrase
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+b AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS dup,
+         count(*) FILTER (bad) AS bad, coalesce(sum(k) FILTER (bad), 0) AS lost
+  FROM (SELECT *, 10 * marks > solid OR 10 * signs > solid OR seps >= 3 OR 2 * seps >= k
+                  OR (k <= 40 AND phrase) AS bad FROM l WHERE k > 0)
+  GROUP BY doc_id),
+x AS (
+  SELECT d.doc_id, len(w) AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+         coalesce(r.n, 0) AS n_repeat_words, coalesce(bad, 0) AS n_bad_lines, coalesce(lost, 0) AS lost_words
+  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN b USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_words <= 30 * n_words AS kept,
+       n_bad_lines::BIGINT AS n_bad_lines, lost_words::BIGINT AS lost_words
+FROM x""",
     "op9_perspectives": """
 WITH t AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text, floor(turn / 64)::BIGINT AS part,

@@ -130,7 +130,7 @@ def unpack(payload: bytes) -> np.ndarray:
 #: Texts of other characters than these (white space, printable ASCII, Latin
 #: letters) are left to the library as a whole.
 _OTHER = re.compile("[^\t-\r\x20-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]|<\\|")
-_CACHE = 100_000
+_CACHE = 50_000
 _SPACE, _LETTER, _DIGIT, _SIGN = range(4)
 
 
@@ -183,9 +183,9 @@ class Encoder:
             import regex
             from tokenizers import Tokenizer, pre_tokenizers
             tok = Tokenizer.from_file(path)
-            form = json.loads(tok.to_str())
-            split = (form.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-            steps = [x.get("type") for x in (form.get("normalizer") or {}).get("normalizers", [])]
+            form = [json.loads(x.__getstate__()) if x else {} for x in (tok.normalizer, tok.pre_tokenizer)]
+            steps = [x.get("type") for x in form[0].get("normalizers", [])]
+            split = form[1].get("pretokenizers", [{}])[0]
             plain = split.get("type") == "Split" and steps == ["NFC", "Replace", "Lowercase"]
             store.update(tok=tok, young={}, old={}, plain=plain,
                          split=regex.compile(split["pattern"]["Regex"]).findall if plain else None,
@@ -270,6 +270,7 @@ def encode_udf(tokenizer: str, end_id: int, width: str, bounds: list[int]):
                 "shard": np.where(doc.isna(), 0, at),
                 "ids": pd.Series([ids.astype(width).tobytes() + end for ids in enc.encode(texts)],
                                  dtype=object)})
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]],
                            "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(run, "shard int, ids binary")
