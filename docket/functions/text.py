@@ -96,5 +96,5 @@ def literal_eval_list(s: pd.Series) -> pd.Series:
         if x is None:
             return None
         v = ast.literal_eval(x)
-        return [str(i) for i in v]
+        return [None if i is None else str(i) for i in v]
     return s.map(one)

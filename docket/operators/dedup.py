@@ -41,11 +41,22 @@ def duplicate_row_ids(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
 
 
 def split_null_keys(df: DataFrame, cfg: TriageConfig = DEFAULT):
-    """Rows without a case key cannot be grouped: (kept, rejected)."""
-    kept = df.where(F.col(cfg.key).isNotNull())
-    rejected = (df.where(F.col(cfg.key).isNull())
-                .withColumn("reason", F.lit("null_key")))
-    return kept, rejected
+    """Rows without a day, a row id or a case key cannot be grouped or named:
+    (kept, rejected with the first ``reason`` of these)."""
+    reason = F.lit(None).cast("string")
+    for column, name in ((cfg.key, "null_key"), (cfg.row_id, "null_row_id"), (cfg.day, "null_day")):
+        reason = F.when(F.col(column).isNull(), F.lit(name)).otherwise(reason)
+    return df.where(reason.isNull()), df.where(reason.isNotNull()).withColumn("reason", reason)
+
+
+def rejected_notices(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
+    """The rows ``label_similar`` does not label, with a ``reason``: no day,
+    row id or key, or a null text in a repeated case."""
+    kept, rejected = split_null_keys(df, cfg)
+    repeated = (kept.groupBy(cfg.day, cfg.key).agg(F.count(F.lit(1)).alias("_n"))
+                .where(F.col("_n") > 1).drop("_n"))
+    no_text = kept.where(F.col(cfg.text).isNull()).join(repeated, [cfg.day, cfg.key], "left_semi")
+    return rejected.unionByName(no_text.select(*df.columns).withColumn("reason", F.lit("null_text")))
 
 
 def copy_facts(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
@@ -66,27 +77,34 @@ def copy_facts(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
 
 
 def case_frequency(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
-    """A1: number of rows of the same (day, key), added to every row."""
+    """A1: number of rows of the same (day, key), added to every row (rows
+    without a day or key count together)."""
     d, k_ = cfg.day, cfg.key
-    counts = df.groupBy(d, k_).agg(F.count(F.lit(1)).alias("noccur"))
-    return df.join(counts, [d, k_])
+    counts = df.groupBy(F.col(d).alias("_day"), F.col(k_).alias("_case")).agg(
+        F.count(F.lit(1)).alias("noccur"))
+    return df.join(counts, F.col(d).eqNullSafe(F.col("_day"))
+                   & F.col(k_).eqNullSafe(F.col("_case"))).drop("_day", "_case")
 
 
 def exact_copy_leaders(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
     """W1 + W2: singletons represent themselves; exact-copy groups of two or
-    more take their smallest row id; everything else is -1 (not yet decided)."""
-    facts = copy_facts(split_null_keys(df, cfg)[0], cfg)
+    more take their smallest row id; everything else is -1 (not yet
+    decided), rows without a day, id or key among it (their ``noccur`` is null)."""
+    kept, rejected = split_null_keys(df, cfg)
+    facts = copy_facts(kept, cfg)
     sim = (F.when(F.col("noccur") == 1, F.col(cfg.row_id))
            .when(F.col(cfg.text).isNotNull() & (F.col("n_exact") >= 2), F.col("exact_leader"))
            .otherwise(F.lit(UNDECIDED)).cast("bigint"))
-    return facts.withColumn("similar", sim).drop(_FP, "exact_leader", "n_exact")
+    facts = facts.withColumn("similar", sim).drop(_FP, "exact_leader", "n_exact")
+    return facts.unionByName(rejected.drop("reason").withColumns({
+        "noccur": F.lit(None).cast("bigint"), "similar": F.lit(UNDECIDED).cast("bigint")}))
 
 
 def label_similar_with_rejects(df: DataFrame, cfg: TriageConfig = DEFAULT):
     """(labelled, rejected).
 
     ``labelled`` = input rows + ``noccur`` + ``similar``.  ``rejected`` holds
-    rows with a null key, and rows with a null text in a repeated case (their
+    rows with a null day, row id or key, and rows with a null text in a repeated case (their
     case still counts them in ``noccur``).
     """
     cfg.check(df)
@@ -112,6 +130,8 @@ def label_similar_with_rejects(df: DataFrame, cfg: TriageConfig = DEFAULT):
 
 
 def label_similar(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
+    """The labelled half of ``label_similar_with_rejects``; ``rejected_notices``
+    is the other half."""
     return label_similar_with_rejects(df, cfg)[0]
 
 

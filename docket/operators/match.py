@@ -36,6 +36,7 @@ from .nearcopy import _cut, _union_all
 from .ranking import rank_within
 from .similarity import tfidf_cosine
 
+# Field names of a judge's answer.
 VERDICT_FIELDS = ("same_story", "same_goal", "same_litigation")
 VERDICT_SCHEMA = ("same_story boolean, same_goal boolean, same_litigation boolean, "
                   "`litigation-id` string")
@@ -56,20 +57,25 @@ def verdict_request(cur_text: Column, prev_text: Column) -> Column:
 def parse_verdict(response: Column) -> Column:
     """struct(match, error).
 
-    A response naming none of the three fields is skipped; otherwise it is
-    parsed as JSON.  Only JSON ``true`` counts: missing fields, strings and
-    malformed JSON give no match (and an error label) instead of failing.
+    A response naming none of the three fields is skipped; otherwise the whole
+    text must be one JSON object (text or a second value after it, or a bare
+    ``NaN``, is malformed).  Only JSON ``true`` counts: missing fields, strings
+    and malformed JSON give no match (and an error label) instead of failing.
     """
     gate = F.lit(False)
     for f in VERDICT_FIELDS:
         gate = gate | F.coalesce(response.contains(f), F.lit(False))
     parsed = F.from_json(response, VERDICT_SCHEMA)
     all_true = parsed["same_story"] & parsed["same_goal"] & parsed["same_litigation"]
-    match = F.when(gate, F.coalesce(all_true, F.lit(False))).otherwise(F.lit(False))
+    # As the single element of a list, nothing can follow the object unseen.
+    listed = F.try_parse_json(F.concat(F.lit("["), response, F.lit("]")))
+    whole = (listed.isNotNull() & F.ltrim(response).startswith("{")
+             & F.try_variant_get(listed, "$[1]", "variant").isNull())
     error = (F.when(response.isNull(), F.lit("no_response"))
              .when(~gate, F.lit("no_fields"))
-             .when(F.try_parse_json(response).isNull(), F.lit("malformed"))
+             .when(~whole, F.lit("malformed"))
              .when(all_true.isNull(), F.lit("not_all_boolean")))
+    match = error.isNull() & F.coalesce(all_true, F.lit(False))
     return F.struct(match.alias("match"), error.alias("error"))
 
 
@@ -110,20 +116,40 @@ class OfflineJudge:
 
 
 class CallableJudge:
-    """A Python function list[str] -> list[str] applied to request batches on executors."""
+    """A Python function list[str] -> list[str] applied to request batches on executors.
 
-    def __init__(self, fn: Callable[[list[str]], list[str]]):
+    A call that fails is repeated request by request; a request that fails
+    again has a null response (no match) and the message in ``call_error``.
+    ``first_width`` is the number of candidates asked at once in the first
+    round: 1, as a paid judge wants, asks none after a match.
+    """
+
+    def __init__(self, fn: Callable[[list[str]], list[str]], first_width: int = 1):
         self.fn = fn
+        self.first_width = first_width
 
     def respond(self, tries: DataFrame) -> DataFrame:
         fn = self.fn
         # StructType.add mutates in place; build a new schema instead.
-        schema = T.StructType([*tries.schema.fields, T.StructField("response", T.StringType())])
+        schema = T.StructType([*tries.schema.fields, T.StructField("response", T.StringType()),
+                               T.StructField("call_error", T.StringType())])
+
+        def ask(requests):
+            try:
+                out = list(fn(requests))
+                if len(out) != len(requests):
+                    raise ValueError(f"{len(out)} answers to {len(requests)} requests")
+                return [(x, None) for x in out]
+            except Exception as problem:  # the judge's own failure, of any kind
+                if len(requests) == 1:
+                    return [(None, f"{type(problem).__name__}: {problem}")]
+                return [a for r in requests for a in ask([r])]
 
         def run(batches):
             for pdf in batches:
-                out = fn(pdf["request"].tolist()) if len(pdf) else []
-                yield pdf.assign(response=pd.Series(out, index=pdf.index, dtype="object"))
+                out = ask(pdf["request"].tolist()) if len(pdf) else []
+                yield pdf.assign(response=pd.Series([a for a, _ in out], index=pdf.index, dtype="object"),
+                                 call_error=pd.Series([e for _, e in out], index=pdf.index, dtype="object"))
         return tries.mapInPandas(run, schema)
 
 
@@ -159,7 +185,7 @@ def _first_matches_in_rounds(prev_c: DataFrame, cur_c: DataFrame, judge) -> Data
     sizes = ranked.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     state = _cut(cur_c.join(sizes, "_key").select(
         "_key", "cur_id", "cur_text", "_n",
-        F.lit(0).cast("bigint").alias("_lo"), F.lit(FIRST_WIDTH).cast("bigint").alias("_w")))
+        F.lit(0).cast("bigint").alias("_lo"), F.lit(getattr(judge, "first_width", FIRST_WIDTH)).cast("bigint").alias("_w")))
     found: list[DataFrame] = []
     while not state.isEmpty():
         tries = (state.select("_key", "cur_id", "cur_text", F.explode(F.sequence(

@@ -20,7 +20,7 @@ def rank_within(df: DataFrame, group_cols: list[str], order_col: str,
                 out: str = "rank", chunk: int = DEFAULT_CHUNK,
                 extra_order: list | None = None) -> DataFrame:
     """0-based position of each row in its group by ``order_col`` (unique
-    within the group).  ``extra_order`` columns, if given, sort before the
+    within the group; nulls come first).  ``extra_order`` columns, if given, sort before the
     order column and also split chunks (e.g. the O1 undecided flag)."""
     if chunk <= 0 or chunk & (chunk - 1):
         raise ValueError("chunk must be a power of two")
@@ -36,6 +36,12 @@ def rank_within(df: DataFrame, group_cols: list[str], order_col: str,
     off_w = (Window.partitionBy(*group_cols).orderBy(*ck_cols)
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(off_w), F.lit(0))).drop("_n")
-    return (local.join(offsets, [*group_cols, *ck_cols])
+    # Null groups and null order values match too: no row is lost.
+    keys = [*group_cols, *ck_cols]
+    offsets = offsets.select("_off", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(keys)])
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    return (local.join(offsets, same)
             .withColumn(out, (F.col("_local") + F.col("_off")).cast("bigint"))
-            .drop("_local", "_off", *ck_cols))
+            .drop("_local", "_off", *ck_cols, *[f"_o{i}" for i in range(len(keys))]))

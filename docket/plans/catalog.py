@@ -303,6 +303,15 @@ def _landing(spark, sf):
                                 upload_time=F.lit("2024-06-21 09:00:00").cast("timestamp"))
 
 
+def q_rejected_notices(spark, sf):
+    """Rows that cannot be labelled: notices with nulls planted by row id."""
+    n = _notices(spark, sf)
+    hole = lambda c, k: F.when(F.col("row_id") % 23 == k, None).otherwise(F.col(c))
+    n = n.select(F.col("row_id").alias("id"), hole("row_id", 3).alias("row_id"), hole("dia", 5).alias("dia"),
+                 hole("processo", 7).alias("processo"), hole("intimacao", 9).alias("intimacao"))
+    return dedup.rejected_notices(n, CFG).select("id", "reason")
+
+
 def q_landing_accept(spark, sf):
     acc, _ = _landing(spark, sf)
     return acc.select("order", "path", "content_type", "owner")
@@ -397,6 +406,7 @@ QUERIES = {
     "tfidf_pair_cosine": q_tfidf_pair_cosine,
     "iso_cleanup": q_iso_cleanup,
     "assign_row_ids": q_assign_row_ids,
+    "rejected_notices": q_rejected_notices,
     "landing_accept": q_landing_accept,
     "landing_refused": q_landing_refused,
     "content_type": q_content_type,
@@ -573,6 +583,13 @@ ORACLES = {
         + " SELECT cp.conv_id, cp.turn, round(tc.cosine, 6) AS cosine FROM cp LEFT JOIN tc USING (conv_id, turn)",
     "iso_cleanup": "SELECT event_id, replace(split_part(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '.', 1), 'T', ' ') AS ts_clean FROM events",
     "assign_row_ids": "SELECT event_id, CAST(ts AS DATE) AS dia, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) - 1 AS row_id FROM events",
+    "rejected_notices": f"""WITH {_N}, h AS (SELECT row_id AS id, CASE WHEN row_id % 23 = 3 THEN NULL ELSE row_id END AS rid,
+        CASE WHEN row_id % 23 = 5 THEN NULL ELSE dia END AS d, CASE WHEN row_id % 23 = 7 THEN NULL ELSE processo END AS p,
+        CASE WHEN row_id % 23 = 9 THEN NULL ELSE intimacao END AS t FROM notices),
+        c AS (SELECT *, count(*) FILTER (rid IS NOT NULL) OVER (PARTITION BY d, p) AS n FROM h)
+        SELECT id, CASE WHEN d IS NULL THEN 'null_day' WHEN rid IS NULL THEN 'null_row_id' WHEN p IS NULL THEN 'null_key'
+        ELSE 'null_text' END AS reason FROM c
+        WHERE d IS NULL OR rid IS NULL OR p IS NULL OR (t IS NULL AND n > 1)""",
     "landing_accept": f"""WITH {_PAGES} SELECT "order", path, {_CTYPE} AS content_type, '{LANDING_OWNER}' AS owner
         FROM planned WHERE "order" = first_order""",
     "landing_refused": f"""WITH {_PAGES} SELECT "order", path, 'exists' AS reason FROM planned WHERE "order" > first_order""",

@@ -9,7 +9,7 @@ the batch are found with a per-path minimum.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import (base_name, join_path, literal_eval_list, parse_list_literal,
@@ -23,20 +23,21 @@ OOXML_SHEET = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet
 
 
 def content_type(content: Column) -> Column:
-    """Type from the first bytes (stored with the file, never a reason to refuse)."""
+    """Type from magic numbers; text only if no byte of the whole content is
+    a control character (stored with the file, never a reason to refuse)."""
     head = F.hex(F.substring(content, 1, 8))
     # Latin-1 maps every byte to one char, so a cut multi-byte sequence is harmless.
-    raw_head = F.decode(F.substring(content, 1, 512), "ISO-8859-1")
-    text_head = F.lower(F.ltrim(raw_head))
+    raw = F.decode(content, "ISO-8859-1")
+    text_head = F.lower(F.ltrim(F.decode(F.substring(content, 1, 512), "ISO-8859-1")))
     return (F.when(head.startswith(ZIP_MAGIC),
-                   F.when(F.instr(F.decode(content, "ISO-8859-1"), "xl/") > 0, F.lit(OOXML_SHEET))
+                   F.when(F.instr(raw, "xl/") > 0, F.lit(OOXML_SHEET))
                    .otherwise(F.lit("application/zip")))
             .when(head.startswith(OLE2_MAGIC), F.lit("application/x-ole-storage"))
             .when(head.startswith(PDF_MAGIC), F.lit("application/pdf"))
             .when(text_head.startswith("<!doctype html") | text_head.startswith("<html"),
                   F.lit("text/html"))
             .when(F.length(content) == 0, F.lit("application/x-empty"))
-            .when(~raw_head.rlike("[\\x00-\\x08\\x0E-\\x1F]"),
+            .when(~raw.rlike("[\\x00-\\x08\\x0E-\\x1F]"),
                   F.lit("text/plain"))
             .otherwise(F.lit("application/octet-stream")))
 
@@ -51,13 +52,15 @@ def plan_landing(batch: DataFrame, catalog: DataFrame, folder: str, owner: str,
     """S6 + S7: (accepted, refused).
 
     A file is refused when its destination path already exists in the
-    catalog or an earlier file of the batch lands on the same path.  With
+    catalog, an earlier file of the batch lands on the same path, or it has no
+    name (reason ``no_name``).  With
     ``stop_at_first`` the batch stops at the first refusal, as an
     interactive upload does: later files are neither landed nor refused
     (``skipped``).  Accepted rows carry the metadata to store.
     """
     upload_time = upload_time if upload_time is not None else F.current_timestamp()
-    planned = batch.withColumn("path", join_path(folder, F.col("name")))
+    nameless = batch.where(F.col("name").isNull())
+    planned = batch.where(F.col("name").isNotNull()).withColumn("path", join_path(folder, F.col("name")))
     first = planned.groupBy("path").agg(F.min("order").alias("_first"))
     marked = (planned.join(first, "path")
               .join(catalog.select("path").distinct().withColumn("_exists", F.lit(True)), "path", "left")
@@ -79,15 +82,20 @@ def plan_landing(batch: DataFrame, catalog: DataFrame, folder: str, owner: str,
     refused = (marked.where(F.col("_clash") & ~F.col("_skip"))
                .withColumn("reason", F.lit("exists"))
                .drop("_clash", "_skip"))
-    return accepted, refused
+    no_name = (nameless.withColumn("path", F.lit(None).cast("string"))
+               .withColumn("reason", F.lit("no_name")).select(*refused.columns))
+    return accepted, refused.unionByName(no_name)
 
 
 def files_from_binary(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
     """S2/S9 source: a folder of files as (name, content, order by path)."""
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
            .option("recursiveFileLookup", "true").load(path))
-    return raw.select(base_name(F.col("path")).alias("name"), "content",
-                      F.col("path").alias("source_path"), "modificationTime")
+    files = raw.select(base_name(F.col("path")).alias("name"), "content",
+                       F.col("path").alias("source_path"), "modificationTime")
+    ids = raw.select(F.col("path").alias("_path")).select(
+        "_path", F.row_number().over(Window.orderBy("_path")).cast("bigint").alias("order"))
+    return files.join(ids, files["source_path"] == ids["_path"]).drop("_path")
 
 
 def list_prefix(catalog: DataFrame, prefix: str, name: str = "name") -> DataFrame:
@@ -99,9 +107,9 @@ def manifest_files(listed: DataFrame, meta: str = "list_files_compare") -> DataF
     """every file name recorded in the manifests, flattened.
 
     Simple literals are parsed on the JVM; the others (quotes or escapes in
-    a name) go through ``ast.literal_eval`` in a separate branch, so the
+    a name, tuples, trailing commas, ``None``) go through ``ast.literal_eval`` in a separate branch, so the
     Python UDF only sees those rows."""
-    simple = simple_list_literal(F.col(meta))
+    simple = simple_list_literal(F.col(meta)) & parse_list_literal(F.col(meta)).isNotNull()
     fast = listed.where(simple).select("*", F.explode(parse_list_literal(F.col(meta))).alias("file_name"))
     slow = listed.where(~simple).select("*", F.explode(literal_eval_list(F.col(meta))).alias("file_name"))
     return fast.unionByName(slow)

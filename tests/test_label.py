@@ -87,6 +87,23 @@ def test_null_rules(spark):
     assert {(r.row_id, r.reason) for r in rej.collect()} == {(0, "null_key"), (2, "null_text")}
 
 
+def test_no_row_is_lost(spark):
+    df = spark.createDataFrame(
+        [(0, None, "K", "a"), (None, 0, "K", "a"), (2, 0, None, "a"), (3, 0, "K", None), (4, 0, "K", "b"),
+         (5, 0, "K", "b"), (6, 0, "L", None), (None, None, None, None)],
+        "row_id bigint, dia bigint, processo string, intimacao string")
+    lab, rej = dedup.label_similar_with_rejects(df)
+    assert lab.count() + rej.count() == df.count()
+    reasons = sorted((str(r.row_id), r.reason) for r in rej.collect())
+    assert reasons == [("0", "null_day"), ("2", "null_key"), ("3", "null_text"), ("None", "null_day"),
+                       ("None", "null_row_id")]
+    assert sorted((str(r.row_id), r.reason) for r in dedup.rejected_notices(df).collect()) == reasons
+    assert dedup.case_frequency(df).count() == df.count()
+    leaders = dedup.exact_copy_leaders(df)
+    assert leaders.count() == df.count()
+    assert {r.similar for r in leaders.where("dia is null or row_id is null or processo is null").collect()} == {-1}
+
+
 def test_narrow_rounds_match_model(spark):
     """Two heads per round at most: many rounds, same answer."""
     from docket.config import DEFAULT

@@ -67,6 +67,30 @@ def test_verdict_deviations(spark):
                    (False, "no_response")]
 
 
+def test_only_a_whole_object_is_an_answer(spark):
+    bad = [YES + " so it is", YES + YES, YES + ", " + YES, f"[{YES}]", "well: " + YES,
+           YES[:-1] + ', "x": NaN}']
+    p = match.parse_verdict(F.col("r"))
+    df = spark.createDataFrame([(b,) for b in bad] + [("  " + YES + "\n",)], "r string")
+    got = [(r.m, r.e) for r in df.select(p["match"].alias("m"), p["error"].alias("e")).collect()]
+    assert got == [(False, "malformed")] * len(bad) + [(True, None)]
+
+
+def test_failing_judge_gives_no_match(spark):
+    prev, cur = _days(spark)
+
+    def judge(reqs):
+        if any("alpha zeta" in r for r in reqs):
+            raise RuntimeError("no quota")
+        return [YES for _ in reqs]
+    got = match.first_matches(prev, cur, match.CallableJudge(judge)).collect()
+    assert [tuple(r) for r in got] == [(0, 0)]
+    tries = spark.createDataFrame([("alpha zeta",), ("ok",)], "request string").coalesce(1)
+    rows = {r.request: r for r in match.CallableJudge(judge).respond(tries).collect()}
+    assert rows["alpha zeta"].response is None and rows["alpha zeta"].call_error == "RuntimeError: no quota"
+    assert rows["ok"].response == YES and rows["ok"].call_error is None
+
+
 def test_tfidf_golden(spark):
     pairs = spark.createDataFrame([
         (1, "Intimação do réu ana", "Intimação do réu josé"),
@@ -84,7 +108,7 @@ def test_offline_judge_against_brute_force(spark):
 
 def test_early_stop_asks_few_questions(spark):
     """Every candidate matches: each of today's rows asks only its first
-    round of candidates (width 4), never all of yesterday's rows."""
+    round of candidates (one by default), never all of yesterday's rows."""
     n_prev = 40
     prev = spark.createDataFrame([(i, 0, "P1", "DJSP", f"t {i}", i) for i in range(n_prev)], SCHEMA)
     cur = spark.createDataFrame([(i, 1, "P1", "D J E N", f"t {i}", i) for i in range(5)], SCHEMA)
@@ -95,7 +119,7 @@ def test_early_stop_asks_few_questions(spark):
         return [YES] * len(reqs)
     got = {r.row_id: r.match_row for r in match.match_days(prev, cur, match.CallableJudge(judge)).collect()}
     assert got == {i: 2 for i in range(5)}
-    assert acc.value == 5 * match.FIRST_WIDTH
+    assert acc.value == 5  # one question each: the first round is one candidate wide
 
 
 def test_first_match_against_model(spark):

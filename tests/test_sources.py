@@ -76,6 +76,36 @@ def test_manifest_listing(spark):
     assert sorted(r.generation for r in landing.generations(listed).collect()) == [11, 12, 13, 15]
 
 
+def test_odd_literals_and_names_are_kept(spark):
+    odd = ["['a.xlsx',]", "('a.xlsx','b.xlsx')", "[u'a.xlsx']", "['a' 'b']", "['a.xlsx', None]"]
+    objs = spark.createDataFrame([(f"compare/{i}", i, x) for i, x in enumerate(odd)],
+                                 "name string, generation bigint, list_files_compare string")
+    got = sorted((r.generation, str(r.file_name)) for r in landing.manifest_files(objs).collect())
+    assert got == [(0, "a.xlsx"), (1, "a.xlsx"), (1, "b.xlsx"), (2, "a.xlsx"), (3, "ab"),
+                   (4, "None"), (4, "a.xlsx")]
+    batch = spark.createDataFrame([(1, None, b"x"), (2, "a", b"x")], "order bigint, name string, content binary")
+    acc, ref = landing.plan_landing(batch, spark.createDataFrame([], "path string"), "inbox", "me")
+    assert [r.order for r in acc.collect()] == [2]
+    assert [(r.order, r.reason) for r in ref.collect()] == [(1, "no_name")]
+    kinds = spark.createDataFrame([(b"a" * 600 + b"\0",), (b"a" * 600,)], "content binary")
+    assert [r.t for r in kinds.select(landing.content_type(F.col("content")).alias("t")).collect()] == [
+        "application/octet-stream", "text/plain"]
+
+
+def test_files_from_binary_can_land(spark, tmp_path):
+    for n in ("b.xlsx", "a.xlsx"):
+        (tmp_path / n).write_bytes(b"PK")
+    batch = landing.files_from_binary(spark, str(tmp_path))
+    acc, _ = landing.plan_landing(batch, spark.createDataFrame([], "path string"), "inbox", "me")
+    assert sorted((r.order, r.name) for r in acc.collect()) == [(1, "a.xlsx"), (2, "b.xlsx")]
+
+
+def test_rank_within_keeps_nulls(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (1, None), (1, 5), (1, 9)], "g long, o long")
+    got = sorted((str(r.g), str(r.o), r["rank"]) for r in rank_within(df, ["g"], "o", chunk=4).collect())
+    assert got == [("1", "5", 1), ("1", "9", 2), ("1", "None", 0), ("None", "1", 0), ("None", "2", 1)]
+
+
 def test_rank_within_matches_row_number(spark):
     df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 5003).alias("o"))
     ours = rank_within(df, ["g"], "o", chunk=64).select("g", "o", "rank")
