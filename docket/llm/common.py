@@ -73,7 +73,10 @@ def series_udf(run, returns: str):
     out = pd.DataFrame if "," in returns else pd.Series
     run.__annotations__ = {next(iter(run.__code__.co_varnames)): Iterator[pd.Series],
                            "return": Iterator[out]}
-    return F.pandas_udf(run, returns)
+    # A filter on one field of the result, pushed below the projection, would
+    # run the function twice (and a second Python worker in every task);
+    # Spark does not copy what is marked so.
+    return F.pandas_udf(run, returns).asNondeterministic()
 
 
 def text_groups(texts, max_bytes: int = 1 << 22):
