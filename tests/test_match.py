@@ -100,6 +100,21 @@ def test_tfidf_golden(spark):
     assert got[2] == 0.0 and got[3] is None and math.isclose(got[4], 1.0)
 
 
+def test_tfidf_edges(spark):
+    """Null texts have no token; repeated and null ids are scored row by row;
+    a long text is one row's work."""
+    long = " ".join(f"w{i % 5000}" for i in range(200_000))
+    pairs = spark.createDataFrame([
+        (1, None, None), (1, None, "abc"), (None, "aa bb", "aa bb"), (2, long, long),
+        (2, "aa aa bb", "aa cc"), (2, "aa aa bb", "aa cc")], "id int, a string, b string")
+    got = [r.cosine for r in tfidf_cosine(pairs, ["id"], "a", "b").collect()]
+    w2 = (1 + math.log(1.5)) ** 2
+    want = 2 / (math.sqrt(4 + w2) * math.sqrt(1 + w2))
+    assert len(got) == 6 and got.count(None) == 1 and got.count(0.0) == 1
+    assert sum(math.isclose(c, 1.0) for c in got if c) == 2
+    assert sum(math.isclose(c, want) for c in got if c) == 2
+
+
 def test_offline_judge_against_brute_force(spark):
     prev, cur = _days(spark)
     got = {r.row_id: r.match_row for r in match.match_days(prev, cur, match.OfflineJudge(0.99)).collect()}

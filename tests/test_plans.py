@@ -2,6 +2,7 @@
 import re
 
 from conftest import SF_SMALL
+from docket.operators.similarity import tfidf_cosine
 from docket.plans.catalog import QUERIES
 
 
@@ -19,10 +20,13 @@ def test_exact_copies_combine_before_shuffle(spark):
     assert re.search(r"FileScan parquet \[doc_id,text\]", p)   # column pruning
 
 
-def test_tfidf_counts_without_term_join(spark):
-    p = _plan(spark, "tfidf_pair_cosine")
-    assert "FullOuter" not in p
-    assert "partial_count" in p
+def test_tfidf_stays_inside_the_row(spark):
+    """Scoring adds no operator to the plan of its pairs but a projection."""
+    pairs = spark.range(4).selectExpr("id", "cast(id as string) a", "cast(id + 1 as string) b")
+    p = tfidf_cosine(pairs, ["id"], "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange|Aggregate|Join|Generate", p)
+    # the two sides of the pair join, and nothing read again for the score
+    assert _plan(spark, "tfidf_pair_cosine").count("FileScan") == 2
 
 
 def test_first_match_uses_hash_aggregation(spark):
