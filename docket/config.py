@@ -33,11 +33,14 @@ class TriageConfig:
     python_slices: bool = True
     row_offset: int = ROW_OFFSET
     journal_prefix: str = ELIGIBLE_JOURNAL_PREFIX
-    # Most heads a near-copy round compares each remaining row with (the
-    # rounds grow 1, 8, 64, ...).  A round costs up to max_heads x n diffs for
-    # a group of n rows; a larger cluster can afford more per round and then
-    # needs fewer rounds for groups with many distinct notices.
+    # Heads a near-copy round compares each remaining row of a group with: the
+    # rounds grow 1, 64, ... up to pair_budget / n heads for a group of n
+    # remaining rows, at least max_heads and at most wide_heads.  Small groups
+    # of many distinct notices then need few rounds, and a round of a hot
+    # group costs max_heads x n diffs.
     max_heads: int = 64
+    wide_heads: int = 1000
+    pair_budget: int = 1 << 20
 
     def with_columns(self, **kw) -> "TriageConfig":
         return replace(self, **kw)

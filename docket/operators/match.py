@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, TriageConfig, UNDECIDED
-from .nearcopy import _cut, _union_all
+from .nearcopy import _add, _cut, _cut_answers, _union_all
 from .ranking import rank_within
 from .similarity import tfidf_cosine
 
@@ -176,33 +176,55 @@ def first_matches(prev_f: DataFrame, cur_f: DataFrame, judge, cfg: TriageConfig
         first = F.coalesce(F.min(F.when(F.col("prev_undecided") == 0, F.col("prev_id"))),
                            F.min(F.when(F.col("prev_undecided") == 1, F.col("prev_id"))))
         return answered.groupBy("cur_id").agg(first.alias("prev_id"))
-    return _first_matches_in_rounds(prev_c, cur_c, judge)
+    return (_answers_in_rounds(prev_c, cur_c, judge).where("match")
+            .groupBy("cur_id").agg(F.min_by("prev_id", "_rank").alias("prev_id")))
 
 
-def _first_matches_in_rounds(prev_c: DataFrame, cur_c: DataFrame, judge) -> DataFrame:
+def asked_questions(prev_f: DataFrame, cur_f: DataFrame, judge, cfg: TriageConfig = DEFAULT) -> DataFrame:
+    """J3 + X9: the questions of the cross-day loop with their answers: each
+    eligible row of today against yesterday's rows of its case in filtered
+    order, up to and including its first match.
+
+    Columns: key, cur_id, prev_id, question_no (from 0), match, error (null,
+    the label of ``parse_verdict`` or the message of a failed call).
+    """
+    cur_c, prev_c = _candidates(prev_f, cur_f, cfg)
+    asked = _answers_in_rounds(prev_c, cur_c, judge)
+    first = asked.where("match").groupBy("cur_id").agg(F.min("_rank").alias("_first"))
+    return (asked.join(first, "cur_id", "left")
+            .where(F.col("_first").isNull() | (F.col("_rank") <= F.col("_first")))
+            .select(F.col("_key").alias(cfg.key), "cur_id", "prev_id",
+                    F.col("_rank").alias("question_no"), "match", "error"))
+
+
+def _answers_in_rounds(prev_c: DataFrame, cur_c: DataFrame, judge) -> DataFrame:
+    """Answers (_key, cur_id, _rank, prev_id, match, error) of all rounds; the
+    last round of a row may ask past its first match."""
     ranked = _cut(rank_within(prev_c, ["_key"], "prev_id", out="_rank",
                               extra_order=[F.col("prev_undecided")]))
     sizes = ranked.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     state = _cut(cur_c.join(sizes, "_key").select(
         "_key", "cur_id", "cur_text", "_n",
         F.lit(0).cast("bigint").alias("_lo"), F.lit(getattr(judge, "first_width", FIRST_WIDTH)).cast("bigint").alias("_w")))
-    found: list[DataFrame] = []
+    out = [cur_c.sparkSession.createDataFrame(
+        [], cur_c.select("_key", "cur_id").schema.add("_rank", "long").add(
+            "prev_id", prev_c.schema["prev_id"].dataType).add("match", "boolean").add("error", "string"))]
     while not state.isEmpty():
         tries = (state.select("_key", "cur_id", "cur_text", F.explode(F.sequence(
             F.col("_lo"), F.least(F.col("_lo") + F.col("_w"), F.col("_n")) - 1)).alias("_rank"))
             .join(ranked.select("_key", "_rank", "prev_id", "prev_text"), ["_key", "_rank"])
             .withColumn("request", verdict_request(F.col("cur_text"), F.col("prev_text"))))
-        answered = _cut(judge.respond(tries).select(
-            "cur_id", "_rank", "prev_id", parse_verdict(F.col("response"))["match"].alias("_m")))
-        firsts = (answered.where("_m").groupBy("cur_id")
-                  .agg(F.min_by("prev_id", F.col("_rank")).alias("prev_id")))
-        found.append(firsts)
-        state = _cut(state.join(firsts, "cur_id", "left_anti")
+        replies = judge.respond(tries)
+        failed = F.col("call_error") if "call_error" in replies.columns else F.lit(None).cast("string")
+        parsed = parse_verdict(F.col("response"))
+        answered = _cut_answers(replies.select("_key", "cur_id", "_rank", "prev_id", parsed["match"].alias("match"),
+                                               F.coalesce(failed, parsed["error"]).alias("error")))
+        out = _add(out, answered)
+        state = _cut(state.join(answered.where("match"), "cur_id", "left_anti")
                      .withColumn("_lo", F.col("_lo") + F.col("_w"))
                      .withColumn("_w", F.least(F.col("_w") * 2, F.lit(MAX_WIDTH)))
                      .where(F.col("_lo") < F.col("_n")))
-    empty = cur_c.sparkSession.createDataFrame([], "cur_id bigint, prev_id bigint")
-    return _union_all(found, empty)
+    return _union_all(out[1:], out[0])
 
 
 def match_days(prev_f: DataFrame, cur_f: DataFrame, judge, cfg: TriageConfig = DEFAULT) -> DataFrame:

@@ -12,10 +12,10 @@ are not part of an exact-copy group), rows ascending by id:
 
 Both searches run in rounds.  Each round compares every remaining row of a
 group with a few *heads* (the group's smallest remaining rows: one in the
-first round, then 8, then 64), so a round emits at most width x n pairs for
-a group of n rows -- a hot case with millions of rows costs a few million
-pairs per round, never its square.  Heads come from a partial aggregate (or
-a chunked rank of the few rows left in later rounds) and reach the rows
+first round, then 64 and more, within a pair budget), so a round emits at
+most width x n pairs for a group of n rows -- a hot case with millions of
+rows costs a few million pairs per round, never its square.  Heads come from
+a partial aggregate (or a limited rank of ids in later rounds) and reach the rows
 through an equi-join on the case key, which AQE splits or broadcasts; the
 pairs are then re-spread on the row id before the Python diff.  Round state
 is checkpointed to cut lineage.
@@ -33,14 +33,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TriageConfig, UNDECIDED
 from ..functions.text import py_tokens
 from ..functions.tokendiff import marker_edge_udf, two_sided_marker_udf
 from ..session import ensure_checkpoint_dir
-from .ranking import rank_within
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -63,28 +62,58 @@ def _union_all(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
 
 
 # Heads per group: one in the first round (it settles ordinary groups, and
-# a wider first round would multiply the diff work), then eight times more
-# each round, up to ``cfg.max_heads``, so long chains of undecidable rows and
-# groups with many leaders need few rounds.
-GROWTH = 8
+# a wider first round would multiply the diff work), then 64 times more, so
+# long chains of undecidable rows and groups with many leaders need few
+# rounds.  A group's width stops growing at its pair budget divided by its
+# remaining rows (never below ``cfg.max_heads``, never above
+# ``cfg.wide_heads``): a small group finishes in a round or two, and a round
+# of a hot group stays linear in its rows.
+GROWTH = 64
 
+# Answers of this many rounds are merged into one checkpoint, so the plan of
+# the final union does not grow with the number of rounds.
+MERGE_ROUNDS = 16
 
-def _width(rnd: int, cfg: TriageConfig) -> int:
-    return min(GROWTH ** rnd, cfg.max_heads)
 
-
-def _heads(work: DataFrame, g: list[str], r: str, width: int, carry: dict[str, str]) -> DataFrame:
-    """The ``width`` smallest rows of every group, with some of their columns.
+def _heads(work: DataFrame, g: list[str], r: str, rnd: int, cfg: TriageConfig,
+           carry: dict[str, str]) -> DataFrame:
+    """The smallest rows of every group, with some of their columns, and
+    ``_last``, the largest head of the group (a row is a head iff it is not
+    larger).
 
     One head per group is a partial ``min``/``min_by`` aggregate; wider
-    rounds rank the remaining rows (few by then) without a one-task window.
+    rounds rank the ids alone -- the row-number limit is applied to every
+    partition before the shuffle, so a task gets at most ``wide_heads`` ids of
+    a group from each -- and fetch the carried columns of the heads only.
     """
-    if width == 1:
-        return work.groupBy(*g).agg(F.min(r).alias("_h"),
+    if rnd == 0:
+        return work.groupBy(*g).agg(F.min(r).alias("_h"), F.min(r).alias("_last"),
                                     *[F.min_by(src, r).alias(dst) for src, dst in carry.items()])
-    ranked = rank_within(work, g, r, out="_rank")
-    return (ranked.where(F.col("_rank") < width)
-            .select(*g, F.col(r).alias("_h"), *[F.col(src).alias(dst) for src, dst in carry.items()]))
+    limit = min(GROWTH ** rnd, max(cfg.wide_heads, cfg.max_heads))
+    ids = work.select(*g, r)
+    by_id = Window.partitionBy(*g).orderBy(r)
+    heads = ids.withColumn("_rank", F.row_number().over(by_id)).where(F.col("_rank") <= limit)
+    if limit > cfg.max_heads:
+        left = ids.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+        width = F.greatest(F.lit(cfg.max_heads), F.floor(F.lit(cfg.pair_budget) / F.col("_n")))
+        heads = heads.join(left, g).where(F.col("_rank") <= width)
+    heads = heads.select(*g, r, F.max(r).over(Window.partitionBy(*g)).alias("_last"))
+    return _cut(work.join(heads, [*g, r]).select(
+        *g, F.col(r).alias("_h"), "_last", *[F.col(src).alias(dst) for src, dst in carry.items()]))
+
+
+def _cut_answers(df: DataFrame) -> DataFrame:
+    """``_cut`` under other column names, renamed back: a checkpointed table
+    that is a direct member of a union brings constraints on columns the
+    union does not know, and the optimizer fails on them."""
+    names = df.columns
+    return _cut(df.toDF(*[f"_a_{c}" for c in names])).toDF(*names)
+
+
+def _add(out: list[DataFrame], answers: DataFrame) -> list[DataFrame]:
+    """``out`` with one more (materialised) table of answers."""
+    out = [*out, answers]
+    return [_cut_answers(_union_all(out[1:], out[0]))] if len(out) >= MERGE_ROUNDS else out
 
 
 def sticky_start(residue: DataFrame, cfg: TriageConfig):
@@ -98,7 +127,7 @@ def sticky_start(residue: DataFrame, cfg: TriageConfig):
     rounds start without them.
 
     Each round tries the next few rows of every unresolved case as heads (1,
-    then 8, then 64), so a round costs at most width x n pairs for a case of
+    then 64 and more), so a round costs at most width x n pairs for a case of
     n rows; each head is compared only with the rows after it.  Heads without
     a two-sided partner leave the work set with everything before them.
     """
@@ -106,27 +135,25 @@ def sticky_start(residue: DataFrame, cfg: TriageConfig):
     g = [d, k_]
     judge = two_sided_marker_udf(cfg.marker, cfg.window, cfg.python_slices)
     work = residue.select(d, k_, r, t)  # callers pass materialised rows
-    found: list[DataFrame] = []
-    edges: list[DataFrame] = []
+    spark = residue.sparkSession
+    found = [spark.createDataFrame([], residue.select(d, k_, F.col(r).alias("k")).schema)]
+    edges = [spark.createDataFrame([], residue.select(d, r, F.col(r).alias("similar")).schema)]
     rnd = 0
     while not work.isEmpty():
-        heads = _heads(work, g, r, _width(rnd, cfg), {t: "_h_text"})
-        heads = _cut(heads) if _width(rnd, cfg) > 1 else heads
-        pairs = _cut(spread(work.join(heads, g).where(F.col(r) > F.col("_h")), r)
+        heads = _heads(work, g, r, rnd, cfg, {t: "_h_text"})
+        pairs = _cut(spread(work.join(heads.drop("_last"), g).where(F.col(r) > F.col("_h")), r)
                      .select(*g, r, "_h", judge(F.col("_h_text"), F.col(t)).alias("_f")))
         verdict = pairs.groupBy(*g).agg(F.min(F.when(F.col("_f.two_sided"), F.col("_h"))).alias("k"))
-        found.append(verdict.where(F.col("k").isNotNull()))
-        edges.append(pairs.join(verdict, g).where((F.col("_h") == F.col("k")) & F.col("_f.marker"))
+        # One row per group, so the remaining rows meet it in a single join.
+        outcome = _cut(heads.groupBy(*g).agg(F.max("_last").alias("_last")).join(verdict, g, "left"))
+        settled = outcome.where(F.col("k").isNotNull()).select(*g, "k")
+        found = _add(found, settled)
+        edges = _add(edges, pairs.join(settled, g).where((F.col("_h") == F.col("k")) & F.col("_f.marker"))
                      .select(d, r, F.col("k").alias("similar")))
-        last = heads.groupBy(*g).agg(F.max("_h").alias("_last"))
-        work = _cut(work.join(last, g)
-                    .join(verdict.where(F.col("k").isNotNull()).select(*g), g, "left_anti")
-                    .where(F.col(r) > F.col("_last")).drop("_last"))
+        work = _cut(work.join(outcome, g)
+                    .where(F.col("k").isNull() & (F.col(r) > F.col("_last"))).drop("_last", "k"))
         rnd += 1
-    spark = residue.sparkSession
-    no_k = spark.createDataFrame([], residue.select(d, k_, F.col(r).alias("k")).schema)
-    no_edge = spark.createDataFrame([], residue.select(d, r, F.col(r).alias("similar")).schema)
-    return _union_all(found, no_k), _union_all(edges, no_edge)
+    return _union_all(found[1:], found[0]), _union_all(edges[1:], edges[0])
 
 
 def marker_blocks(tokens, cfg: TriageConfig):
@@ -165,50 +192,49 @@ def leader_clusters(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
                            .otherwise(F.array().cast("array<string>")))
                .withColumn("_blocks", marker_blocks(F.col("_toks"), cfg))
                .drop("_toks"))
-    # A row without a marker can neither join a leader nor be joined.
-    # Materialised: tokenizing is the costly part and several branches read it.
-    blocked = _cut(blocked)
-    alone = blocked.where(F.size("_blocks") == 0).select(d, r, F.col(r).alias("similar"))
-    marked = blocked.where(F.size("_blocks") > 0)
-    multi = marked.groupBy(d, k_).agg(F.max(F.size("_blocks")).alias("_mb"))
     # Group id 0 = the whole case (some row has several marker blocks).
-    grouped = (marked.join(multi, [d, k_])
-               .withColumn("_grp", F.when(F.col("_mb") == 1, F.col("_blocks")[0])
-                           .otherwise(F.lit(0).cast("bigint")))
-               .drop("_mb"))
+    multi = blocked.groupBy(d, k_).agg(F.max(F.size("_blocks")).alias("_mb"))
+    # Materialised: tokenizing is costly and every round reads the rows.
+    grouped = _cut(blocked.join(multi, [d, k_])
+                   .withColumn("_grp", F.when(F.col("_mb") == 1, F.col("_blocks")[0])
+                               .otherwise(F.lit(0).cast("bigint")))
+                   .drop("_mb"))
+    # A row without a marker can neither join a leader nor be joined.
+    alone = grouped.where(F.size("_blocks") == 0).select(d, r, F.col(r).alias("similar"))
     g = [d, k_, "_grp"]
-    work = grouped
+    work = grouped.where(F.size("_blocks") > 0)
     out: list[DataFrame] = [alone]
     rnd = 0
     while not work.isEmpty():
-        heads = _heads(work, g, r, _width(rnd, cfg), {t: "_h_text", "_blocks": "_h_blocks"})
-        heads = _cut(heads) if _width(rnd, cfg) > 1 else heads
+        heads = _heads(work, g, r, rnd, cfg, {t: "_h_text", "_blocks": "_h_blocks"})
         # Python UDFs inside CASE are evaluated for every row, so the pairs
         # are filtered to shared blocks before the diff runs.
         edges = _cut(spread(work.join(heads, g)
                             .where((F.col(r) > F.col("_h")) & F.arrays_overlap("_blocks", "_h_blocks")), r)
                      .where(edge(F.col("_h_text"), F.col(t)))
-                     .select(*g, "_h", r))
-        head_ids = heads.select(*g, F.col("_h").alias(r))
+                     .select(*g, "_h", "_last", r))
         # Earlier heads with an edge to each head, then the greedy fold over
-        # the (at most cfg.max_heads) heads of the group in id order.
-        nb = (head_ids.join(edges, [*g, r], "left")
-              .groupBy(*g, r).agg(F.collect_list("_h").alias("_nb")))
+        # the (at most cfg.wide_heads) heads of the group in id order.
+        nobody = F.lit(None).cast("bigint")
+        nb = (heads.select(*g, F.col("_h").alias(r), nobody.alias("_h"))
+              .unionByName(edges.where(F.col(r) <= F.col("_last")).select(*g, r, F.col("_h").cast("bigint")))
+              .repartition(*g).groupBy(*g, r).agg(F.collect_list("_h").alias("_nb")))
         leaders = (nb.groupBy(*g)
                    .agg(F.sort_array(F.collect_list(F.struct(F.col(r).alias("i"), F.col("_nb").alias("nb"))))
                         .alias("_heads"))
                    .select(*g, F.aggregate(
                        "_heads", F.array().cast("array<bigint>"),
                        lambda acc, x: F.when(F.exists(x["nb"], lambda n: F.array_contains(acc, n)), acc)
-                       .otherwise(F.concat(acc, F.array(x["i"])))).alias("_leaders")))
-        lead_rows = leaders.select(*g, F.explode("_leaders").alias(r))
-        assigned = (edges.join(leaders, g).where(F.array_contains("_leaders", F.col("_h")))
-                    .groupBy(d, r).agg(F.min("_h").alias("similar")))
-        out.append(lead_rows.select(d, r, F.col(r).alias("similar")))
-        out.append(assigned)
-        decided = lead_rows.select(d, r).unionByName(assigned.select(d, r))
-        work = _cut(work.join(heads.select(*g, F.col("_h").alias(r)), [*g, r], "left_anti")
-                    .join(decided, [d, r], "left_anti"))
+                       .otherwise(F.concat(acc, F.array(x["i"].cast("bigint"))))).alias("_leaders")))
+        # A row goes to its smallest leading head; a leading head has no
+        # smaller one but itself.  So every head is settled by its round, and
+        # the decided rows are all that leave the work set.
+        chosen = edges.select(*g, "_h", r).unionByName(heads.select(*g, "_h", F.col("_h").alias(r)))
+        leading = F.array_contains("_leaders", F.col("_h").cast("bigint"))
+        decided = _cut_answers(chosen.join(leaders, g).where(leading)
+                               .groupBy(d, r).agg(F.min("_h").alias("similar")))
+        out = _add(out, decided)
+        work = _cut(work.join(decided.select(d, r), [d, r], "left_anti"))
         rnd += 1
     return _union_all(out[1:], out[0])
 
