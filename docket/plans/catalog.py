@@ -121,6 +121,14 @@ def q_label_similar_hot(spark, sf):
     return lab.select("row_id", "processo", "noccur", "similar")
 
 
+def q_label_similar_leaders(spark, sf):
+    """Whole labelling over ``orders``, one case per month, where every row
+    ends up a leader: the costly case of the leader rounds."""
+    notices = fixtures.run_sql(spark, LEADER_NOTICES_SQL.replace("FROM orders", "FROM {orders}"),
+                               orders=_table(spark, sf, "orders"))
+    return dedup.label_similar(notices, CFG).select("row_id", "processo", "noccur", "similar")
+
+
 def q_filtered_notices(spark, sf):
     return dedup.filtered(_labelled(spark, sf), CFG).select(
         "row_id", "dia", "processo", "similar", "undecided_flag")
@@ -226,6 +234,12 @@ def q_first_match_offline(spark, sf):
     return out.select("row_id", "processo", "match_row")
 
 
+def q_asked_questions(spark, sf):
+    prev, cur = _filtered_day(spark, sf, PREV_DAY), _filtered_day(spark, sf, CUR_DAY)
+    asked = match.asked_questions(prev, cur, match.TableJudge(_verdicts(spark, sf)), CFG)
+    return asked.withColumnRenamed("match", "is_match")
+
+
 def q_cross_day_summary(spark, sf):
     return report.cross_day_summary(q_first_match(spark, sf))
 
@@ -293,12 +307,15 @@ def _page_batch(spark, sf):
     p = _table(spark, sf, "pages")
     return p.select(F.col("page_id").alias("order"),
                     F.regexp_replace("url", "^.*/", "").alias("name"),
-                    F.encode("html", "UTF-8").alias("content"))
+                    F.encode(F.expr(PAGE_BODY_SQL), "UTF-8").alias("content"))
 
 
 def _landing(spark, sf):
+    """Pages as a batch of files of all kinds; the names of its empty files are
+    stored already."""
     batch = _page_batch(spark, sf)
-    catalog = spark.createDataFrame([], "path string")
+    catalog = (batch.where(F.length("content") == 0)
+               .select(F.concat(F.lit(LANDING_FOLDER + "/"), F.col("name")).alias("path")))
     return landing.plan_landing(batch, catalog, LANDING_FOLDER, LANDING_OWNER,
                                 upload_time=F.lit("2024-06-21 09:00:00").cast("timestamp"))
 
@@ -355,10 +372,8 @@ def q_manifest_count(spark, sf):
 
 
 def _accounts(spark, sf):
-    c = _table(spark, sf, "customer")
-    user = F.lower(F.regexp_replace("c_name", "#", "_"))
-    return c.select("c_custkey", user.alias("username"), F.col("c_name").alias("name"),
-                    F.concat(user, F.lit("@"), F.lower("c_mktsegment"), F.lit(".example")).alias("email"))
+    return fixtures.run_sql(spark, ACCOUNTS_SQL.replace("FROM customer", "FROM {customer}"),
+                            customer=_table(spark, sf, "customer"))
 
 
 def q_account_checks(spark, sf):
@@ -379,6 +394,8 @@ QUERIES = {
     "label_similar_documents": q_label_similar_documents,
     "label_similar_orders": q_label_similar_orders,
     "label_similar_hot": q_label_similar_hot,
+    "label_similar_leaders": q_label_similar_leaders,
+    "asked_questions": q_asked_questions,
     "filtered_notices": q_filtered_notices,
     "representatives": q_representatives,
     "undecided_rows": q_undecided_rows,
@@ -431,6 +448,35 @@ FROM orders
 """
 
 
+# Notices that differ six tokens after the marker, out of its
+# window, so no row of a case can join another.
+LEADER_NOTICES_SQL = """
+SELECT o_orderkey AS row_id, CAST(0 AS BIGINT) AS dia,
+       CAST(year(o_orderdate) * 100 + month(o_orderdate) AS VARCHAR(64)) AS processo,
+       concat('Intimado(s)/Citado(s): Pedido de venda sob o numero ',
+              CAST(o_orderkey AS VARCHAR(64))) AS intimacao
+FROM orders
+"""
+
+# File contents of every detected type, from the pages.
+PAGE_BODY_SQL = """
+CASE page_id % 7 WHEN 1 THEN concat('%PDF-1.4 ', html) WHEN 2 THEN concat('nota ', html) WHEN 3 THEN ''
+  WHEN 4 THEN concat('a', chr(1), html)
+  WHEN 5 THEN concat('PK', chr(3), chr(4), repeat('.', 26), 'xl/workbook.xml ', html)
+  WHEN 6 THEN concat('PK', chr(3), chr(4), repeat('.', 26), 'word/xl/ ', html) ELSE html END
+"""
+
+# Accounts that break each rule on some rows.
+ACCOUNTS_SQL = """
+SELECT c_custkey,
+  CASE c_custkey % 4 WHEN 1 THEN concat(u, '.br') WHEN 2 THEN concat(u, '_xyz') ELSE u END AS username,
+  CASE c_custkey % 5 WHEN 1 THEN '' WHEN 2 THEN 'x' WHEN 3 THEN repeat(c_name, 6) ELSE c_name END AS name,
+  CASE c_custkey % 6 WHEN 1 THEN concat(u, ' at ', s) WHEN 2 THEN '@' WHEN 3 THEN repeat(concat(u, '@'), 20)
+    ELSE concat(u, '@', s, '.example') END AS email
+FROM (SELECT c_custkey, c_name, lower(replace(c_name, '#', '_')) AS u, lower(c_mktsegment) AS s FROM customer) c
+"""
+
+
 def _order_labels_oracle(key: str) -> str:
     """Closed form: singletons and exact copies as usual; every other pair of
     a case is a two-sided marker edge, so the first residue row leads all the
@@ -505,17 +551,30 @@ _OFFLINE = (f"{_BASE}, cand AS (SELECT cur.row_id AS cur_id, prev.row_id AS prev
             "offl AS (SELECT c.cur_id, arg_min(c.prev_id, c.undecided_flag * 1000000000000 + c.prev_id) AS prev_id "
             f"FROM cand c JOIN tc USING (cur_id, prev_id) WHERE tc.cosine >= {OFFLINE_THRESHOLD} GROUP BY c.cur_id)")
 
-_USER = "lower(replace(c_name, '#', '_'))"
-_ACCOUNTS = (f"acc AS (SELECT c_custkey, {_USER} AS username, c_name AS name, "
-             f"{_USER} || '@' || lower(c_mktsegment) || '.example' AS email FROM customer)")
+_ERROR = ("CASE WHEN response IS NULL THEN 'no_response' WHEN NOT gate THEN 'no_fields' "
+          "WHEN NOT ok_json THEN 'malformed' WHEN all_true IS NULL THEN 'not_all_boolean' END")
+_ASKED = (f"asked AS (SELECT cur.processo, v.cur_id, v.prev_id, "
+          "row_number() OVER (PARTITION BY v.cur_id ORDER BY prev.undecided_flag, prev.row_id) - 1 AS question_no, "
+          f"(gate AND coalesce(all_true, false)) AS is_match, {_ERROR} AS error "
+          "FROM parsed v JOIN cur ON cur.row_id = v.cur_id JOIN prev ON prev.row_id = v.prev_id "
+          "AND prev.processo = cur.processo JOIN elig ON elig.processo = cur.processo), "
+          "stops AS (SELECT *, min(CASE WHEN is_match THEN question_no END) OVER (PARTITION BY cur_id) AS stop FROM asked)")
+
+_ACCOUNTS = f"acc AS ({ACCOUNTS_SQL})"
 _CHECKS = ("chk AS (SELECT c_custkey, regexp_matches(username, '^[a-zA-Z0-9_-]{1,20}\\n?$') AS username_ok, "
            "(length(name) > 1 AND length(name) < 100) AS name_ok, "
            "(contains(email, '@') AND length(email) > 2 AND length(email) < 320) AS email_ok FROM acc)")
-_PAGES = ("batch AS (SELECT page_id AS \"order\", regexp_replace(url, '^.*/', '') AS name, html FROM pages), "
+_PAGES = (f"batch AS (SELECT page_id AS \"order\", regexp_replace(url, '^.*/', '') AS name, {PAGE_BODY_SQL} AS body FROM pages), "
           f"planned AS (SELECT *, '{LANDING_FOLDER}/' || name AS path, "
-          "min(\"order\") OVER (PARTITION BY '" + LANDING_FOLDER + "/' || name) AS first_order FROM batch)")
-_CTYPE = ("CASE WHEN starts_with(lower(ltrim(html)), '<!doctype html') OR starts_with(lower(ltrim(html)), '<html') "
-          "THEN 'text/html' ELSE 'other' END")
+          "min(\"order\") OVER (PARTITION BY name) AS first_order, "
+          "bool_or(body = '') OVER (PARTITION BY name) AS stored FROM batch)")
+_CTYPE = ("CASE WHEN starts_with(body, 'PK' || chr(3) || chr(4)) THEN CASE WHEN "
+          r"regexp_matches(body, 'PK\x03\x04.{26}xl/', 's') THEN '" + landing.OOXML_SHEET + "' ELSE 'application/zip' END "
+          "WHEN starts_with(body, '%PDF') THEN 'application/pdf' "
+          "WHEN starts_with(lower(ltrim(body)), '<!doctype html') OR starts_with(lower(ltrim(body)), '<html') "
+          "THEN 'text/html' WHEN body = '' THEN 'application/x-empty' "
+          r"WHEN NOT regexp_matches(body, '[\x00-\x08\x0E-\x1F]') THEN 'text/plain' "
+          "ELSE 'application/octet-stream' END")
 _OBJECTS = ("objs AS (SELECT CASE WHEN role = 'user' THEN 'compare/' ELSE 'report/' END || CAST(conv_id AS VARCHAR) AS name, "
             "conv_id * 10 + CASE WHEN role = 'user' THEN 1 ELSE 2 END AS generation, turn FROM conversations)")
 
@@ -570,9 +629,11 @@ ORACLES = {
         FROM cur JOIN firstcand fc ON fc.processo = cur.processo JOIN prev p ON p.row_id = fc.prev_id""",
     "verdict_parse": f"""WITH {_N}, {_VERD}, {_PARSED} SELECT cur_id, prev_id,
         (gate AND coalesce(all_true, false)) AS is_match,
-        CASE WHEN response IS NULL THEN 'no_response' WHEN NOT gate THEN 'no_fields'
-             WHEN NOT ok_json THEN 'malformed' WHEN all_true IS NULL THEN 'not_all_boolean' END AS error
-        FROM parsed""",
+        {_ERROR} AS error FROM parsed""",
+    "asked_questions": f"""{_BASE}, {_VERD}, {_PARSED}, {_ASKED}
+        SELECT processo, cur_id, prev_id, question_no, is_match, error FROM stops WHERE stop IS NULL OR question_no <= stop""",
+    "label_similar_leaders": f"""SELECT row_id, processo, count(*) OVER (PARTITION BY processo) AS noccur,
+        row_id AS "similar" FROM ({LEADER_NOTICES_SQL}) o""",
     "first_match": f"{_MATCHED} SELECT row_id, processo, match_row FROM matched",
     "first_match_offline": f"""{_OFFLINE} SELECT cur.row_id, cur.processo,
         CAST(coalesce(offl.prev_id + 2, -1) AS BIGINT) AS match_row FROM cur LEFT JOIN offl ON offl.cur_id = cur.row_id""",
@@ -591,9 +652,10 @@ ORACLES = {
         ELSE 'null_text' END AS reason FROM c
         WHERE d IS NULL OR rid IS NULL OR p IS NULL OR (t IS NULL AND n > 1)""",
     "landing_accept": f"""WITH {_PAGES} SELECT "order", path, {_CTYPE} AS content_type, '{LANDING_OWNER}' AS owner
-        FROM planned WHERE "order" = first_order""",
-    "landing_refused": f"""WITH {_PAGES} SELECT "order", path, 'exists' AS reason FROM planned WHERE "order" > first_order""",
-    "content_type": f"SELECT page_id AS \"order\", {_CTYPE} AS content_type FROM pages",
+        FROM planned WHERE "order" = first_order AND NOT stored""",
+    "landing_refused": f"""WITH {_PAGES} SELECT "order", path, 'exists' AS reason FROM planned
+        WHERE "order" > first_order OR stored""",
+    "content_type": f"WITH {_PAGES} SELECT \"order\", {_CTYPE} AS content_type FROM batch",
     "manifest_files": f"""WITH {_OBJECTS} SELECT name, generation, 'turn_' || CAST(turn AS VARCHAR) || '.xlsx' AS file_name
         FROM objs WHERE starts_with(name, 'compare')""",
     "manifest_generations": f"WITH {_OBJECTS} SELECT DISTINCT generation FROM objs WHERE starts_with(name, 'compare')",

@@ -30,7 +30,8 @@ def content_type(content: Column) -> Column:
     raw = F.decode(content, "ISO-8859-1")
     text_head = F.lower(F.ltrim(F.decode(F.substring(content, 1, 512), "ISO-8859-1")))
     return (F.when(head.startswith(ZIP_MAGIC),
-                   F.when(F.instr(raw, "xl/") > 0, F.lit(OOXML_SHEET))
+                   # an entry named xl/...: its name follows 26 bytes of local header
+                   F.when(raw.rlike("PK\\x03\\x04[\\s\\S]{26}xl/"), F.lit(OOXML_SHEET))
                    .otherwise(F.lit("application/zip")))
             .when(head.startswith(OLE2_MAGIC), F.lit("application/x-ole-storage"))
             .when(head.startswith(PDF_MAGIC), F.lit("application/pdf"))
@@ -52,19 +53,28 @@ def plan_landing(batch: DataFrame, catalog: DataFrame, folder: str, owner: str,
     """S6 + S7: (accepted, refused).
 
     A file is refused when its destination path already exists in the
-    catalog, an earlier file of the batch lands on the same path, or it has no
-    name (reason ``no_name``).  With
+    catalog or an earlier file of the batch lands on the same path (reason
+    ``exists``), when several files share the path and the first order
+    (``same_order``: none of them is the first), or when it has no name or
+    order (``no_name``, ``no_order``).  With
     ``stop_at_first`` the batch stops at the first refusal, as an
     interactive upload does: later files are neither landed nor refused
     (``skipped``).  Accepted rows carry the metadata to store.
     """
     upload_time = upload_time if upload_time is not None else F.current_timestamp()
-    nameless = batch.where(F.col("name").isNull())
-    planned = batch.where(F.col("name").isNotNull()).withColumn("path", join_path(folder, F.col("name")))
-    first = planned.groupBy("path").agg(F.min("order").alias("_first"))
+    placed = F.col("name").isNotNull() & F.col("order").isNotNull()
+    unplaced = batch.where(~placed)
+    planned = batch.where(placed).withColumn("path", join_path(folder, F.col("name")))
+    # One small row per path (no contents), joined to the files once.
+    stored = catalog.select("path").distinct().withColumn("_exists", F.lit(True))
+    first = (planned.groupBy("path", "order").agg(F.count(F.lit(1)).alias("_n"))
+             .groupBy("path").agg(F.min(F.struct("order", "_n")).alias("_first"))
+             .join(stored, "path", "left"))
+    taken = F.coalesce("_exists", F.lit(False)) | (F.col("order") > F.col("_first.order"))
     marked = (planned.join(first, "path")
-              .join(catalog.select("path").distinct().withColumn("_exists", F.lit(True)), "path", "left")
-              .withColumn("_clash", F.coalesce("_exists", F.lit(False)) | (F.col("order") > F.col("_first")))
+              .withColumn("_why", F.when(taken, F.lit("exists"))
+                          .when(F.col("_first._n") > 1, F.lit("same_order")))
+              .withColumn("_clash", F.col("_why").isNotNull())
               .drop("_exists", "_first"))
     if stop_at_first:
         # A global aggregate has exactly one row, so broadcasting it is bounded.
@@ -78,13 +88,26 @@ def plan_landing(batch: DataFrame, catalog: DataFrame, folder: str, owner: str,
                 .withColumn("content_type", content_type(F.col("content")))
                 .withColumn("owner", F.lit(owner))
                 .withColumn("upload_time", upload_time)
-                .drop("_clash", "_skip"))
+                .drop("_clash", "_skip", "_why"))
     refused = (marked.where(F.col("_clash") & ~F.col("_skip"))
-               .withColumn("reason", F.lit("exists"))
+               .withColumnRenamed("_why", "reason")
                .drop("_clash", "_skip"))
-    no_name = (nameless.withColumn("path", F.lit(None).cast("string"))
-               .withColumn("reason", F.lit("no_name")).select(*refused.columns))
-    return accepted, refused.unionByName(no_name)
+    nowhere = (unplaced.withColumn("path", F.lit(None).cast("string"))
+               .withColumn("reason", F.when(F.col("name").isNull(), F.lit("no_name"))
+                           .otherwise(F.lit("no_order"))).select(*refused.columns))
+    return accepted, refused.unionByName(nowhere)
+
+
+def commit_landing(accepted: DataFrame, catalog_path: str) -> None:
+    """Append the accepted files, contents and metadata, to the stored catalog,
+    which later batches are planned against (one committed Spark write: a
+    failed one leaves no file behind)."""
+    accepted.write.mode("append").parquet(catalog_path)
+
+
+def stored_catalog(spark: SparkSession, catalog_path: str) -> DataFrame:
+    """The catalog ``commit_landing`` writes."""
+    return spark.read.parquet(catalog_path)
 
 
 def files_from_binary(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
