@@ -196,7 +196,7 @@ def leader_clusters(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
     multi = blocked.groupBy(d, k_).agg(F.max(F.size("_blocks")).alias("_mb"))
     # Materialised: tokenizing is costly and every round reads the rows.
     grouped = _cut(blocked.join(multi, [d, k_])
-                   .withColumn("_grp", F.when(F.col("_mb") == 1, F.col("_blocks")[0])
+                   .withColumn("_grp", F.when((F.col("_mb") == 1) & (F.size("_blocks") == 1), F.col("_blocks")[0])
                                .otherwise(F.lit(0).cast("bigint")))
                    .drop("_mb"))
     # A row without a marker can neither join a leader nor be joined.

@@ -104,19 +104,44 @@ def test_no_row_is_lost(spark):
     assert {r.similar for r in leaders.where("dia is null or row_id is null or processo is null").collect()} == {-1}
 
 
-def test_narrow_rounds_match_model(spark):
-    """Two heads per round at most: many rounds, same answer."""
-    from docket.config import DEFAULT
+def _many_rounds_rows():
     rng = random.Random(23)
     rows = _random_rows(rng, n_cases=12)
     rows += [(5000 + i, "CHAIN", H + " ANA" + " x" * i) for i in range(9)]        # insert-only chain
-    rows += [(6000 + i, "MANY", H + f" N{i} " + rng.choice(VOCAB)) for i in range(12)]
+    return rows + [(6000 + i, "MANY", H + f" N{i} " + rng.choice(VOCAB)) for i in range(12)]
+
+
+def _labels_with(spark, rows, **limits):
+    from docket.config import DEFAULT
     df = spark.createDataFrame([(r, 0, c, t) for r, c, t in rows],
                                "row_id bigint, dia bigint, processo string, intimacao string")
-    cfg = DEFAULT.with_columns(max_heads=2)
-    got = {r.row_id: (r.noccur, r.similar)
-           for r in dedup.label_similar(df, cfg).select("row_id", "noccur", "similar").collect()}
-    assert got == model.label(rows)
+    labelled = dedup.label_similar(df, DEFAULT.with_columns(**limits))
+    return {r.row_id: (r.noccur, r.similar) for r in labelled.select("row_id", "noccur", "similar").collect()}
+
+
+def test_narrow_rounds_match_model(spark, monkeypatch):
+    """Two heads per round at most: many rounds, same answer, also when the
+    answers of every few rounds are merged."""
+    from docket.operators import nearcopy
+    monkeypatch.setattr(nearcopy, "MERGE_ROUNDS", 3)
+    rows = _many_rounds_rows()
+    assert _labels_with(spark, rows, max_heads=2, wide_heads=2) == model.label(rows)
+
+
+def test_pair_budget_changes_no_answer(spark):
+    rows = _many_rounds_rows()
+    assert _labels_with(spark, rows, max_heads=2, wide_heads=5, pair_budget=30) == model.label(rows)
+
+
+def test_rows_that_all_lead(spark):
+    """No row joins another: each leads itself, in few rounds."""
+    rows = [(i, "A", f"{MARKER} a b c d e f g {i}") for i in range(300)]
+    sc = spark.sparkContext
+    sc.setJobGroup("all-lead", "all-lead")
+    assert _labels_with(spark, rows) == {i: (300, i) for i in range(300)}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("all-lead"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 130
 
 
 def test_duplicate_row_ids(spark):

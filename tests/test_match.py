@@ -91,6 +91,23 @@ def test_failing_judge_gives_no_match(spark):
     assert rows["ok"].response == YES and rows["ok"].call_error is None
 
 
+def test_asked_questions(spark):
+    """Questions in filtered order up to the first match, failed calls with
+    their message; a repeated day without candidates asks nothing."""
+    prev, cur = _days(spark)
+
+    def judge(reqs):
+        if any("alpha zeta" in r and "alpha delta" in r for r in reqs):
+            raise RuntimeError("no quota")
+        return [YES if "alpha gamma" in r else '{"same_story": false}' for r in reqs]
+    asked = match.asked_questions(prev, cur, match.CallableJudge(judge))
+    got = sorted(tuple(r) for r in asked.select(
+        "cur_id", "question_no", "prev_id", "match", F.coalesce("error", F.lit("-"))).collect())
+    assert got == [(0, 0, 0, False, "-"), (0, 1, 2, False, "-"), (0, 2, 1, True, "-"),
+                   (1, 0, 0, False, "-"), (1, 1, 2, False, "RuntimeError: no quota"), (1, 2, 1, True, "-")]
+    assert match.asked_questions(prev.limit(0), cur, match.CallableJudge(judge)).count() == 0
+
+
 def test_tfidf_golden(spark):
     pairs = spark.createDataFrame([
         (1, "Intimação do réu ana", "Intimação do réu josé"),

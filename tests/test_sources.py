@@ -44,6 +44,45 @@ def test_workbook_reader(spark):
     assert ct.select(landing.content_type(F.col("content"))).first()[0] == landing.OOXML_SHEET
 
 
+def test_workbook_keeps_rows_columns_and_bad_files(spark, tmp_path):
+    """Blank rows keep their number, repeated headers and unnamed columns stay,
+    phonetic hints do not, and a damaged file is a row of its own."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    pack = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
+    text = lambda t: f'<c t="inlineStr"><is><t>{t}</t></is></c>'
+    sheet = (f'<row r="1">{text("A")}{text("A")}</row><row r="5">{text("x")}{text("y")}{text("z")}</row>'
+             '<row r="6"><c r="B6" t="s"><v>0</v></c></row>')
+    with zipfile.ZipFile(tmp_path / "good.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {rel}><sheets><sheet name="s" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels",
+                   f'<Relationships {pack}><Relationship Id="r2" Target="worksheets/sheet7.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><r><t>ru</t></r><r><t>n</t></r><rPh><t>no</t></rPh></si></sst>")
+        z.writestr("xl/worksheets/sheet7.xml", f"<worksheet {ns}><sheetData>{sheet}</sheetData></worksheet>")
+    (tmp_path / "bad.xlsx").write_bytes(b"PK no zip")
+    rows = workbook.read_workbooks(spark, str(tmp_path))
+    got = {r.row_id: r.cells for r in rows.where("error is null").collect()}
+    assert got == {3: {"A": "x", "A.1": "y", "col2": "z"}, 4: {"A": None, "A.1": "run", "col2": None}}
+    assert [r.source_path.endswith("bad.xlsx") for r in workbook.workbook_errors(rows).collect()] == [True]
+    assert workbook.workbook_table(rows, {"A": "a"}).count() == 2
+
+
+def test_landing_is_stored_once(spark, tmp_path):
+    """Files of a committed batch clash with the same batch later; equal paths
+    with equal first orders and files without an order do not land."""
+    batch = spark.createDataFrame(
+        [(1, "a", b"x"), (1, "a", b"y"), (2, "a", b"z"), (3, "b", b"x"), (None, "c", b"x"), (4, "b", b"x")],
+        "order bigint, name string, content binary")
+    acc, ref = landing.plan_landing(batch, spark.createDataFrame([], "path string"), "inbox", "me")
+    assert [(r.order, r.path) for r in acc.collect()] == [(3, "inbox/b")]
+    assert sorted((str(r.order), r.reason) for r in ref.collect()) == [
+        ("1", "same_order"), ("1", "same_order"), ("2", "exists"), ("4", "exists"), ("None", "no_order")]
+    place = str(tmp_path / "catalog")
+    landing.commit_landing(acc, place)
+    acc, ref = landing.plan_landing(batch, landing.stored_catalog(spark, place), "inbox", "me")
+    assert acc.count() == 0 and ref.count() == batch.count()
+
+
 def _batch(spark, names):
     return spark.createDataFrame([(i, n, bytearray(b"%PDF-1.4 x")) for i, n in enumerate(names)],
                                  "order int, name string, content binary")
