@@ -5,7 +5,9 @@ single task; a case holding a third of the data would then be one task.  Here
 the integer order column is cut into chunks of consecutive values (a power
 of two wide), each chunk is ranked on its own (a window over (group, chunk),
 bounded by the chunk width), and the chunk's offset comes from a prefix sum
-over the small table of per-chunk counts.
+over the small table of per-chunk counts.  Where ids are sparse that table is
+long, so the sum runs in two steps: inside spans of 2^24 chunks, then over the
+spans of a group.
 """
 
 from __future__ import annotations
@@ -14,6 +16,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_CHUNK = 1 << 16
+SPAN_BITS = 24
+
+
+def _lookup(rows: DataFrame, keys: list[str], table: DataFrame, value: str) -> DataFrame:
+    """``rows`` with the ``value`` of their ``keys``; null keys match too, so no
+    row is lost."""
+    table = table.select(value, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(keys)])
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    return rows.join(table, same).drop(*[f"_o{i}" for i in range(len(keys))])
+
+
+def _before(rows: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
+    """Sum of ``_n`` over the rows of the group that come before."""
+    earlier = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(out, F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
 
 
 def rank_within(df: DataFrame, group_cols: list[str], order_col: str,
@@ -32,16 +51,14 @@ def rank_within(df: DataFrame, group_cols: list[str], order_col: str,
     ck_cols = [f"_ck{i}" for i in range(len(ck))]
     local_w = Window.partitionBy(*group_cols, *ck_cols).orderBy(order_col)
     local = tagged.withColumn("_local", F.row_number().over(local_w) - 1)
-    counts = tagged.groupBy(*group_cols, *ck_cols).agg(F.count(F.lit(1)).alias("_n"))
-    off_w = (Window.partitionBy(*group_cols).orderBy(*ck_cols)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(off_w), F.lit(0))).drop("_n")
-    # Null groups and null order values match too: no row is lost.
-    keys = [*group_cols, *ck_cols]
-    offsets = offsets.select("_off", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(keys)])
-    same = F.lit(True)
-    for i, c in enumerate(keys):
-        same = same & F.col(c).eqNullSafe(F.col(f"_o{i}"))
-    return (local.join(offsets, same)
+    extra_cols = ck_cols[:-1]
+    counts = (tagged.groupBy(*group_cols, *ck_cols).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_span", F.shiftright(F.col(ck_cols[-1]), SPAN_BITS)))
+    span_keys = [*group_cols, *extra_cols, "_span"]
+    spans = counts.groupBy(*span_keys).agg(F.sum("_n").alias("_n"))
+    spans = _before(spans, group_cols, [*extra_cols, "_span"], "_far")
+    offsets = _lookup(_before(counts, span_keys, [ck_cols[-1]], "_near"), span_keys, spans, "_far")
+    offsets = offsets.withColumn("_off", F.col("_near") + F.col("_far"))
+    return (_lookup(local, [*group_cols, *ck_cols], offsets, "_off")
             .withColumn(out, (F.col("_local") + F.col("_off")).cast("bigint"))
-            .drop("_local", "_off", *ck_cols, *[f"_o{i}" for i in range(len(keys))]))
+            .drop("_local", "_off", *ck_cols))

@@ -17,6 +17,7 @@ from ..operators import dedup, match, quality, report
 from ..operators.nearcopy import _cut, spread
 from ..operators.ranking import rank_within
 from ..operators.similarity import tfidf_cosine
+from ..operators.twoday import two_day_report
 from ..functions.text import iso_cleanup
 from ..functions.tokendiff import token_diff_udf
 from ..sources import days, landing
@@ -246,11 +247,8 @@ def q_cross_day_summary(spark, sf):
 
 def q_two_day_report(spark, sf):
     """X13 from raw notices: label both days, filter, match, final table."""
-    n = _notices(spark, sf)
-    lab = _cut(dedup.label_similar(n, CFG))  # read by both days and the judge
-    f = dedup.filtered(lab, CFG)
-    prev, cur = f.where(F.col("dia") == PREV_DAY), f.where(F.col("dia") == CUR_DAY)
-    out = match.match_days(prev, cur, match.TableJudge(_verdicts(spark, sf)), CFG)
+    out, _ = two_day_report(_notices(spark, sf), PREV_DAY, CUR_DAY,
+                            match.TableJudge(_verdicts(spark, sf)), CFG)
     return out.select("row_id", "processo", "noccur", "similar", "match_row")
 
 
@@ -632,6 +630,15 @@ ORACLES = {
         {_ERROR} AS error FROM parsed""",
     "asked_questions": f"""{_BASE}, {_VERD}, {_PARSED}, {_ASKED}
         SELECT processo, cur_id, prev_id, question_no, is_match, error FROM stops WHERE stop IS NULL OR question_no <= stop""",
+    # No marker occurs in documents, so no row joins another; the first row of a
+    # source that is no exact copy differs on both sides from a later one, so
+    # every row from it on leads itself.
+    "label_similar_documents": """WITH d AS (SELECT doc_id AS row_id, source AS processo, text,
+        count(*) OVER (PARTITION BY source) AS noccur FROM documents WHERE source IS NOT NULL),
+        w AS (SELECT *, count(*) OVER (PARTITION BY processo, text) AS n_exact,
+        min(row_id) OVER (PARTITION BY processo, text) AS leader FROM d)
+        SELECT row_id, processo, noccur, CASE WHEN n_exact >= 2 THEN leader ELSE row_id END AS "similar"
+        FROM w WHERE text IS NOT NULL OR noccur = 1""",
     "label_similar_leaders": f"""SELECT row_id, processo, count(*) OVER (PARTITION BY processo) AS noccur,
         row_id AS "similar" FROM ({LEADER_NOTICES_SQL}) o""",
     "first_match": f"{_MATCHED} SELECT row_id, processo, match_row FROM matched",

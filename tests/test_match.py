@@ -108,6 +108,16 @@ def test_asked_questions(spark):
     assert match.asked_questions(prev.limit(0), cur, match.CallableJudge(judge)).count() == 0
 
 
+def test_two_day_report_keeps_rejects(spark):
+    from docket.operators.twoday import two_day_report
+    prev, cur = _days(spark)
+    odd = spark.createDataFrame([(9, None, "P1", "DJSP", "t", 0), (8, 1, None, "DJSP", "t", 0), (7, 5, "P1", "DJSP", "t", 0)], SCHEMA)
+    notices = prev.unionByName(cur).unionByName(odd).drop("similar")
+    out, rejected = two_day_report(notices, 0, 1, match.OfflineJudge(0.99))
+    assert {r.row_id: r.match_row for r in out.collect()} == {0: 2, 1: -1, 2: -1, 3: -1}
+    assert sorted((r.row_id, r.reason) for r in rejected.collect()) == [(8, "null_key"), (9, "null_day")]
+
+
 def test_tfidf_golden(spark):
     pairs = spark.createDataFrame([
         (1, "Intimação do réu ana", "Intimação do réu josé"),

@@ -145,6 +145,15 @@ def test_rank_within_keeps_nulls(spark):
     assert got == [("1", "5", 1), ("1", "9", 2), ("1", "None", 0), ("None", "1", 0), ("None", "2", 1)]
 
 
+def test_rank_within_sparse_ids(spark):
+    """Ids 2^17 apart, each a chunk of its own, over several spans; negative ones too."""
+    df = spark.range(-300, 2700).select((F.col("id") % 2).alias("g"), (F.col("id") * (1 << 17)).alias("o"))
+    got = rank_within(df, ["g"], "o", chunk=4)
+    from pyspark.sql import Window
+    ref = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("o")).cast("bigint") - 1)
+    assert got.select("g", "o", "rank").exceptAll(ref).count() == 0 and got.count() == 3000
+
+
 def test_rank_within_matches_row_number(spark):
     df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 5003).alias("o"))
     ours = rank_within(df, ["g"], "o", chunk=64).select("g", "o", "rank")
