@@ -17,18 +17,19 @@ _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 from .config import DEFAULT, TriageConfig  # noqa: E402
 from .operators.dedup import (case_frequency, duplicate_row_ids, exact_copy_leaders, filtered,
                               label_similar,
-                              label_similar_with_rejects, representatives, undecided)
-from .operators.match import (CallableJudge, OfflineJudge, TableJudge, eligible_cases,
+                              label_similar_with_rejects, rejected_notices, representatives, undecided)
+from .operators.match import (CallableJudge, OfflineJudge, TableJudge, asked_questions, eligible_cases,
                               first_matches, match_days, parse_verdict, verdict_request)
 from .operators.quality import check_accounts, quality_report
 from .operators.ranking import rank_within
 from .operators.report import (cross_day_summary, day_summary, key_difference, new_cases,
                                repeated_cases, review_highlight, undecided_per_case)
 from .operators.similarity import tfidf_cosine
+from .operators.twoday import two_day_report
 from .sources.days import assign_row_ids, read_days, write_days, write_labelled_and_filtered
-from .sources.landing import (content_type, list_prefix, manifest_count, manifest_files,
-                              plan_landing)
-from .sources.workbook import read_workbooks, workbook_table
+from .sources.landing import (commit_landing, content_type, files_from_binary, list_prefix,
+                              manifest_count, manifest_files, plan_landing, stored_catalog)
+from .sources.workbook import read_workbooks, workbook_errors, workbook_table
 
 __all__ = [
     "DEFAULT", "TriageConfig", "case_frequency", "duplicate_row_ids", "exact_copy_leaders", "filtered", "label_similar",
@@ -38,5 +39,6 @@ __all__ = [
     "key_difference", "new_cases", "repeated_cases", "review_highlight", "undecided_per_case",
     "tfidf_cosine", "assign_row_ids", "read_days", "write_days", "write_labelled_and_filtered",
     "content_type", "list_prefix", "manifest_count", "manifest_files", "plan_landing",
-    "read_workbooks", "workbook_table",
+    "read_workbooks", "workbook_table", "workbook_errors", "asked_questions", "rejected_notices",
+    "two_day_report", "commit_landing", "files_from_binary", "stored_catalog",
 ]
