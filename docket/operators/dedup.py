@@ -24,13 +24,9 @@ _FP = "_fp"
 
 
 def _with_fp(df: DataFrame, cfg: TriageConfig) -> DataFrame:
-    # Null texts share one impossible fingerprint (length -1) so that the
+    # Null texts share one impossible fingerprint (no bytes) so that the
     # equi-join below matches them; they are never treated as copies.
-    null_fp = F.struct(F.lit(0).cast("bigint").alias("h1"),
-                       F.lit(0).cast("bigint").alias("h2"),
-                       F.lit(-1).alias("n"))
-    return df.withColumn(_FP, F.when(F.col(cfg.text).isNull(), null_fp)
-                         .otherwise(fingerprint(F.col(cfg.text))))
+    return df.withColumn(_FP, F.coalesce(fingerprint(F.col(cfg.text)), F.lit(b"")))
 
 
 def duplicate_row_ids(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
