@@ -1,12 +1,14 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences; a sentence is normalised (lower case, single
-spaces, no quotes or closing marks) and looked up among known licence
-sentences.  The sequence of identifiers is then read from left to right: at
+Lines lose their comment and list marks; lines up to a blank one are joined
+and cut at sentence ends.  A sentence is normalised (lower case, single spaces,
+no quotes) and searched for known licence sentences: they may run over line
+breaks, colons and semicolons, and start and end only there or where the
+sentence does.  The sequence of identifiers is then read from left to right: at
 each place the first rule of an ordered list whose identifiers follow there is
-recognised and passed over.  Sentences that speak of licensing but are not
-known get the identifier ``unknown``; a known sentence that no rule uses is
-reported as ``partial``.
+recognised and passed over.  What speaks of licensing between known sentences
+gets the identifier ``unknown``, once for each stretch; a known sentence that
+no rule uses is reported as ``partial``.
 
 Texts without a licence word are settled by one search.  Null and empty texts
 have no sentence; repeated rows are read alike; an empty table gives no rows.
@@ -15,6 +17,7 @@ have no sentence; repeated rows are read alike; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import string
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,7 +35,7 @@ SENTENCES = (
     ("as-is", r"the software is provided as is, without warranty of any kind, .*"),
     ("apache-short", r"licensed under the apache licen[sc]e,? version 2\.0(?: \(the licen[sc]e\))?"),
     ("apache-comply", r"you may not use this file except in compliance with the licen[sc]e"),
-    ("apache-copy", r"you may obtain a copy of the licen[sc]e at .*"),
+    ("apache-copy", r"you may obtain a copy of the licen[sc]e at(?: .*)?"),
     ("gpl3-short", r"this (?:work|program|software) is licensed under the gnu general public licen[sc]e,? "
                    r"version 3(?:\.0)?"),
     ("gpl2-short", r"this (?:work|program|software) is licensed under the gnu general public licen[sc]e,? "
@@ -68,31 +71,81 @@ RULES = (
     ("CC-BY-4.0", ("ccby-short",)),
 )
 #: A text or sentence without these is not about licences.
-MARKS = re.compile(r"licen[sc]e|copyright|redistribut|permission is hereby|provided as is|"
-                   r"without warranty|provided \"as is\"", re.IGNORECASE)
+MARKS = re.compile(r"licen[sc]e|copyright|redistribut|permission\W+is\W+hereby|provided\W+as\W+is|"
+                   r"without\W+warranty", re.IGNORECASE)
 RESULT = "sentences array<string>, licenses array<string>, n_unknown long, n_partial long"
 
-_CUT = re.compile(r"(?<=[.!?;:])\s+|\n+")
-_KNOWN = [(name, re.compile(p)) for name, p in SENTENCES]
+_LINE = re.compile(r"\r\n?|\n")
+_OPENING = re.compile(r"^(?:[\s*#/>\-|%;!<]|rem\s|dnl\s|\(?(?:\d{1,2}|[a-z])\)\s)+", re.IGNORECASE)
+#: A blank line ends a sentence, except before a bare address.
+_PARAGRAPH = re.compile(r"\n{2,}(?!https?://)")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_SOFT = re.compile(r"(?<=[;:])\s+|\n+")
+
+
+def _known():
+    """(name, pattern, open) of each known sentence; an open one goes on to the
+    next known sentence.  Any space may be a soft break, kept as a line feed."""
+    for name, p in SENTENCES:
+        tail = next((t for t in (r"(?: .*)?", ".*") if p.endswith(t)), "")
+        p = p.removesuffix(tail)
+        p = p.replace(".*", ".*?").replace(" ", r"\s")
+        end = r"(?=\s|$)" if tail == r"(?: .*)?" else "" if tail else r"[ .!?;:]*(?=\n|$)"
+        yield name, re.compile(p + end, re.DOTALL), bool(tail)
+
+
+_KNOWN = list(_known())
 
 
 def normalise(sentence: str) -> str:
-    s = re.sub(r"[\"'`“”‘’]", "", sentence.lower())
-    return re.sub(r"^[\s*#/>\-]+|[\s.!?;:]+$", "", re.sub(r"\s+", " ", s))
+    """Lower case, no quotes, single spaces; line breaks and the spaces after
+    colons and semicolons become line feeds."""
+    s = _SOFT.sub("\n", re.sub(r"[\"'`“”‘’]", "", sentence.lower()).strip())
+    return re.sub(r"[^\S\n]+", " ", s)
+
+
+def _bare(line: str) -> str:
+    """A line without its comment and list marks."""
+    line = _OPENING.sub("", line).rstrip().removesuffix("*/").removesuffix("-->")
+    return line.rstrip("*#|" + string.whitespace)
+
+
+def _sentences(text: str):
+    for paragraph in _PARAGRAPH.split("\n".join(map(_bare, _LINE.split(text)))):
+        if MARKS.search(paragraph) or "neither the name" in paragraph.lower().replace("\n", " "):
+            yield from _SENTENCE.split(paragraph)
+
+
+def _read(sentence: str) -> list[str]:
+    s = normalise(sentence)
+    found = []  # (start, end, name) of the known sentences
+    at = 0
+    while at < len(s):
+        for name, p, goes_on in _KNOWN:
+            if m := p.match(s, at):
+                if found and found[-1][3]:
+                    found[-1][1] = at
+                found.append([at, m.end(), name, goes_on])
+                break
+        at = s.find("\n", max(at, found[-1][1] if found else 0)) + 1
+        if not at:
+            break
+    if found and found[-1][3]:
+        found[-1][1] = len(s)
+    out, done = [], 0
+    for start, end, name, _ in [*found, (len(s), len(s), "", False)]:
+        if MARKS.search(s[done:start]):
+            out.append("unknown")
+        done = end
+        out += [name] if name else []
+    return out
 
 
 def sentence_ids(text: str | None) -> list[str]:
     """Identifiers of the licence sentences of a text, in order."""
     if not isinstance(text, str) or not MARKS.search(text):
         return []
-    out = []
-    for raw in _CUT.split(text):
-        if not MARKS.search(raw) and not raw.lstrip(" *#/>-").lower().startswith(
-                ("you may obtain", "neither the name", "the software is")):
-            continue
-        s = normalise(raw)
-        out.append(next((name for name, p in _KNOWN if p.fullmatch(s)), "unknown"))
-    return out
+    return [i for s in _sentences(text) for i in _read(s)]
 
 
 def match_rules(ids: list[str]) -> tuple[list[str], int]:

@@ -80,6 +80,61 @@ def test_license_sequences():
     assert licenses.sentence_ids("No such word here. " * 5) == []
 
 
+MIT = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the
+License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by law, no more is said."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_license_wrapped_lines(mark):
+    def read(text):
+        ids = licenses.sentence_ids("Title\n\n" + "\n".join(mark + x for x in text.split("\n")))
+        return ids, licenses.match_rules(ids)
+    assert read(MIT) == (["unknown", "mit-grant", "mit-notice", "as-is"], (["MIT"], 0))
+    assert read(BSD)[1] == (["BSD-3-Clause"], 0)
+    assert read(APACHE) == (["apache-short", "apache-comply", "apache-copy"], (["Apache-2.0"], 0))
+    assert read(GPL) == (["gpl-free"], (["GPL-3.0"], 0))
+    assert read("SPDX-License-Identifier: MIT")[1] == (["MIT"], 0)
+    assert read("x\nSPDX-License-Identifier: Apache-2.0\ny = 1")[1] == (["Apache-2.0"], 0)
+    assert read("A heading\nLicensed under CC BY 4.0\nReleased under the MIT License")[1] == (
+        ["CC-BY-4.0", "MIT"], 0)
+
+
+def test_license_breaks_do_not_matter():
+    for text, name in ((MIT.split("\n\n", 1)[1], "MIT"), (BSD, "BSD-3-Clause"), (APACHE, "Apache-2.0"), (GPL, "GPL-3.0")):
+        for glue in (" ", "\r\n"):
+            assert licenses.match_rules(licenses.sentence_ids(text.replace("\n", glue))) == ([name], 0)
+
+
 def test_license_edges(spark, edge, empty):
     rows = licenses.scan(edge).collect()
     assert len(rows) == edge.count() and all(r.licenses == [] for r in rows)
