@@ -3,9 +3,11 @@
 Notices arrive as file drops.  This runs the same within-day labelling with
 Structured Streaming: a file source picks up new Parquet files and
 ``foreachBatch`` labels the *whole days* the micro-batch touches -- all rows
-of those days are read back from the source (a semi-join on the days, so the
-scan is pruned) -- and overwrites just those day partitions of the
-``labelled`` and ``filtered`` tables.  A day that arrives in several pieces
+of those days are read back from the source (a null-safe semi-join on the
+days) -- and overwrites just those day partitions of the ``labelled``,
+``filtered`` and ``rejected`` tables.  ``rejected`` holds the rows that cannot
+be labelled, with their ``reason``; rows without a day are its null partition.
+Every input row is in ``labelled`` or ``rejected``.  A day that arrives in several pieces
 is therefore relabelled completely each time a piece lands, and a replayed
 micro-batch rewrites the same days instead of duplicating rows.  The
 reference has no streaming; this is only a way to feed it.
@@ -14,10 +16,11 @@ reference has no streaming; this is only a way to feed it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT, TriageConfig
-from ..operators.dedup import filtered, label_similar
+from ..operators.dedup import filtered, label_similar_with_rejects
 
 
 def start_daily_labelling(spark: SparkSession, source_dir: str, out_dir: str,
@@ -34,10 +37,11 @@ def start_daily_labelling(spark: SparkSession, source_dir: str, out_dir: str,
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        days = batch.select(cfg.day).distinct()
-        whole_days = spark.read.schema(schema).parquet(source_dir).join(days, cfg.day, "left_semi")
-        lab = label_similar(whole_days, cfg)
-        for name, df in (("labelled", lab), ("filtered", filtered(lab, cfg))):
+        days = batch.select(F.col(cfg.day).alias("_day")).distinct()
+        rows = spark.read.schema(schema).parquet(source_dir)
+        whole_days = rows.join(days, F.col(cfg.day).eqNullSafe(F.col("_day")), "left_semi")
+        lab, rejected = label_similar_with_rejects(whole_days, cfg)
+        for name, df in (("labelled", lab), ("filtered", filtered(lab, cfg)), ("rejected", rejected)):
             (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy(cfg.day).parquet(f"{out_dir}/{name}"))
 
