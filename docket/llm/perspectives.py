@@ -5,39 +5,84 @@ turns as the assistant and all others as named users; the mask holds the
 character spans to learn: the body and end mark of their own turns.  Context
 roles (``system``) speak to everyone and are no participants.
 
-A conversation is rendered in parts of ``part_turns`` turn numbers, so one
-endless conversation is many rows and no task holds it whole.  DataFrame
-functions only.
+A conversation of at most ``part_turns`` distinct turns is rendered whole, whatever
+its turn numbers.  A longer one is cut by rank into parts of ``part_turns`` turns,
+ranked over a range partitioning, so no task gathers it whole; each later part
+begins with the context-role turns that came before it (the same words once).
+``n_rows`` and ``n_turns`` count a part's own turns, not those repeated.  The bound
+is one of turns, not of bytes: a turn is never cut.  DataFrame functions only.
 
 Nulls: a null text is empty, a null role is the named user ``unknown`` and no
 participant, a null conversation id is a conversation of its own, null turns
-form a part before all others.  Equal turn numbers are ordered by role and
-text; identical rows are rendered once, and ``n_rows`` counts them all.  A
-conversation without a participant, or an empty table, gives no rows.
+come before all others; a whole conversation without any turn number has a null
+part.  Equal turn numbers are ordered by role and text; identical rows are rendered
+once, and ``n_rows`` counts them all.  A conversation without a participant, or an
+empty table, gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 END = "<|end|>\n"
 
 
-def _turns(rows: DataFrame, most_rows: int) -> DataFrame:
-    """Per conversation and part: the distinct turns in order and n_rows.  If
-    some part has more than ``most_rows`` rows, identical rows are merged
-    before any part is gathered."""
-    key = ["conv", "part"]
-    largest = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    turn = F.struct("turn", "role", "text")
-    if largest > most_rows:
-        rows = rows.groupBy(*key, "turn", "role", "text").agg(F.count(F.lit(1)).alias("k"))
-        return rows.groupBy(*key).agg(F.array_sort(F.collect_list(turn)).alias("turns"),
-                                      F.sum("k").alias("n_rows"))
-    got = rows.groupBy(*key).agg(F.collect_list(turn).alias("all"))
-    return got.select(*key, F.array_sort(F.array_distinct("all")).alias("turns"),
-                      F.size("all").cast("long").alias("n_rows"))
+TURN = ("turn", "role", "text")
+
+
+def _ranked(turns: DataFrame) -> DataFrame:
+    """``turns`` with the ``rank`` of each in its conversation, from 0.  Rows are
+    dealt out by ranges, ranked inside a range, and moved on by the rows of the
+    conversation in the ranges before."""
+    dealt = stage(turns.repartitionByRange("conv", *TURN).withColumn(
+        "range", F.spark_partition_id()), "turns")
+    own = F.row_number().over(Window.partitionBy("conv", "range").orderBy(*TURN)) - 1
+    sizes = dealt.groupBy(F.col("conv").alias("c"), F.col("range").alias("r")).agg(
+        F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    ranked = dealt.withColumn("own", own).join(
+        sizes, F.col("conv").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r")))
+    return ranked.select("conv", *TURN, "k", (F.col("own") + F.col("before")).alias("rank"))
+
+
+def _turns(rows: DataFrame, part_turns: int, most_rows: int, context_roles: list[str]) -> DataFrame:
+    """Per conversation and part: the context turns repeated before it, its
+    distinct turns in order, and n_rows.  If some conversation has more rows than
+    a part may have turns, identical rows are merged before any is gathered."""
+    turn = F.struct(*TURN)
+    whole = F.when(F.max("turn").isNotNull(), F.lit(0)).cast("long").alias("part")
+    none = F.array().cast(f"array<{rows.select(turn.alias('t')).schema['t'].dataType.simpleString()}>")
+    largest = rows.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= min(part_turns, most_rows):
+        got = rows.groupBy("conv").agg(whole, F.collect_list(turn).alias("all"))
+        return got.select("conv", "part", none.alias("context"),
+                          F.array_sort(F.array_distinct("all")).alias("turns"),
+                          F.size("all").cast("long").alias("n_rows"))
+    rows = stage(rows.groupBy("conv", *TURN).agg(F.count(F.lit(1)).alias("k")), "turns")
+    long = rows.groupBy(F.col("conv").alias("l")).agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > part_turns)
+    in_long = F.col("conv").eqNullSafe(F.col("l"))
+    gathered = (F.array_sort(F.collect_list(turn)).alias("turns"), F.sum("k").alias("n_rows"))
+    short = rows.join(long, in_long, "left_anti").groupBy("conv").agg(whole, *gathered)
+    part = F.floor(F.col("rank") / part_turns).cast("long").alias("part")
+    ranked = stage(_ranked(rows.join(long, in_long, "left_semi")).select("*", part), "ranked")
+    parts = ranked.groupBy("conv", "part").agg(*gathered)
+    said = ranked.where(F.col("role").isin(*context_roles)).groupBy("conv", "role", "text").agg(
+        F.min(F.struct("rank", "part", "turn")).alias("first"))
+    said = said.select(F.col("conv").alias("l"), F.col("first.part").alias("since"), F.struct(
+        "first.rank", F.struct("first.turn", "role", "text").alias("said")).alias("said"))
+    before = ranked.select("conv", "part").distinct().join(
+        said, in_long & (F.col("since") < F.col("part"))).groupBy(
+        F.col("conv").alias("l"), F.col("part").alias("p")).agg(
+        F.array_sort(F.collect_list("said")).alias("said"))
+    parts = parts.join(before, in_long & (F.col("part") == F.col("p")), "left")
+    return short.select("conv", "part", none.alias("context"), "turns", "n_rows").unionByName(
+        parts.select("conv", "part", F.coalesce(F.col("said.said"), none).alias("context"),
+                     "turns", "n_rows"))
 
 
 def _header(role: Column, speaker: Column, context_roles: list[str]) -> Column:
@@ -55,24 +100,24 @@ def rotate(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     and ``mask`` (spans of ``rendered``)."""
     rows = conversations.select(
         F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-        F.floor(F.col(turn) / part_turns).cast("long").alias("part"))
+        F.coalesce(F.col(text), F.lit("")).alias("text"))
     speakers = (rows.where(F.col("role").isNotNull() & ~F.col("role").isin(*context_roles))
                 .select("conv", F.col("role").alias("speaker")).distinct()
                 .select(F.col("conv").alias("c"), "speaker"))
-    parts = _turns(rows, most_rows)
+    parts = _turns(rows, part_turns, most_rows, list(context_roles))
     views = parts.join(speakers, F.col("conv").eqNullSafe(F.col("c")))
-    piece = F.transform("turns", lambda t: F.struct(
+    piece = F.transform(F.concat("context", "turns"), lambda t: F.struct(
         F.concat(_header(t["role"], F.col("speaker"), list(context_roles)), t["text"],
                  F.lit(END)).alias("text"),
         (F.length(t["text"]) + len(END)).alias("learn"),
         (t["role"] == F.col("speaker")).alias("own")))
     views = views.withColumn("pieces", piece)
-    # Each piece with the length of all before it; parts are short by design.
-    spans = F.expr("""transform(filter(transform(pieces, (p, i) -> struct(p as p,
-        aggregate(slice(pieces, 1, i), 0, (a, x) -> a + length(x.text)) as at)), q -> q.p.own),
-        q -> struct(cast(q.at + length(q.p.text) - q.p.learn as long) as start,
-                    cast(q.at + length(q.p.text) as long) as stop))""")
+    # One walk over the pieces, with the length of all before.
+    spans = F.expr("""aggregate(pieces, struct(0L as at, cast(array() as
+        array<struct<start: bigint, stop: bigint>>) as spans), (a, p) -> struct(
+        a.at + length(p.text) as at,
+        if(p.own, concat(a.spans, array(struct(a.at + length(p.text) - p.learn as start,
+                                               a.at + length(p.text) as stop))), a.spans) as spans)).spans""")
     return views.select(
         F.col("conv").alias("conv_id"), "speaker", "part", "n_rows",
         F.size("turns").cast("long").alias("n_turns"),

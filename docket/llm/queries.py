@@ -71,8 +71,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations from the view of each participant."""
-    return perspectives.rotate(table(spark, sf_dir, "conversations")).withColumn(
+    """All conversations from the view of each participant, whole up to 1,024 turns."""
+    return perspectives.rotate(table(spark, sf_dir, "conversations"), part_turns=1024).withColumn(
         "mask", perspectives.mask_text(F.col("mask")))
 
 

@@ -174,6 +174,34 @@ def test_perspectives(spark, most_rows):
     assert perspectives.rotate(df.where("false")).count() == 0
 
 
+def test_perspectives_sparse_turns_stay_whole(spark):
+    rows = [(1, t, r, x) for t, r, x in [(None, "system", "Be kind."), (7, "Ana", "a"), (700, "Bo", "b"),
+                                         (1 << 40, "Ana", "c")]]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.speaker: r for r in perspectives.rotate(df).collect()}
+    assert set(got) == {"Ana", "Bo"}
+    for r in got.values():
+        assert (r.part, r.n_rows) == (0, 4)
+        assert (r.rendered, [tuple(m) for m in r["mask"]]) == _render([x[1:] for x in rows], r.speaker)
+
+
+@pytest.mark.parametrize("turns", ["equal", "null", "dense"])
+def test_perspectives_long_conversation(spark, turns):
+    """Parts of bounded size, by rank, each with the context before it."""
+    at = {"equal": lambda t: 5, "null": lambda t: None, "dense": lambda t: t}[turns]
+    rows = [(1, at(t), "system" if t in (0, 15) else "ab"[t % 2], f"t{t:03}") for t in range(45)]
+    df = spark.createDataFrame(rows * 3 + [(2, 90, "a", "short")], "conv_id long, turn long, role string, text string")
+    got = perspectives.rotate(df, part_turns=10).collect()
+    order = sorted(rows, key=lambda x: (x[1] or 0, x[2], x[3]))
+    assert sorted((r.conv_id, r.speaker, r.part) for r in got) == sorted(
+        [(1, s, p) for s in "ab" for p in range(5)] + [(2, "a", 0)])
+    for r in (r for r in got if r.conv_id == 1):
+        own = order[10 * r.part:10 * r.part + 10]
+        before = [x for x in order[:10 * r.part] if x[2] == "system"]
+        assert (r.n_rows, r.n_turns) == (3 * len(own), len(own))
+        assert (r.rendered, [tuple(m) for m in r["mask"]]) == _render([x[1:] for x in before + own], r.speaker)
+
+
 def test_pipeline(spark, docs, tmp_path):
     """Every stage against brute force on what its predecessor kept."""
     at = spark.read.parquet(f"{SF}/documents.parquet")
