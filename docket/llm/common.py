@@ -33,12 +33,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", codec: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the
-    lineage, survives lost executors, and later reads prune columns."""
+    lineage, survives lost executors, and later reads prune columns.  ``codec``
+    is the Parquet compression, if not the session's."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -84,6 +84,37 @@ def test_exchange_raises_likelihood_and_finds_blocks():
     assert len({(a, b) for a, b in zip(truth[1:], place[1:])}) == 3
 
 
+@pytest.mark.parametrize("head_words", [12, 100_000])
+def test_every_word_is_placed_by_its_own_bigrams(spark, head_words):
+    """Two kinds of words alternate; the endings of the rare ones say nothing
+    of it, so a class by the last bytes would hold both kinds."""
+    rng = np.random.default_rng(3)
+    rare = [[f"{k}{i}zz" for i in range(40)] for k in "xy"]
+    texts = [" ".join(f"{'xy'[j % 2]}{rng.integers(5)}" if rng.random() < 0.6 else rare[j % 2][rng.integers(40)]
+                      for j in range(60)) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = class_lm.count_words(d).cache()
+    model = class_lm.fit(d, counts, head_words=head_words, unit_words=10, classes=5)
+    assert model["n_units"] == 10
+    rows = d.selectExpr("doc_id", "xxhash64(text) text_key", "false held_out", "text").mapInArrow(
+        class_lm._encode(spark.sparkContext.broadcast(model["head"])), class_lm.ENCODED)
+    head = [w.decode() for w in model["head"]]
+    got, tail = class_lm.place_words(rows, model, counts.where(~counts.word.isin(head)))
+    place = dict(zip(head, got["head_class"][1:])) | {r.word: r.c for r in tail.collect()}
+    assert set(place) == {w for t in texts for w in t.split()}
+    assert got["pair"].sum() == sum(len(t.split()) + 1 for t in texts)
+    classes = [{place[w] for w in words if w in place} for words in rare]
+    assert not classes[0] & classes[1] and 0 not in classes[0] | classes[1]
+
+
+def test_score_does_not_depend_on_the_head(spark, docs):
+    """Classes by the joins and classes that travel give the same scores."""
+    d = spark.createDataFrame(docs[:60], "doc_id long, text string")
+    a, b = ({r.doc_id: r for r in class_lm.score_texts(
+        d, head_words=n, unit_words=20, classes=6).collect()} for n in (60, 100_000))
+    assert all(abs(a[i].score - b[i].score) < 1e-6 * -b[i].score for i in b)
+
+
 def test_language_model_edges(spark, edge, empty):
     rows = class_lm.score_texts(edge).collect()
     assert len(rows) == edge.count() and all(math.isfinite(r.score) for r in rows)
