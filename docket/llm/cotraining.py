@@ -3,14 +3,16 @@
 The *text* view sees which words and runs of signs a text holds; the
 *metadata* view sees source, language, length and layout (line length, shares
 of capitals, digits, signs and spaces), but no words.  Each view is a logistic
-regression.  In every round each view labels an unlabelled pool, and its most
+regression.  In every round each view scores all unlabelled documents, and its most
 confident labels join the training set of the other view.  At the end both are
 calibrated on labelled rows that no round trained on, and their log odds are
 added (less the prior's) to score all documents.
 
-Fitting uses bounded samples, chosen by hash: at most about ``sample``
-labelled rows and ``pool`` unlabelled ones; only their features reach the
-driver.  Scoring is one pass over all documents without a shuffle.
+A round is a pass over all documents.  The most confident are found by a histogram
+of scores over all of them; of these about ``pool`` rows are drawn by hash, anew in
+every round, and only the features of those and of at most about ``sample`` labelled
+rows reach the driver, one row per id and text.  Scoring is one pass over all
+documents without a shuffle.
 
 Null texts and empty texts have no text features, null metadata a value of its
 own.  Labels of a repeated id are averaged, null labels and ids are ignored;
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, short_batches, text_groups
+from .common import hashed_words, short_batches, stage, text_groups
 
 TEXT_DIM = 1 << 13
 META_DIM = 1 << 10
@@ -146,7 +148,7 @@ def calibrate(z: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[float, fl
 
 def co_train(views: list[Rows], label: np.ndarray, held: np.ndarray, rounds: int = 4,
              per_round: float = 0.05, sure: float = 0.95) -> dict:
-    """Fit both views.  ``label`` is 0 or 1, NaN for the pool; ``held`` marks
+    """Fit both views on rows at hand.  ``label`` is 0 or 1, NaN for the pool; ``held`` marks
     the labelled rows kept for calibration."""
     known = ~np.isnan(label)
     train, test = np.flatnonzero(known & ~held), np.flatnonzero(known & held)
@@ -206,49 +208,119 @@ def _draw(id_column, n: int, of: int):
     return cell < F.lit(int(min(1.0, n / max(of, 1)) * (1 << 30)))
 
 
+def _features(rows: DataFrame, ys: list[str]) -> pd.DataFrame:
+    """Feature columns of rows (i, ``COLUMNS``, ys), one per id and text."""
+    def features(batches):
+        for pdf in batches:
+            out = []
+            for text, meta in _views(pdf["text"], *(pdf[c].tolist() for c in COLUMNS[1:])):
+                for i in range(text.n):
+                    a, b = np.searchsorted(text.row, [i, i + 1])
+                    c, d = np.searchsorted(meta.row, [i, i + 1])
+                    out.append((text.col[a:b], meta.col[c:d]))
+            yield pd.DataFrame({"i": pdf["i"], "h": pdf["h"], "text": [x[0] for x in out],
+                                "meta": [x[1] for x in out], **{y: pdf[y].astype(float) for y in ys}})
+    schema = "i long, h long, text array<long>, meta array<long>" + "".join(f", {y} double" for y in ys)
+    got = rows.dropDuplicates(["i", "h"]).mapInPandas(features, schema).toArrow().to_pandas()
+    return got.sort_values(["i", "h"], kind="stable").reset_index(drop=True)
+
+
+def _as_rows(lists, dim: int) -> Rows:
+    n = np.array([len(x) for x in lists], np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    col = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
+    return Rows(row, col, 1.0 / np.sqrt(n[row]), len(n), dim)
+
+
+VIEWS = (("text", TEXT_DIM), ("meta", META_DIM))
+
+
+def _confident(rows: DataFrame, fits: dict, n_round: int, per_round: float, sure: float,
+               quota: int) -> dict:
+    """{(target, view, value): feature rows} drawn from the most confident of all
+    rows that have no label ``y<target>``; ``fits`` is {target: fits of the views}."""
+    names = {(t, v): f"z{t}_{v}" for t in fits for v in range(len(VIEWS))}
+    sent = rows.sparkSession.sparkContext.broadcast(fits)
+
+    def logits(batches):
+        for pdf in batches:
+            parts = {n: [] for n in names.values()}
+            for views in _views(pdf["text"], *(pdf[c].tolist() for c in COLUMNS[1:])):
+                for (t, v), n in names.items():
+                    w, b = sent.value[t][v]
+                    parts[n].append(views[v].dot(w) + b)
+            z = {n: np.where(pdf[f"y{t}"].isna(), np.concatenate(parts[n]) if parts[n] else [], np.nan)
+                 for (t, _), n in names.items()}
+            yield pd.DataFrame({"h": pdf["h"], **z})
+    at = stage(rows.mapInPandas(logits, "h long, " + ", ".join(
+        f"{n} double" for n in names.values())).dropDuplicates(["h"]), "logits")
+    sides = [(t, v, value, F.col(n) if value else -F.col(n)) for (t, v), n in names.items()
+             for value in (1, 0)]
+    # NaN, a labelled row, is above all numbers for Spark.
+    bins = [F.when(~F.isnan(z) & (z >= float(np.log(sure / (1 - sure)))), F.floor(z * 8)).cast("long")
+            for _, _, _, z in sides]
+    sums = at.select(F.posexplode(F.array(*bins)).alias("side", "bin")).where("bin is not null").groupBy(
+        "side", "bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    free = at.agg(*[F.count_if(~F.isnan(names[t, 0])).alias(f"n{t}") for t in fits]).first()
+    picks, drawn = [], F.pmod(F.xxhash64(F.lit(n_round), "h"), F.lit(1 << 30))
+    for k, (t, _, _, _) in enumerate(sides):
+        most = max(1, int(min(1.0, per_round * (n_round + 1)) * free[f"n{t}"]))
+        total, least = 0, None
+        for x in sorted((x for x in sums if x.side == k), key=lambda x: -x.bin):
+            if total >= most:
+                break
+            total, least = total + x.n, x.bin
+        cell = int(min(1.0, quota / max(total, 1)) * (1 << 30))
+        picks.append(F.lit(False) if least is None else F.coalesce(
+            (bins[k] >= least) & (drawn < cell), F.lit(False)))
+    marks = [f"s{k}" for k in range(len(sides))]
+    chosen = at.select(F.col("h").alias("h2"), *[p.cast("double").alias(m) for p, m in zip(picks, marks)]).where(
+        " + ".join(marks) + " > 0")
+    # About ``quota`` rows a side, so they may travel to every task.
+    found = rows.select("i", "h", *COLUMNS).join(
+        F.broadcast(chosen), F.col("h") == F.col("h2")).drop("h2")
+    got = _features(found, marks)
+    return {(t, v, value): got[got[m] > 0] for (t, v, value, _), m in zip(sides, marks)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, targets: list[str], doc_id: str = "doc_id",
-        sample: int = 4096, pool: int = 4096, rounds: int = 4) -> dict:
+        sample: int = 4096, pool: int = 4096, rounds: int = 4, per_round: float = 0.05,
+        sure: float = 0.95) -> dict:
     """{target: model} for each label column of ``labels``."""
     short_batches()
     known = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("i")).agg(
         *[F.round(F.avg(t)).alias(f"y{k}") for k, t in enumerate(targets)])
     drawn = known.where(_draw(F.col("i"), sample, known.count())).limit(2 * sample)
-    rows = docs.select(F.col(doc_id).alias("i"), *COLUMNS)
-    in_pool = _draw(F.concat(F.lit("pool"), F.col("i").cast("string")), pool,
-                    rows.count())
     ys = [f"y{k}" for k in range(len(targets))]
     # ``drawn`` has at most 2 * sample rows, so it may travel to every task.
-    joined = rows.join(F.broadcast(drawn), "i", "left")
-    labelled = F.lit(False)
-    for y in ys:
-        labelled = labelled | F.col(y).isNotNull()
-    chosen = joined.where(labelled | in_pool)
-    width = len(ys)
-
-    def features(batches):
-        for pdf in batches:
-            out, at = [], 0
-            for text, meta in _views(pdf["text"], *(pdf[c].tolist() for c in COLUMNS[1:])):
-                for i in range(text.n):
-                    a, b = np.searchsorted(text.row, [i, i + 1])
-                    c, d = np.searchsorted(meta.row, [i, i + 1])
-                    out.append((text.col[a:b], meta.col[c:d]))
-                at += text.n
-            yield pd.DataFrame({"i": pdf["i"], "text": [x[0] for x in out],
-                                "meta": [x[1] for x in out],
-                                **{f"y{k}": pdf[f"y{k}"].astype(float) for k in range(width)}})
-    schema = "i long, text array<long>, meta array<long>, " + ", ".join(f"{y} double" for y in ys)
-    got = chosen.mapInPandas(features, schema).toArrow().to_pandas()
-    got = got.sort_values("i", kind="stable").reset_index(drop=True)
-
-    def view(name, dim):
-        n = np.array([len(x) for x in got[name]], np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        col = np.concatenate([*got[name], np.zeros(0, np.int64)]).astype(np.int64)
-        return Rows(row, col, 1.0 / np.sqrt(n[row]), len(n), dim)
-    views = [view("text", TEXT_DIM), view("meta", META_DIM)]
+    rows = docs.select(F.col(doc_id).alias("i"), F.xxhash64(doc_id, "text").alias("h"), *COLUMNS).join(
+        F.broadcast(drawn), "i", "left")
+    got = _features(rows.where(" or ".join(f"{y} is not null" for y in ys)), ys)
     held = np.array([zlib.crc32(repr(i).encode()) % 5 == 0 for i in got["i"].tolist()], bool)
-    return {t: co_train(views, got[y].to_numpy(float), held, rounds) for t, y in zip(targets, ys)}
+    models, sets, tests = {}, {}, {}
+    for k, y in enumerate(ys):
+        label = got[y].to_numpy(float)
+        known = ~np.isnan(label)
+        models[k] = {"share": float(label[known].mean()) if known.any() else 0.5}
+        if all(len(np.unique(label[known & part])) == 2 for part in (held, ~held)):
+            sets[k] = [(got[known & ~held], label[known & ~held])] * 2
+            tests[k] = (got[known & held], label[known & held])
+
+    def fit_all(sets):
+        return {k: [logistic(_as_rows(part[name], dim), y) for (name, dim), (part, y) in zip(VIEWS, both)]
+                for k, both in sets.items()}
+    fits = fit_all(sets)
+    for r in range(rounds if sets else 0):
+        new = _confident(rows, fits, r, per_round, sure, max(1, pool // (4 * len(sets))))
+        fits = fit_all({k: [
+            (pd.concat([part, *(new[k, 1 - v, value] for value in (1, 0))]),
+             np.concatenate([y, *(np.full(len(new[k, 1 - v, value]), float(value)) for value in (1, 0))]))
+            for v, (part, y) in enumerate(both)] for k, both in sets.items()})
+    for k, (part, y) in tests.items():
+        models[k] |= {"fits": fits[k], "scale": [
+            calibrate(_as_rows(part[name], dim).dot(w) + b, y)
+            for (name, dim), (w, b) in zip(VIEWS, fits[k])]}
+    return {t: models[k] for k, t in enumerate(targets)}
 
 
 def score(docs: DataFrame, models: dict, doc_id: str = "doc_id") -> DataFrame:

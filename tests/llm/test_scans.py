@@ -54,6 +54,23 @@ def test_quality_edges(spark, edge, empty):
     assert {r.quality_score for r in cotraining.score(edge, nothing).collect()} == {0.5}
 
 
+def test_quality_exchange_reaches_all_documents(spark):
+    """Every unlabelled document may be picked, whatever ``pool`` is; a round
+    draws anew, and one row per id and text is gathered."""
+    rows = [(i, i * 7, f"word{i}", "s", "x", 5, None) for i in range(400)] * 3
+    rows = spark.createDataFrame(rows, "i long, h long, text string, source string, lang string, "
+                                       "n_chars long, y0 double")
+    fits = {0: [(np.zeros(cotraining.TEXT_DIM), 5.0), (np.zeros(cotraining.META_DIM), -5.0)]}
+    picked = [cotraining._confident(rows, fits, r, 1.0, 0.95, 100) for r in range(12)]
+    assert all(len(p[0, 0, 0]) == len(p[0, 1, 1]) == 0 for p in picked)
+    for side in ((0, 0, 1), (0, 1, 0)):
+        ids = [set(p[side]["i"]) for p in picked]
+        assert all(len(x) == len(p[side]) and 50 < len(x) < 150 for x, p in zip(ids, picked))
+        assert len(set.union(*ids)) > 370
+    none = cotraining._confident(rows.withColumn("y0", F.lit(1.0)), fits, 0, 1.0, 0.95, 100)
+    assert all(len(x) == 0 for x in none.values())
+
+
 def test_license_query(spark):
     got = queries.op5_licenses(spark, SF)
     counts = {r.licenses: r["count"] for r in got.groupBy("licenses").count().collect()}
