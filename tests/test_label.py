@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from docket.config import MARKER
 from docket.operators import dedup, report
 from docket.plans.fixtures import expected_labels, notices

@@ -1,7 +1,7 @@
 """Guards on the physical plans (the scale properties PLANS.md describes)."""
 import re
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from docket.operators.similarity import tfidf_cosine
 from docket.plans.catalog import QUERIES
 

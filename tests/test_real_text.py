@@ -1,7 +1,7 @@
 """Labelling of real prose (documents, one case per source) against the model."""
 import duckdb
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from docket.plans.catalog import q_label_similar_documents
 import model
 

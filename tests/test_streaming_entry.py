@@ -1,7 +1,7 @@
 """Streaming ingestion of day drops, and the driver contract."""
 import tempfile
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_daily_stream_labels_each_drop(spark):
