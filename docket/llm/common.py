@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import uuid
@@ -167,3 +168,15 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[j:j + n]
     return mix64(acc)
+
+
+def pieces(buf: bytes, gap: re.Pattern, size: int = 1 << 20) -> Iterator[bytes]:
+    """``buf`` in parts of about ``size`` bytes, cut only where ``gap`` (a
+    pattern of one byte that no term holds) matches: terms stay whole, and a
+    list of the terms of a part stays small however long the text."""
+    at = 0
+    while at < len(buf):
+        cut = gap.search(buf, at + size)
+        stop = cut.start() if cut else len(buf)
+        yield buf[at:stop]
+        at = stop

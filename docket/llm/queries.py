@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (class_lm, cotraining, decontam, langid, licenses, line_rules, mixing, perspectives,
-               simhash, token_files)
+from . import (class_lm, cotraining, decontam, langid, lexical, licenses, line_rules, mixing,
+               perspectives, simhash, token_files)
 from .common import table
 
 
@@ -86,9 +86,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("c.n_hit") > 0).alias("contaminated"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for each benchmark item, by bag classes."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_quality, op3_simhash, op4_line_rules, op5_licenses, op6_token_files,
-    op7_class_lm, op8_language_id, op9_perspectives, op10_decontamination)}
+    op7_class_lm, op8_language_id, op9_perspectives, op10_decontamination,
+    op11_lexical_search)}
 
 ORACLES: dict[str, str] = {
     "op1_mixing": r"""
@@ -198,4 +204,32 @@ SELECT x.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIG
        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM x LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op11_lexical_search": r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT *, len(w)::BIGINT AS n FROM t WHERE len(w) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM d),
+q AS (
+  SELECT item_id, term, count(*)::BIGINT AS k FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+f AS (
+  SELECT r, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT r, doc_id, n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+g AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM f GROUP BY term), s),
+x AS (
+  SELECT item_id, r, doc_id,
+         sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + ((75 * n * docs) // total)))))::BIGINT AS score
+  FROM f JOIN q USING (term) JOIN g USING (term), s GROUP BY ALL),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+  FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
 }

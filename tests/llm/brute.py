@@ -1,5 +1,6 @@
 """Plain, slow versions of the operators, to test against."""
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -110,3 +111,28 @@ def water_fill(sizes, weights, budget=1.5, limit=2):
         left -= sum(limit * sizes[s] for s in over)
         open_ = {s: w for s, w in open_.items() if s not in over}
     return target
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def search(docs, items, k=10):
+    """[(item, rank, doc, score)] over rows (doc, text) and (item, text)."""
+    bags = [(d, Counter(TERM.findall(lower(t)))) for d, t in docs]
+    bags = [(d, c, sum(c.values())) for d, c in bags if c]
+    n, total = len(bags), sum(x[2] for x in bags)
+    df = Counter(t for _, c, _ in bags for t in c)
+    asked = defaultdict(Counter)
+    for item, t in items:
+        asked[item].update(TERM.findall(lower(t)))
+    out = []
+    for item, terms in asked.items():
+        found = []
+        for d, c, size in bags:
+            m = 25 + (75 * size * n) // total
+            s = sum(q * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1)))
+                    * ((10 ** 9 * c[t]) // (1000 * c[t] + 8 * m)) for t, q in terms.items() if t in c)
+            if s > 0:
+                found.append((-s, d is not None, d))
+        out += [(item, i, d, -s) for i, (s, _, d) in enumerate(sorted(found)[:k], 1)]
+    return out
