@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (class_lm, cotraining, decontam, langid, lexical, licenses, line_rules, mixing,
-               perspectives, simhash, token_files)
+from . import (class_lm, cotraining, decontam, divergence, langid, lexical, licenses, line_rules,
+               mixing, perspectives, pii, simhash, token_files)
 from .common import table
 
 
@@ -91,10 +91,24 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base spans, and those the classifier adds."""
+    spans = F.col("spans")
+    count = [F.size(pii.base_spans(spans, k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return pii.detect(table(spark, sf_dir, "documents")).select(
+        "doc_id", *count, F.sha2(pii.listed(pii.base_spans(spans)), 256).alias("base_sha256"),
+        pii.listed(spans).alias("spans"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources of a language, and the terms behind it."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_quality, op3_simhash, op4_line_rules, op5_licenses, op6_token_files,
     op7_class_lm, op8_language_id, op9_perspectives, op10_decontamination,
-    op11_lexical_search)}
+    op11_lexical_search, op12_pii, op13_source_divergence)}
 
 ORACLES: dict[str, str] = {
     "op1_mixing": r"""
@@ -232,4 +246,38 @@ o AS (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
   FROM x WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
+    "op13_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total
+      FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+x AS (
+  SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v) AS p
+  FROM s JOIN k ON s.lang = k.lang JOIN v ON v.lang = s.lang
+  LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+y AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (total + v) AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL)
+  JOIN (SELECT lang, sum(n)::HUGEINT AS total FROM c GROUP BY lang) USING (lang) JOIN v USING (lang)),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT x.lang, x.source, 'term', x.term, (((p - q) * (p - q)) // q)::BIGINT
+  FROM x JOIN y ON x.lang = y.lang AND x.term = y.term WHERE n > 0 AND p > q)
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o)
+WHERE part = 'pair' OR rank <= 200""",
 }

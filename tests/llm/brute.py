@@ -136,3 +136,58 @@ def search(docs, items, k=10):
                 found.append((-s, d is not None, d))
         out += [(item, i, d, -s) for i, (s, _, d) in enumerate(sorted(found)[:k], 1)]
     return out
+
+
+LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def divergence(docs, min_docs=3, top=200):
+    """Rows of the audit over rows (text, lang, source)."""
+    held, groups = defaultdict(set), defaultdict(Counter)
+    for i, (text, lang, source) in enumerate(docs):
+        terms = LETTERS.findall(lower(text))
+        groups[lang or "", source or ""].update(terms)
+        for t in terms:
+            held[lang or "", t].add(i)
+    out = []
+    for lang in {g[0] for g in groups}:
+        kept = [t for (x, t), rows in held.items() if x == lang and len(rows) >= min_docs]
+        sources = {s: c for (x, s), c in groups.items() if x == lang}
+
+        def prices(c):
+            n = sum(c[t] for t in kept)
+            return {t: 1 + 10 ** 9 * (c[t] + 1) // (n + len(kept)) for t in kept}
+        p = {s: prices(c) for s, c in sources.items()}
+        q = prices(sum(sources.values(), Counter()))
+        f = lambda a, b: (a - b) * (a - b) // b
+        for s, c in sources.items():
+            pair = [(-sum(f(p[s][t], p[o][t]) for t in kept), o.encode(), o) for o in sources if o != s]
+            term = [(-f(p[s][t], q[t]), t.encode(), t) for t in kept if c[t] and p[s][t] > q[t]]
+            out += [(lang, s, "pair", o, -v, i) for i, (v, _, o) in enumerate(sorted(pair), 1)]
+            out += [(lang, s, "term", t, -v, i) for i, (v, _, t) in enumerate(sorted(term)[:top], 1)]
+    return sorted(out)
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def personal(text):
+    """[(kind, start, end)] of the base spans."""
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    holds = {"email": lambda m: True, "ip": lambda m: all(int(p) <= 255 for p in m.group().split(".")),
+             "card": lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m)),
+             "phone": lambda m: 9 <= len(digits(m)) <= 15}
+    return [(kind, m.start(), m.end()) for kind, p in
+            (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE))
+            for m in p.finditer(text or "") if holds[kind](m)]
