@@ -35,50 +35,77 @@ rows.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, short_batches, small, stage
+from .common import hashed_words, pieces, short_batches, small, stage
 
-#: A term, in the bytes of a text whose A-Z are lower-cased.
-TERM, GAP = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
-HELD_TERMS = 200_000
+#: A byte that is in no term (of a text whose A-Z are lower-cased).
+GAP = re.compile(rb"[^a-z\x80-\xff]")
+GROUP_BYTES = 12 << 20
 MAX_COLUMNS, MAX_TERMS = 1024, 8192
 SCALE = 1_000_000_000
 CELLS = "lang string, a string, x long, b string, y long, n long"
 
 
+def _rows(keys: list[tuple[str, str]], texts: list[bytes], seen: np.ndarray | None = None):
+    """Counts (lang, source, term, n, d) of some texts of (lang, source), and
+    the hashes of their terms.  ``seen``: terms that do not count as new to
+    their document."""
+    word_byte = np.zeros(256, bool)
+    word_byte[ord("a"):ord("z") + 1] = word_byte[0x80:] = True
+    buf = b"\n".join(texts)
+    h, s, e = hashed_words(buf, word_byte)
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    doc = np.searchsorted(begin, s, side="right") - 1
+    code, distinct = pd.factorize(h)
+    first = np.zeros(len(distinct), np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    terms = pa.array([buf[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())], pa.binary()).cast(pa.string())
+    groups = list(dict.fromkeys(keys))
+    number = {g: i for i, g in enumerate(groups)}
+    group = np.array([number[k] for k in keys], np.int64)
+    width = max(1, len(distinct))
+    pair, times = np.unique(doc * width + code, return_counts=True)  # (document, term)
+    place, entry = np.unique(group[pair // width] * width + pair % width, return_inverse=True)
+    n = np.bincount(entry, times, len(place)).astype(np.int64)
+    d = np.bincount(entry, minlength=len(place)).astype(np.int64)
+    if seen is not None:
+        d[np.isin(distinct[place % width], seen)] = 0
+    at = pa.array(place // width)
+    name = lambda i: pa.array([g[i] for g in groups], pa.string()).take(at)
+    return pa.RecordBatch.from_pydict({
+        "lang": name(0), "source": name(1), "term": terms.take(pa.array(place % width)),
+        "n": pa.array(n), "d": pa.array(d)}), distinct
+
+
 def _counted(batches):
     """(lang, source, term, n, d): occurrences and documents of a term in the
-    rows read, handed on whenever ``HELD_TERMS`` are held."""
-    count, found = defaultdict(Counter), defaultdict(Counter)
-
-    def rows():
-        for group in list(count):
-            c, d = count.pop(group), found.pop(group)
-            yield pa.RecordBatch.from_pydict({
-                "lang": pa.array([group[0]] * len(c), pa.string()),
-                "source": pa.array([group[1]] * len(c), pa.string()),
-                "term": pa.array(list(c), pa.binary()).cast(pa.string()),
-                "n": pa.array(list(c.values()), pa.int64()),
-                "d": pa.array([d[t] for t in c], pa.int64())})
-
+    rows read, summed over ``GROUP_BYTES`` of text at a time."""
+    keys, texts, size = [], [], 0
     for batch in batches:
         for lang, source, text in zip(batch.column("lang").to_pylist(),
                                       batch.column("source").to_pylist(), batch.column("text")):
-            once = set()
-            for part in pieces(text.as_py().encode().lower(), GAP):
-                terms = TERM.findall(part)
-                count[lang, source].update(terms)
-                once.update(terms)
-            found[lang, source].update(once)
-        if sum(map(len, count.values())) > HELD_TERMS:
-            yield from rows()
-    yield from rows()
+            raw = text.as_py().encode().lower()
+            if len(raw) > GROUP_BYTES:  # a document in parts
+                seen = np.zeros(0, np.uint64)
+                for part in pieces(raw, GAP, GROUP_BYTES):
+                    rows, new = _rows([(lang, source)], [part], seen)
+                    seen = np.union1d(seen, new)
+                    yield rows
+                continue
+            keys.append((lang, source))
+            texts.append(raw)
+            size += len(raw)
+            if size > GROUP_BYTES:
+                yield _rows(keys, texts)[0]
+                keys, texts, size = [], [], 0
+    if texts:
+        yield _rows(keys, texts)[0]
 
 
 def kept_terms(rows: DataFrame, min_docs: int = 3) -> DataFrame:

@@ -36,10 +36,10 @@ def test_equal_to_brute_force(spark, docs):
 
 
 def test_small_blocks_and_flushes_add_up(spark, docs, monkeypatch):
-    """Blocks of a few columns and tasks that hand on after every batch."""
+    """Blocks of a few columns; texts in groups of a few bytes, long ones in parts."""
     monkeypatch.setattr(divergence, "MAX_COLUMNS", 5)
     monkeypatch.setattr(divergence, "MAX_TERMS", 3)
-    monkeypatch.setattr(divergence, "HELD_TERMS", 1)
+    monkeypatch.setattr(divergence, "GROUP_BYTES", 40)  # most texts in parts
     got = _rows(divergence.audit(spark.createDataFrame(docs, SCHEMA).repartition(3), top_terms=4))
     assert got == brute.divergence(docs, top=4)
 
