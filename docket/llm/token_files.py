@@ -23,10 +23,9 @@ rows are written as often as they occur.  An empty table writes no rows.
 
 from __future__ import annotations
 
-import re
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,6 +39,7 @@ from .common import hashed_words, shared_path, short_batches, small, worker_stor
 BLOCK_IDS = 128
 CHUNK_IDS = 1 << 16
 SHARD_BYTES = 48 << 20
+MAX_SHARDS = 20_000
 #: Fixed values of the format: ids per word and bits per id, by selector.
 #: Selector 0 is the escape.
 COUNTS = (1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -127,10 +127,8 @@ def unpack(payload: bytes) -> np.ndarray:
 # ---------------------------------------------------------------------------
 # Encoding with the tokenizers library
 
-#: Texts of other characters than these (white space, printable ASCII, Latin
-#: letters) are left to the library as a whole.
-_OTHER = re.compile("[^\t-\r\x20-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]|<\\|")
-_CACHE = 50_000
+#: Units that a generation of the cache holds.
+_CACHE = 200_000
 _SPACE, _LETTER, _DIGIT, _SIGN = range(4)
 
 
@@ -142,18 +140,30 @@ def _byte_classes() -> np.ndarray:
     return kind
 
 
+def _odd(part: np.ndarray) -> np.ndarray:
+    """Places whose word stays whole: apostrophes, ``<|``, control characters,
+    and all that is neither ASCII nor a plain letter of U+00C0 to U+017E."""
+    lead = (part >= 0xC0) & ((part < 0xC3) | (part > 0xC5))
+    control = ((part < 0x20) & ((part < 0x09) | (part > 0x0D))) | (part == 0x7F)
+    at = lead | control | (part == ord("'"))
+    pair = part[:-1].astype(np.int32) << 8 | part[1:]
+    # x and division signs; letters that lower-case or compose to two.
+    at[:-1] |= np.isin(pair, (0x3C7C, 0xC397, 0xC3B7, 0xC4B0, 0xC589, 0xC5BF))
+    return np.flatnonzero(at)
+
+
 def _units(part: np.ndarray, _=None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of letters, runs of signs and single digits;
-    a word with an apostrophe stays whole."""
+    a word with an odd place stays whole."""
     kind = _byte_classes()[part]
     before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
     cut = (kind != before) | (kind == _DIGIT)
-    quotes = np.flatnonzero(part == ord("'"))
-    if len(quotes):
+    odd = _odd(part)
+    if len(odd):
         edge = np.flatnonzero((kind == _SPACE) != (before == _SPACE))
         edge = np.append(edge, len(part))
         inner = np.zeros(len(part) + 1, np.int8)
-        right = np.unique(np.searchsorted(edge, quotes, side="right"))
+        right = np.unique(np.searchsorted(edge, odd, side="right"))
         inner[edge[right - 1] + 1] += 1
         inner[edge[right]] -= 1
         # A word of one byte opens and closes at the same place.
@@ -169,10 +179,11 @@ class Encoder:
 
     The vocabulary's normaliser lower-cases and composes, and its splitting
     pattern never crosses white space or, but for apostrophes, a change between
-    letters, digits and signs.  So texts of plain characters are cut into such
-    units in bulk, and the library's model encodes each distinct unit of a
-    group of texts once (a bounded cache carries over to later groups).  Any
-    other text, or another kind of vocabulary, goes through the library whole.
+    letters, digits and signs.  So texts are cut into such units in bulk (a
+    word with any other character is a unit as a whole), and the library
+    encodes each distinct unit of a group of texts once; a bounded cache, ids
+    as bytes, carries over to later groups.  Another kind of vocabulary goes
+    through the library text by text.
     """
 
     def __init__(self, path: str):
@@ -180,48 +191,53 @@ class Encoder:
         if not store:
             import json
 
-            import regex
-            from tokenizers import Tokenizer, pre_tokenizers
+            from tokenizers import Tokenizer
             tok = Tokenizer.from_file(path)
             form = [json.loads(x.__getstate__()) if x else {} for x in (tok.normalizer, tok.pre_tokenizer)]
             steps = [x.get("type") for x in form[0].get("normalizers", [])]
             split = form[1].get("pretokenizers", [{}])[0]
-            plain = split.get("type") == "Split" and steps == ["NFC", "Replace", "Lowercase"]
-            store.update(tok=tok, young={}, old={}, plain=plain,
-                         split=regex.compile(split["pattern"]["Regex"]).findall if plain else None,
-                         to_bytes=pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
+            store.update(tok=tok, young={}, old={}, width=id_width(tok.get_vocab_size()),
+                         plain=split.get("type") == "Split" and steps == ["NFC", "Replace", "Lowercase"])
         self.store = store
 
-    def unit(self, unit: bytes) -> list[int]:
-        """Ids of one unit; the two newest generations of units are kept."""
+    def fresh(self, units: list[bytes]) -> list[bytes]:
+        """Ids of units, from the library, as bytes: one call for all."""
         store = self.store
-        got = store["young"].get(unit)
-        if got is None:
-            got = store["old"].get(unit)
-            if got is None:
-                text, tokenize = unit.decode(), store["tok"].model.tokenize
-                got = [t.id for p in (store["split"](text) if "'" in text else (text,))
-                       for t in tokenize(p if p.isascii()
-                                         else store["to_bytes"].pre_tokenize_str(p)[0][0])]
-            if len(store["young"]) >= _CACHE:
-                store["old"], store["young"] = store["young"], {}
-            store["young"][unit] = got
+        found = store["tok"].encode_batch_fast([u.decode() for u in units], add_special_tokens=False)
+        return [np.array(e.ids, store["width"]).tobytes() for e in found]
+
+    def ids_of(self, units: list[bytes]) -> list[bytes]:
+        """Ids of distinct units; the two newest generations of units are kept."""
+        store = self.store
+        if len(store["young"]) >= _CACHE:
+            store["old"], store["young"] = store["young"], {}
+        young = store["young"]
+        got = list(map(young.get, units))
+        missing = [i for i, x in enumerate(got) if x is None]
+        if missing:
+            aged = [store["old"].get(units[i]) for i in missing]
+            new = [units[i] for i, x in zip(missing, aged) if x is None]
+            made = iter(self.fresh(new) if new else ())
+            for i, x in zip(missing, aged):
+                got[i] = young[units[i]] = next(made) if x is None else x
         return got
 
     def plain_group(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each of a group of plain texts."""
-        raw = [t.lower().encode() for t in texts]
+        """Ids of each of a group of texts."""
+        # Only ASCII letters are lower-cased here; the library does the others.
+        raw = [t.encode().lower() for t in texts]
         buf = b"\n".join(raw)
         begin = np.cumsum([0] + [len(r) + 1 for r in raw])
         h, s, e = hashed_words(buf, _byte_classes() != _SPACE, _units)
+        width = np.dtype(self.store["width"])
         if not len(h):
-            return [np.zeros(0, np.uint32) for _ in texts]
+            return [np.zeros(0, width) for _ in texts]
         code, distinct = pd.factorize(h)
         first = np.zeros(len(distinct), np.int64)
         first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        ids = [self.unit(buf[a:b]) for a, b in zip(s[first].tolist(), e[first].tolist())]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
+        ids = self.ids_of([buf[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())])
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // width.itemsize
+        flat = np.frombuffer(b"".join(ids), width)
         offset = np.cumsum(n) - n
         each = n[code]
         done = np.concatenate(([0], np.cumsum(each)))
@@ -231,47 +247,49 @@ class Encoder:
 
     def encode(self, texts, group_chars: int = 1 << 21):
         """Ids of each text (null: none) in turn."""
-        whole = self.store["tok"].encode
-        group, places, out, size = [], [], [], 0
+        texts = (t if isinstance(t, str) else "" for t in texts)
+        if not self.store["plain"]:
+            for t in texts:
+                yield np.array(self.store["tok"].encode(t, add_special_tokens=False).ids, self.store["width"])
+            return
+        group, size = [], 0
         for t in texts:
-            t = t if isinstance(t, str) else ""
-            if not t or not self.store["plain"] or _OTHER.search(t):
-                out.append(np.array(whole(t, add_special_tokens=False).ids, np.uint32))
-            else:
-                places.append(len(out))
-                out.append(None)
-                group.append(t)
-                size += len(t)
+            group.append(t)
+            size += len(t)
             if size >= group_chars:
-                yield from self._filled(out, places, group)
-                group, places, out, size = [], [], [], 0
-        yield from self._filled(out, places, group)
+                yield from self.plain_group(group)
+                group, size = [], 0
+        if group:
+            yield from self.plain_group(group)
+
 
-    def _filled(self, out, places, group):
-        for i, ids in zip(places, self.plain_group(group) if group else []):
-            out[i] = ids
-        return out
+def id_width(vocabulary: int) -> str:
+    """Type of an id of a vocabulary of so many."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def encode_udf(tokenizer: str, end_id: int, width: str, bounds: list[int]):
-    """Function of (id, text) columns: struct of ``shard`` (number of the
-    id's range, by the least ids of all ranges but the first; a null id is in
-    the first) and ``ids`` (a text's ids and the end id, as bytes of unsigned
+def encode_udf(tokenizer: str, end_id: int, width: str, bounds: list[tuple[int, int]]):
+    """Function of (id, tie, text) columns: struct of ``shard`` (number of the
+    row's range, by the least (id, tie) of all ranges but the first; a null id
+    is in the first) and ``ids`` (a text's ids and the end id, as bytes of unsigned
     little-endian integers of type ``width``)."""
     short_batches()
-    edges = np.array(bounds, np.int64)
+    edges = np.array([b[0] for b in bounds], np.int64)
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         enc = Encoder(tokenizer)
         end = np.array([end_id], width).tobytes()
-        for doc, texts in batches:
-            at = np.searchsorted(edges, doc.fillna(0).to_numpy(np.int64), side="right")
+        for doc, tie, texts in batches:
+            ids = doc.fillna(0).to_numpy(np.int64)
+            at = np.searchsorted(edges, ids, side="left")
+            for i in np.flatnonzero(np.searchsorted(edges, ids, side="right") > at).tolist():
+                at[i] = bisect_right(bounds, (int(ids[i]), int(tie.iat[i])))  # an id that ranges divide
             yield pd.DataFrame({
                 "shard": np.where(doc.isna(), 0, at),
                 "ids": pd.Series([ids.astype(width).tobytes() + end for ids in enc.encode(texts)],
                                  dtype=object)})
         pa.default_memory_pool().release_unused()  # the worker waits for its next task
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]],
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]],
                            "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(run, "shard int, ids binary")
 
@@ -306,32 +324,34 @@ def _chunk_writer(width: str):
     return chunks
 
 
-def shard_bounds(ids: DataFrame, shards: int) -> list[int]:
-    """Least id of each of about ``shards`` ranges of equally many ids, but
-    the first (one long per file that will be written)."""
+def shard_bounds(ids: DataFrame, shards: int) -> list[tuple[int, int]]:
+    """Least (doc_id, tie) of each of about ``shards`` ranges of equally many
+    rows, but the first (two longs per file that will be written)."""
     if shards == 1:
         return []
-    least = (ids.where(F.col("doc_id").isNotNull()).repartitionByRange(shards, "doc_id")
-             .groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("b")))
-    return sorted(r.b for r in least.select("b").collect())[1:]
+    least = (ids.where(F.col("doc_id").isNotNull()).repartitionByRange(shards, "doc_id", "tie")
+             .groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("doc_id", "tie")).alias("b")))
+    return sorted((r.b.doc_id, r.b.tie) for r in least.select("b").collect())[1:]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
                  doc_id: str = "doc_id", text: str = "text",
-                 shard_bytes: int = SHARD_BYTES) -> None:
+                 shard_bytes: int = SHARD_BYTES, max_shards: int = MAX_SHARDS) -> None:
     """Write the ids of all texts, in ascending id order, to ``path``.
 
-    Ranges of ids for the files come from the id column alone, so texts are
-    encoded once and only their ids are shuffled.
+    Ranges for the files come from the ids and, as one id may hold a large part
+    of all rows, the hashes of their texts; texts are encoded once and only
+    their ids are shuffled.
     """
     from tokenizers import Tokenizer
-    vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
-    width = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    width = id_width(max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                       F.xxhash64(F.col(text)).alias("tie"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    bounds = shard_bounds(rows.select("doc_id"), max(1, -(-size // shard_bytes)))
-    ids = rows.select("doc_id", F.xxhash64("text").alias("tie"),
-                      encode_udf(tokenizer, end_id, width, bounds)("doc_id", "text").alias("e"))
+    shards = min(max_shards, max(1, -(-size // shard_bytes)))
+    bounds = shard_bounds(rows.select("doc_id", "tie"), shards)
+    ids = rows.select("doc_id", "tie",
+                      encode_udf(tokenizer, end_id, width, bounds)("doc_id", "tie", "text").alias("e"))
     ids = ids.select("doc_id", "tie", "e.*").repartitionById(len(bounds) + 1, F.col("shard"))
     (ids.sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
      .mapInArrow(_chunk_writer(width), FILE).write.parquet(path))

@@ -107,22 +107,23 @@ def label_similar_with_rejects(df: DataFrame, cfg: TriageConfig = DEFAULT):
     d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
     cols = df.columns
     kept, rejected_keys = split_null_keys(df, cfg)
-    # Materialised once: the decided rows, the residue and the rejects all
-    # read it, and the near-copy rounds iterate over the residue.
-    facts = _cut(copy_facts(kept, cfg).drop(_FP))
-    null_text = F.col(t).isNull() & (F.col("noccur") > 1)
+    # Ids, counts and hashes, materialised once: the decided rows, the residue
+    # and the rejects all read it.  Texts and other columns come back by row id.
+    facts = _cut(copy_facts(kept.select(d, k_, r, t), cfg)
+                 .select(d, r, "noccur", "exact_leader", "n_exact", F.col(t).isNull().alias("_no_text")))
+    no_text = F.col("_no_text") & (F.col("noccur") > 1)
     rejected = rejected_keys.unionByName(
-        facts.where(null_text).select(*cols).withColumn("reason", F.lit("null_text")))
-    facts = facts.where(~null_text)
+        kept.join(facts.where(no_text).select(d, r), [d, r], "left_semi").select(*cols)
+        .withColumn("reason", F.lit("null_text")))
+    facts = facts.where(~no_text)
 
     decided = facts.where((F.col("noccur") == 1) | (F.col("n_exact") >= 2)).select(
-        *cols, "noccur",
-        F.when(F.col("noccur") == 1, F.col(r)).otherwise(F.col("exact_leader"))
+        d, r, "noccur", F.when(F.col("noccur") == 1, F.col(r)).otherwise(F.col("exact_leader"))
         .cast("bigint").alias("similar"))
-    residue = facts.where((F.col("noccur") > 1) & (F.col("n_exact") == 1)).select(*cols, "noccur")
-    near = near_copy_labels(residue, cfg)
-    labelled_near = residue.join(near, [d, r]).select(*cols, "noccur", "similar")
-    return decided.unionByName(labelled_near), rejected
+    left = facts.where((F.col("noccur") > 1) & (F.col("n_exact") == 1)).select(d, r, "noccur")
+    residue = kept.select(d, k_, r, t).join(left.select(d, r), [d, r], "left_semi")
+    near = near_copy_labels(residue, cfg).join(left, [d, r]).select(*decided.columns)
+    return kept.join(decided.unionByName(near), [d, r]).select(*cols, "noccur", "similar"), rejected
 
 
 def label_similar(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:

@@ -10,30 +10,54 @@ are not part of an exact-copy group), rows ascending by id:
    whose diff to it has the marker shortly before both first differences;
    otherwise it becomes a leader itself.
 
-Both searches run in rounds.  Each round compares every remaining row of a
-group with a few *heads* (the group's smallest remaining rows: one in the
-first round, then 64 and more, within a pair budget), so a round emits at
-most width x n pairs for a group of n rows -- a hot case with millions of
-rows costs a few million pairs per round, never its square.  Heads come from
-a partial aggregate (or a limited rank of ids in later rounds) and reach the rows
-through an equi-join on the case key, which AQE splits or broadcasts; the
-pairs are then re-spread on the row id before the Python diff.  Round state
-is checkpointed to cut lineage.
+Texts are written once, to a columnar table bucketed by row id
+(``residue_table``), beside what the leader search needs of them: for each
+marker the hash of the tokens up to it (*block*) and of those and the five
+tokens after it (*leaf*).  All further state is ids and hashes.
+
+Both searches run in rounds.  Each round compares remaining rows of a group
+with a few *heads* (the group's smallest remaining rows: one in the first
+round, then 64 and more, within a pair budget), so a round emits at most
+width x n pairs for a group of n rows.  Heads come from a partial aggregate
+(or a limited rank of ids in later rounds) and reach the rows through an
+equi-join on the case key, which AQE splits or broadcasts; the pairs, ids and
+the head's text, are dealt by row id and meet the row's text in its bucket,
+which is not shuffled.  Round state is checkpointed to cut lineage.
 
 The sticky-start rounds also return the marker edges of ``k`` (they diff
 ``k`` against every later row anyway), so in the common case -- ``k`` is the
 first residue row and claims its near copies -- the leader rounds only see
-what ``k`` left.  Leader rounds are pruned by *blocks*: a marker edge needs
-the same token prefix up to a marker occurrence in both texts, so a row is
-only diffed against a head that shares one of those prefixes, and the blocks
-of a case run side by side when no row has two of them.
+what ``k`` left.
+
+Which pairs the leader rounds need not diff.  Say the first difference of a
+pair (the lesser of the first deleted and the first inserted index) is i: the
+texts have the same first i tokens, and an edge needs a marker p with
+p < i <= p + window.
+
+* No common prefix ends with a marker: no edge.  So rows meet by block.
+* Every marker with a common prefix up to it is followed by ``window`` equal
+  tokens, i.e. the common prefix has c > p + window tokens.  Then i <= p +
+  window < c: the alignment leaves the common prefix early, which it does only
+  for a block of equal tokens that begins at i in one text and later, at y > i,
+  in the other.  That other text therefore repeats its own tokens from i on at
+  y.  In a pair whose right side has under 200 tokens such a block must be
+  longer than the whole common prefix, so the other text repeats its token p +
+  window later on and has at least 2 p + window + 4 tokens; in a longer one
+  (popular tokens do not count as a match's start there) it repeats one of the
+  ``window`` tokens after the marker.  A row that does neither is *safe* at
+  p, and two safe rows of one leaf have no edge by p.
+
+So a group whose remaining rows are all safe rows of one leaf has no edge
+left: they all lead, at once.  And where the first remaining rows are, all rows
+before the first other row lead, and only the others are compared with them.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TriageConfig, UNDECIDED
@@ -75,20 +99,47 @@ GROWTH = 64
 MERGE_ROUNDS = 16
 
 
-def _heads(work: DataFrame, g: list[str], r: str, rnd: int, cfg: TriageConfig,
-           carry: dict[str, str]) -> DataFrame:
-    """The smallest rows of every group, with some of their columns, and
-    ``_last``, the largest head of the group (a row is a head iff it is not
-    larger).
-
-    One head per group is a partial ``min``/``min_by`` aggregate; wider
-    rounds rank the ids alone -- the row-number limit is applied to every
-    partition before the shuffle, so a task gets at most ``wide_heads`` ids of
-    a group from each -- and fetch the carried columns of the heads only.
+def residue_table(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
+    """The rows to compare, written once: day, key, row id, text and
+    ``_marks`` (``markers``), in Parquet files bucketed by day and row id, so
+    that no case is one bucket, and a join on the row id reads a text where it
+    lies.  The files are in the checkpoint folder; the catalog forgets them."""
+    spark = residue.sparkSession
+    d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
+    name = f"docket_residue_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Rows without the marker string skip tokenizing altogether.
+    rows = (residue.select(d, k_, r, t)
+            .withColumn("_toks", F.when(F.col(t).contains(cfg.marker), py_tokens(F.col(t)))
+                        .otherwise(F.array().cast("array<string>")))
+            .withColumn("_marks", markers(F.col("_toks"), cfg)).drop("_toks"))
+    (rows.repartition(n, d, r).write.bucketBy(n, d, r).sortBy(d, r)
+     .option("path", path).format("parquet").saveAsTable(name))
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def _judged(pairs: DataFrame, heads: DataFrame, texts: DataFrame, g: list[str], cfg: TriageConfig) -> DataFrame:
+    """Pairs of ids (row, ``_h``) with both texts: the few heads' texts travel
+    with the pairs, the rows' texts stay in their buckets."""
+    d, r, t = cfg.day, cfg.row_id, cfg.text
+    head_texts = heads.select(d, "_h").join(
+        texts.select(d, F.col(r).alias("_h"), F.col(t).alias("_h_text")), [d, "_h"])
+    return pairs.select(*g, r, "_h").join(head_texts, [d, "_h"]).join(texts.select(d, r, t), [d, r])
+
+
+def _heads(work: DataFrame, g: list[str], r: str, rnd: int, cfg: TriageConfig) -> DataFrame:
+    """The smallest rows of every group (``_h``) and ``_last``, the largest head
+    of the group (a row is a head iff it is not larger).
+
+    One head per group is a partial ``min``; wider rounds rank the ids -- the
+    row-number limit is applied to every partition before the shuffle, so a
+    task gets at most ``wide_heads`` ids of a group from each.
     """
     if rnd == 0:
-        return work.groupBy(*g).agg(F.min(r).alias("_h"), F.min(r).alias("_last"),
-                                    *[F.min_by(src, r).alias(dst) for src, dst in carry.items()])
+        return work.groupBy(*g).agg(F.min(r).alias("_h"), F.min(r).alias("_last"))
     limit = min(GROWTH ** rnd, max(cfg.wide_heads, cfg.max_heads))
     ids = work.select(*g, r)
     by_id = Window.partitionBy(*g).orderBy(r)
@@ -97,9 +148,7 @@ def _heads(work: DataFrame, g: list[str], r: str, rnd: int, cfg: TriageConfig,
         left = ids.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
         width = F.greatest(F.lit(cfg.max_heads), F.floor(F.lit(cfg.pair_budget) / F.col("_n")))
         heads = heads.join(left, g).where(F.col("_rank") <= width)
-    heads = heads.select(*g, r, F.max(r).over(Window.partitionBy(*g)).alias("_last"))
-    return _cut(work.join(heads, [*g, r]).select(
-        *g, F.col(r).alias("_h"), "_last", *[F.col(src).alias(dst) for src, dst in carry.items()]))
+    return _cut(heads.select(*g, F.col(r).alias("_h"), F.max(r).over(Window.partitionBy(*g)).alias("_last")))
 
 
 def _cut_answers(df: DataFrame) -> DataFrame:
@@ -116,10 +165,10 @@ def _add(out: list[DataFrame], answers: DataFrame) -> list[DataFrame]:
     return [_cut_answers(_union_all(out[1:], out[0]))] if len(out) >= MERGE_ROUNDS else out
 
 
-def sticky_start(residue: DataFrame, cfg: TriageConfig):
+def sticky_start(texts: DataFrame, cfg: TriageConfig):
     """Per case, ``k`` = first residue row with a two-sided later partner.
 
-    Input columns: day, key, row_id, text.  Returns ``(ks, k_edges)``:
+    ``texts`` is a ``residue_table``.  Returns ``(ks, k_edges)``:
     ``ks`` = (day, key, k) for the cases that have one (others are absent);
     ``k_edges`` = (day, row_id, similar=k) for the rows whose diff from ``k``
     passes the marker rule.  Those pairs are diffed here anyway, and ``k`` is
@@ -134,14 +183,15 @@ def sticky_start(residue: DataFrame, cfg: TriageConfig):
     d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
     g = [d, k_]
     judge = two_sided_marker_udf(cfg.marker, cfg.window, cfg.python_slices)
-    work = residue.select(d, k_, r, t)  # callers pass materialised rows
-    spark = residue.sparkSession
-    found = [spark.createDataFrame([], residue.select(d, k_, F.col(r).alias("k")).schema)]
-    edges = [spark.createDataFrame([], residue.select(d, r, F.col(r).alias("similar")).schema)]
+    work = texts.select(d, k_, r)
+    spark = texts.sparkSession
+    found = [spark.createDataFrame([], work.select(d, k_, F.col(r).alias("k")).schema)]
+    edges = [spark.createDataFrame([], work.select(d, r, F.col(r).alias("similar")).schema)]
     rnd = 0
     while not work.isEmpty():
-        heads = _heads(work, g, r, rnd, cfg, {t: "_h_text"})
-        pairs = _cut(spread(work.join(heads.drop("_last"), g).where(F.col(r) > F.col("_h")), r)
+        heads = _heads(work, g, r, rnd, cfg)
+        met = work.join(heads.drop("_last"), g).where(F.col(r) > F.col("_h"))
+        pairs = _cut(_judged(met, heads, texts, g, cfg)
                      .select(*g, r, "_h", judge(F.col("_h_text"), F.col(t)).alias("_f")))
         verdict = pairs.groupBy(*g).agg(F.min(F.when(F.col("_f.two_sided"), F.col("_h"))).alias("k"))
         # One row per group, so the remaining rows meet it in a single join.
@@ -156,68 +206,116 @@ def sticky_start(residue: DataFrame, cfg: TriageConfig):
     return _union_all(found[1:], found[0]), _union_all(edges[1:], edges[0])
 
 
-def marker_blocks(tokens, cfg: TriageConfig):
-    """Hashes of every token prefix that ends with a marker occurrence.
+def markers(tokens: Column, cfg: TriageConfig) -> Column:
+    """For every marker occurrence p: ``block``, the hash of the tokens up to
+    it, and ``leaf``, the SHA-256 of those and the ``window`` tokens after it
+    (null if there are fewer or the row is not safe at p).
 
     ``tokens`` must be a column reference (not an expression) so the split
     is not re-run inside the lambdas.
     """
-    positions = F.filter(
-        F.transform(tokens, lambda tok, i: F.when(tok == F.lit(cfg.marker), i + 1)),
-        lambda p: p.isNotNull())
-    return F.transform(positions,
-                       lambda p: F.xxhash64(F.array_join(F.slice(tokens, 1, p), " ")))
-
-
-def leader_clusters(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
+    w = cfg.window
+    n = F.size(tokens)
+    prefix = lambda length: F.array_join(F.slice(tokens, F.lit(1), length), " ")
+    repeats = lambda i: F.array_contains(F.slice(tokens, i + 2, n), F.get(tokens, i))
+    long = n >= 200  # difflib sets popular tokens apart from this length on
+
+    def safe(p):
+        after = F.sequence(p + 1, p + w)
+        return F.when(long, ~F.exists(after, repeats)).otherwise((n < 2 * p + w + 4) | ~repeats(p + w))
+
+    def mark(p):
+        leaf = F.unhex(F.sha2(F.concat(F.when(long, "L ").otherwise("S "), prefix(p + 1 + w)), 256))
+        return F.struct(F.xxhash64(prefix(p + 1)).alias("block"),
+                        F.when(n > p + w, F.when(safe(p), leaf)).alias("leaf"))
+    at = F.filter(F.transform(tokens, lambda tok, i: F.when(tok == F.lit(cfg.marker), i)),
+                  lambda p: p.isNotNull())
+    return F.transform(at, mark)
+
+
+def _may_have_edge(a: Column, b: Column) -> Column:
+    """Whether two rows' ``_marks`` leave an edge possible: a shared block in
+    which they are not safe rows of one leaf."""
+    return F.exists(a, lambda x: F.exists(b, lambda y: (x["block"] == y["block"])
+                                          & ~F.coalesce(x["leaf"] == y["leaf"], F.lit(False))))
+
+
+def _group_facts(work: DataFrame, g: list[str], r: str, cfg: TriageConfig) -> DataFrame:
+    """One row per group: ``_leaf`` of its first row, ``_other``, the first row
+    that is no safe row of that leaf (null: there is none, all lead), and
+    ``_all``: the rows before it are all heads of this round, as they are few
+    enough for the rows they must be compared with."""
+    leaves = work.groupBy(*g, "_leaf").agg(F.min(r).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = leaves.groupBy(*g).agg(F.min(F.struct("_first", "_leaf")).alias("_a"))
+    same = F.coalesce(F.col("_leaf") == F.col("_a._leaf"), F.lit(False))
+    facts = leaves.join(first, g).groupBy(*g).agg(
+        F.any_value("_a")["_leaf"].alias("_leaf"),
+        F.min(F.when(~same, F.col("_first"))).alias("_other"),
+        F.sum(F.when(same, F.col("_n")).otherwise(0)).alias("_run"),
+        F.sum(F.when(same, 0).otherwise(F.col("_n"))).alias("_others"))
+    few = F.col("_leaf").isNotNull() & (F.col("_run") * F.col("_others") <= cfg.pair_budget)
+    return _cut(facts.withColumn("_all", few).drop("_run", "_others"))
+
+
+def leader_clusters(rows: DataFrame, texts: DataFrame, cfg: TriageConfig) -> DataFrame:
     """Greedy leaders over the rows from ``k`` on.
 
-    Input columns: day, key, row_id, text (rows >= k of cases with a k).
-    Output: (day, row_id, similar).
-
-    A round takes the next few remaining rows of every group as candidate
-    heads and diffs every later remaining row against each of them (width x
-    n pairs).  The heads settle among themselves in id order (a bounded
-    fold), the other rows join their smallest leading head; rows without an
-    edge wait for the next round.  When every row of a case has a single
-    marker block, the blocks of the case are independent groups and run side
-    by side; otherwise the whole case is one group.
+    ``rows``: day, key, row_id, ``_marks`` (rows >= k of cases with a k);
+    ``texts`` is their ``residue_table``.  Output: (day, row_id, similar).
+
+    Groups of safe rows of one leaf settle at once.  In any other group a round
+    takes the next remaining rows as candidate heads and diffs every later
+    remaining row that may have an edge to them.  Heads settle among
+    themselves in id order (a bounded fold; rows of one leaf all lead), the
+    other rows join their smallest leading head; rows without an edge wait for
+    the next round.  When every row of a case has a single marker block, the
+    blocks of the case are independent groups and run side by side; otherwise
+    the whole case is one group.
     """
     d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
     edge = marker_edge_udf(cfg.marker, cfg.window, cfg.python_slices)
-    # Rows without the marker string skip tokenizing altogether.
-    has_marker = F.col(t).contains(cfg.marker)
-    blocked = (rows.select(d, k_, r, t)
-               .withColumn("_toks", F.when(has_marker, py_tokens(F.col(t)))
-                           .otherwise(F.array().cast("array<string>")))
-               .withColumn("_blocks", marker_blocks(F.col("_toks"), cfg))
-               .drop("_toks"))
     # Group id 0 = the whole case (some row has several marker blocks).
-    multi = blocked.groupBy(d, k_).agg(F.max(F.size("_blocks")).alias("_mb"))
-    # Materialised: tokenizing is costly and every round reads the rows.
-    grouped = _cut(blocked.join(multi, [d, k_])
-                   .withColumn("_grp", F.when((F.col("_mb") == 1) & (F.size("_blocks") == 1), F.col("_blocks")[0])
+    multi = rows.groupBy(d, k_).agg(F.max(F.size("_marks")).alias("_mb"))
+    single = (F.col("_mb") == 1) & (F.size("_marks") == 1)
+    grouped = _cut(rows.join(multi, [d, k_])
+                   .withColumn("_grp", F.when(single, F.get("_marks", F.lit(0))["block"])
                                .otherwise(F.lit(0).cast("bigint")))
+                   .withColumn("_leaf", F.when(single, F.get("_marks", F.lit(0))["leaf"]))
                    .drop("_mb"))
     # A row without a marker can neither join a leader nor be joined.
-    alone = grouped.where(F.size("_blocks") == 0).select(d, r, F.col(r).alias("similar"))
+    alone = grouped.where(F.size("_marks") == 0).select(d, r, F.col(r).alias("similar"))
     g = [d, k_, "_grp"]
-    work = grouped.where(F.size("_blocks") > 0)
+    work = grouped.where(F.size("_marks") > 0)
     out: list[DataFrame] = [alone]
     rnd = 0
     while not work.isEmpty():
-        heads = _heads(work, g, r, rnd, cfg, {t: "_h_text", "_blocks": "_h_blocks"})
+        facts = _group_facts(work, g, r, cfg)
+        whole = facts.where(F.col("_leaf").isNotNull() & F.col("_other").isNull()).select(*g)
+        out = _add(out, _cut_answers(work.join(whole, g, "left_semi").select(d, r, F.col(r).alias("similar"))))
+        work = work.join(whole, g, "left_anti")
+        facts = facts.where(F.col("_leaf").isNull() | F.col("_other").isNotNull())
+        if facts.isEmpty():
+            break
+        heads = _heads(work, g, r, rnd, cfg).withColumn("_all", F.lit(False))
+        if rnd:
+            every = facts.where("_all").select(*g, "_other")
+            run = work.join(every, g).where(F.col(r) < F.col("_other")).select(
+                *g, F.col(r).alias("_h"), F.col("_other").alias("_last"), F.lit(True).alias("_all"))
+            heads = heads.join(every, g, "left_anti").unionByName(run)
+        marks = work.select(d, F.col(r).alias("_h"), F.col("_marks").alias("_h_marks"))
+        heads = _cut(heads.join(marks, [d, "_h"]))
+        met = work.join(heads, g).where((F.col(r) > F.col("_h")) & _may_have_edge(
+            F.col("_marks"), F.col("_h_marks")))
         # Python UDFs inside CASE are evaluated for every row, so the pairs
-        # are filtered to shared blocks before the diff runs.
-        edges = _cut(spread(work.join(heads, g)
-                            .where((F.col(r) > F.col("_h")) & F.arrays_overlap("_blocks", "_h_blocks")), r)
-                     .where(edge(F.col("_h_text"), F.col(t)))
-                     .select(*g, "_h", "_last", r))
+        # are filtered before the diff runs.
+        edges = _cut(_judged(met, heads, texts, g, cfg).where(edge(F.col("_h_text"), F.col(t)))
+                     .select(*g, "_h", r).join(heads.select(d, "_h", "_last", "_all"), [d, "_h"]))
         # Earlier heads with an edge to each head, then the greedy fold over
         # the (at most cfg.wide_heads) heads of the group in id order.
         nobody = F.lit(None).cast("bigint")
-        nb = (heads.select(*g, F.col("_h").alias(r), nobody.alias("_h"))
-              .unionByName(edges.where(F.col(r) <= F.col("_last")).select(*g, r, F.col("_h").cast("bigint")))
+        nb = (heads.where(~F.col("_all")).select(*g, F.col("_h").alias(r), nobody.alias("_h"))
+              .unionByName(edges.where(~F.col("_all") & (F.col(r) <= F.col("_last")))
+                           .select(*g, r, F.col("_h").cast("bigint")))
               .repartition(*g).groupBy(*g, r).agg(F.collect_list("_h").alias("_nb")))
         leaders = (nb.groupBy(*g)
                    .agg(F.sort_array(F.collect_list(F.struct(F.col(r).alias("i"), F.col("_nb").alias("nb"))))
@@ -229,9 +327,10 @@ def leader_clusters(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
         # A row goes to its smallest leading head; a leading head has no
         # smaller one but itself.  So every head is settled by its round, and
         # the decided rows are all that leave the work set.
-        chosen = edges.select(*g, "_h", r).unionByName(heads.select(*g, "_h", F.col("_h").alias(r)))
-        leading = F.array_contains("_leaders", F.col("_h").cast("bigint"))
-        decided = _cut_answers(chosen.join(leaders, g).where(leading)
+        chosen = edges.select(*g, "_h", r, "_all").unionByName(
+            heads.select(*g, "_h", F.col("_h").alias(r), "_all"))
+        leading = F.col("_all") | F.array_contains("_leaders", F.col("_h").cast("bigint"))
+        decided = _cut_answers(chosen.join(leaders, g, "left").where(leading)
                                .groupBy(d, r).agg(F.min("_h").alias("similar")))
         out = _add(out, decided)
         work = _cut(work.join(decided.select(d, r), [d, r], "left_anti"))
@@ -240,11 +339,11 @@ def leader_clusters(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
 
 
 def near_copy_labels(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
-    """W3 + X5 + W4 over the residue. Output: (day, row_id, similar)."""
-    d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
-    res = residue.select(d, k_, r, t)
-    ks, k_edges = sticky_start(res, cfg)
-    with_k = res.join(ks, [d, k_], "left")
+    """W3 + X5 + W4 over the residue (day, key, row_id, text). Output: (day, row_id, similar)."""
+    d, k_, r = cfg.day, cfg.key, cfg.row_id
+    texts = residue_table(residue, cfg)
+    ks, k_edges = sticky_start(texts, cfg)
+    with_k = texts.select(d, k_, r, "_marks").join(ks, [d, k_], "left")
     # k leads its case; rows it already claimed skip the leader rounds.
     k_rows = ks.select(d, F.col("k").alias(r), F.col("k").alias("similar"))
     late = (with_k.where(F.col("k").isNotNull() & (F.col(r) > F.col("k"))).drop("k")
@@ -256,4 +355,4 @@ def near_copy_labels(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
                  .select(d, r, F.when(F.col("_n_early") == 1, F.col(r))
                          .otherwise(F.lit(UNDECIDED)).cast("bigint").alias("similar")))
     return (early_lab.unionByName(k_rows).unionByName(k_edges)
-            .unionByName(leader_clusters(late, cfg)))
+            .unionByName(leader_clusters(late, texts, cfg)))

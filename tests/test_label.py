@@ -141,7 +141,7 @@ def test_rows_that_all_lead(spark):
     assert _labels_with(spark, rows) == {i: (300, i) for i in range(300)}
     jobs = len(sc.statusTracker().getJobIdsForGroup("all-lead"))
     sc.setLocalProperty("spark.jobGroup.id", None)
-    assert jobs < 130
+    assert jobs < 70
 
 
 def test_duplicate_row_ids(spark):
