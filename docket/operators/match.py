@@ -15,6 +15,8 @@ Judges:
   stand-in for a model and is not equivalent to one.
 * ``CallableJudge``-- any Python function from request texts to response
   texts, run on executors through ``mapInPandas``.
+* ``StoredJudge``  -- keeps a callable judge's answers by content: one call for
+  each distinct question, over rounds and runs.
 
 Judges that cost something per pair run in rounds: each of today's
 unmatched rows asks about its next few candidates in filtered order (the
@@ -153,6 +155,63 @@ class CallableJudge:
         return tries.mapInPandas(run, schema)
 
 
+class StoredJudge:
+    """A judge that asks nothing twice: answers are kept by the SHA-256 of the
+    request in a table (a folder shared by runs), which every round looks up
+    first.  Equal requests of a round are one call.  A call that failed is
+    made again in a later round or run, ``max_attempts`` times in all.  With a
+    ``budget`` at most that many calls are made by this object; requests beyond
+    it (in order of their hash) have no answer and the error ``budget``.
+
+    ``judge`` answers a table by its column ``request`` (``CallableJudge``).
+    """
+
+    def __init__(self, judge, path: str, max_attempts: int = 3, budget: int | None = None):
+        self.judge, self.path, self.max_attempts, self.budget = judge, path, max_attempts, budget
+        self.first_width = getattr(judge, "first_width", FIRST_WIDTH)
+        self.calls = 0
+
+    def answers(self, spark) -> DataFrame:
+        """(_hash, response, call_error, attempts) of every request asked so far."""
+        if not self.calls and not _exists(spark, self.path):
+            return spark.createDataFrame([], "_hash string, response string, call_error string, attempts int")
+        rows = spark.read.schema(STORED).parquet(self.path)
+        return rows.groupBy("_hash").agg(
+            F.max_by(F.struct("response", "call_error"), F.struct("attempt", F.col("response").isNotNull())).alias("a"),
+            F.max("attempt").alias("attempts")).select("_hash", "a.*", "attempts")
+
+    def respond(self, tries: DataFrame) -> DataFrame:
+        spark = tries.sparkSession
+        asked = tries.withColumn("_hash", F.sha2(F.col("request"), 256))
+        known = self.answers(spark)
+        done = known.where(F.col("response").isNotNull() | (F.col("attempts") >= self.max_attempts))
+        new = (asked.where(F.col("_hash").isNotNull()).groupBy("_hash").agg(F.any_value("request").alias("request"))
+               .join(done, "_hash", "left_anti").join(known.select("_hash", "attempts"), "_hash", "left"))
+        if self.budget is not None:
+            new = new.orderBy("_hash").limit(max(0, self.budget - self.calls))
+        new = _cut(new)
+        n = new.count()
+        if n:
+            replies = self.judge.respond(new)
+            failed = F.col("call_error") if "call_error" in replies.columns else F.lit(None).cast("string")
+            replies.select("_hash", "response", failed.alias("call_error"),
+                           (F.coalesce("attempts", F.lit(0)) + 1).cast("int").alias("attempt")
+                           ).write.mode("append").parquet(self.path)
+            self.calls += n
+        found = self.answers(spark).select("_hash", "response", "call_error", F.lit(True).alias("_asked"))
+        beyond = F.when(F.col("_asked").isNull() & F.col("_hash").isNotNull(), F.lit("budget"))
+        return asked.join(found, "_hash", "left").withColumn(
+            "call_error", F.coalesce("call_error", beyond)).drop("_hash", "_asked")
+
+
+STORED = "_hash string, response string, call_error string, attempt int"
+
+
+def _exists(spark, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def _candidates(prev_f: DataFrame, cur_f: DataFrame, cfg: TriageConfig):
     r, t, k_ = cfg.row_id, cfg.text, cfg.key
     elig = eligible_cases(prev_f, cur_f, cfg)
@@ -236,13 +295,12 @@ def match_days(prev_f: DataFrame, cur_f: DataFrame, judge, cfg: TriageConfig = D
             .drop("prev_id"))
 
 
-def cross_day_pairs(prev_f: DataFrame, cur_f: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
-    """J3 (first round only): each eligible row of today with yesterday's
-    first candidate in filtered order -- the first question the judge gets.
-    The candidate is a partial ``min_by`` per case, so no pair list is built."""
+def cross_day_pairs(prev_f: DataFrame, cur_f: DataFrame, judge, cfg: TriageConfig = DEFAULT) -> DataFrame:
+    """The pairs the cross-day loop compares, with both texts: each eligible
+    row of today with yesterday's rows of its case in filtered order, up to and
+    including its first match."""
     cur_c, prev_c = _candidates(prev_f, cur_f, cfg)
-    first = prev_c.groupBy("_key").agg(
-        F.min_by(F.struct("prev_id", "prev_text"), F.struct("prev_undecided", "prev_id")).alias("_p"))
-    return (cur_c.join(first, "_key")
-            .select(F.col("_key").alias(cfg.key), "cur_id", "cur_text",
-                    F.col("_p.prev_id").alias("prev_id"), F.col("_p.prev_text").alias("prev_text")))
+    asked = asked_questions(prev_f, cur_f, judge, cfg).select(cfg.key, "cur_id", "prev_id")
+    return (asked.join(cur_c.select("cur_id", "cur_text"), "cur_id")
+            .join(prev_c.select("prev_id", "prev_text"), "prev_id")
+            .select(cfg.key, "cur_id", "cur_text", "prev_id", "prev_text"))

@@ -2,12 +2,11 @@
 
 ``row_number() OVER (PARTITION BY group ORDER BY id)`` sorts every group in a
 single task; a case holding a third of the data would then be one task.  Here
-the integer order column is cut into chunks of consecutive values (a power
-of two wide), each chunk is ranked on its own (a window over (group, chunk),
-bounded by the chunk width), and the chunk's offset comes from a prefix sum
-over the small table of per-chunk counts.  Where ids are sparse that table is
-long, so the sum runs in two steps: inside spans of 2^24 chunks, then over the
-spans of a group.
+a group of more than ``chunk`` rows is cut at quantiles of its own ids (an
+approximate percentile, a partial aggregate: any cut is right, it only has to
+balance), each piece is ranked on its own, and a piece's offset comes from a
+prefix sum over the counts of its group's pieces, at most ``PIECES`` of them
+however the ids are spread.
 """
 
 from __future__ import annotations
@@ -16,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_CHUNK = 1 << 16
-SPAN_BITS = 24
+PIECES = 1024
+STEP = 32  # of the two-step search among the cuts
 
 
 def _lookup(rows: DataFrame, keys: list[str], table: DataFrame, value: str) -> DataFrame:
@@ -29,36 +29,48 @@ def _lookup(rows: DataFrame, keys: list[str], table: DataFrame, value: str) -> D
     return rows.join(table, same).drop(*[f"_o{i}" for i in range(len(keys))])
 
 
-def _before(rows: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
-    """Sum of ``_n`` over the rows of the group that come before."""
-    earlier = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(out, F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+def _cuts(keys: DataFrame, groups: list[str], order: str, chunk: int, pieces: int) -> DataFrame:
+    """``_cuts`` of every group: ids at which it is cut, none for a group of at
+    most ``chunk`` rows (ids of large groups alone are aggregated)."""
+    sizes = keys.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > chunk)
+    ranks = [i / pieces for i in range(1, pieces)]
+    at = F.array_distinct(F.percentile_approx(order, ranks, 10 * pieces))
+    cut = _lookup(keys, groups, large, "_n").groupBy(*groups).agg(at.alias("_cuts"))
+    none = sizes.where(F.col("_n") <= chunk).select(*groups, F.array().cast("array<bigint>").alias("_cuts"))
+    return cut.select(*groups, F.coalesce("_cuts", F.array().cast("array<bigint>")).alias("_cuts")).unionByName(none)
+
+
+def _piece(order, cuts):
+    """Number of cuts below an id: first among every ``STEP``-th, then among
+    those after it."""
+    below = lambda xs: F.size(F.filter(xs, lambda c: c < order))
+    every = F.filter(cuts, lambda _, i: i % STEP == STEP - 1)
+    whole = below(every) * STEP
+    return F.when(F.size(cuts) == 0, 0).otherwise(whole + below(F.slice(cuts, whole + 1, F.lit(STEP))))
 
 
 def rank_within(df: DataFrame, group_cols: list[str], order_col: str,
                 out: str = "rank", chunk: int = DEFAULT_CHUNK,
-                extra_order: list | None = None) -> DataFrame:
-    """0-based position of each row in its group by ``order_col`` (unique
-    within the group; nulls come first).  ``extra_order`` columns, if given, sort before the
-    order column and also split chunks (e.g. the O1 undecided flag)."""
-    if chunk <= 0 or chunk & (chunk - 1):
-        raise ValueError("chunk must be a power of two")
-    extra = list(extra_order or [])
-    # Integer floor division by a power of two: exact for any 64-bit id and
-    # monotone, so chunk order follows id order.
-    ck = [*extra, F.shiftright(F.col(order_col).cast("bigint"), chunk.bit_length() - 1).alias("_chunk")]
-    tagged = df.select("*", *[c.alias(f"_ck{i}") for i, c in enumerate(ck)])
-    ck_cols = [f"_ck{i}" for i in range(len(ck))]
-    local_w = Window.partitionBy(*group_cols, *ck_cols).orderBy(order_col)
-    local = tagged.withColumn("_local", F.row_number().over(local_w) - 1)
-    extra_cols = ck_cols[:-1]
-    counts = (tagged.groupBy(*group_cols, *ck_cols).agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_span", F.shiftright(F.col(ck_cols[-1]), SPAN_BITS)))
-    span_keys = [*group_cols, *extra_cols, "_span"]
-    spans = counts.groupBy(*span_keys).agg(F.sum("_n").alias("_n"))
-    spans = _before(spans, group_cols, [*extra_cols, "_span"], "_far")
-    offsets = _lookup(_before(counts, span_keys, [ck_cols[-1]], "_near"), span_keys, spans, "_far")
-    offsets = offsets.withColumn("_off", F.col("_near") + F.col("_far"))
-    return (_lookup(local, [*group_cols, *ck_cols], offsets, "_off")
+                extra_order: list | None = None, pieces: int = PIECES) -> DataFrame:
+    """0-based position of each row in its group by ``order_col`` (an integer,
+    unique within the group; nulls come first).  ``extra_order`` columns, if
+    given, sort before the order column (e.g. the O1 undecided flag)."""
+    if chunk <= 0 or pieces <= 1:
+        raise ValueError("chunk must be positive and pieces above one")
+    extra = [f"_ck{i}" for i in range(len(extra_order or []))]
+    rows = df.select("*", *[c.alias(n) for c, n in zip(extra_order or [], extra)],
+                     F.col(order_col).cast("bigint").alias("_order"))
+    part = [*group_cols, *extra]
+    cuts = _cuts(rows.select(*part, "_order"), part, "_order", chunk, pieces)
+    placed = _lookup(rows, part, cuts, "_cuts").withColumn(
+        "_piece", F.coalesce(_piece(F.col("_order"), F.col("_cuts")), F.lit(0))).drop("_cuts")
+    local = placed.withColumn("_local", F.row_number().over(
+        Window.partitionBy(*part, "_piece").orderBy("_order")) - 1)
+    counts = placed.groupBy(*part, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = (Window.partitionBy(*group_cols).orderBy(*extra, "_piece")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    return (_lookup(local, [*part, "_piece"], offsets, "_off")
             .withColumn(out, (F.col("_local") + F.col("_off")).cast("bigint"))
-            .drop("_local", "_off", *ck_cols))
+            .drop("_local", "_off", "_order", "_piece", *extra))

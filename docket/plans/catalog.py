@@ -9,6 +9,8 @@ independent step-by-step model instead.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,12 @@ from ..config import DEFAULT as CFG
 from ..operators import dedup, match, quality, report
 from ..operators.nearcopy import _cut, spread
 from ..operators.ranking import rank_within
+from ..operators.scorejoin import similar_pairs
 from ..operators.similarity import tfidf_cosine
 from ..operators.twoday import two_day_report
 from ..functions.text import iso_cleanup
 from ..functions.tokendiff import token_diff_udf
+from ..session import ensure_checkpoint_dir
 from ..sources import days, landing
 from . import fixtures
 
@@ -93,6 +97,12 @@ def q_label_similar(spark, sf):
     return _labelled(spark, sf).select("row_id", "dia", "processo", "noccur", "similar")
 
 
+def q_label_similar_prose(spark, sf):
+    """The whole labelling of notices that end with real prose."""
+    return dedup.label_similar(fixtures.prose_notices(spark, sf), CFG).select(
+        "row_id", "dia", "processo", "noccur", "similar")
+
+
 def q_label_similar_documents(spark, sf):
     """Whole pipeline on real prose, one case per source (hot cases)."""
     d = _table(spark, sf, "documents")
@@ -198,23 +208,41 @@ def q_new_cases(spark, sf):
     return report.new_cases(cur, prev, CFG).select("row_id", "processo")
 
 
+def _asked_pairs(spark, sf):
+    """The pairs the cross-day loop compares, with their texts."""
+    return match.cross_day_pairs(_filtered_day(spark, sf, PREV_DAY), _filtered_day(spark, sf, CUR_DAY),
+                                 match.TableJudge(_verdicts(spark, sf)), CFG)
+
+
 def q_cross_day_pairs(spark, sf):
-    p = match.cross_day_pairs(_filtered_day(spark, sf, PREV_DAY), _filtered_day(spark, sf, CUR_DAY), CFG)
-    return p.select("processo", "cur_id", "prev_id")
+    return _asked_pairs(spark, sf).select("processo", "cur_id", "prev_id")
 
 
 def q_cross_day_scores(spark, sf):
-    """J7 blocked: TF-IDF cosine of each eligible row of today against
-    yesterday's first candidate of the same case (J3 + X4)."""
-    p = match.cross_day_pairs(_filtered_day(spark, sf, PREV_DAY), _filtered_day(spark, sf, CUR_DAY), CFG)
-    scored = tfidf_cosine(p, ["cur_id", "prev_id"], "cur_text", "prev_text")
+    """X4 on the pairs the cross-day loop compares."""
+    scored = tfidf_cosine(_asked_pairs(spark, sf), ["cur_id", "prev_id"], "cur_text", "prev_text")
     return scored.select("cur_id", "prev_id", F.round("cosine", ROUND).alias("cosine"))
 
 
+def q_cross_day_similar(spark, sf):
+    """All pairs of today's and yesterday's filtered notices of a case with
+    a cosine of at least 0.8."""
+    p = similar_pairs(_filtered_day(spark, sf, PREV_DAY), _filtered_day(spark, sf, CUR_DAY), OFFLINE_THRESHOLD, CFG)
+    return p.select("processo", "cur_id", "prev_id", F.round("cosine", ROUND).alias("cosine"))
+
+
+def q_cross_day_similar_documents(spark, sf):
+    """J7 on real prose: documents of odd ids as today, of even ids as
+    yesterday, one case per source."""
+    d = _table(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("source").alias("processo"), F.col("text").alias("intimacao"))
+    p = similar_pairs(d.where(F.col("row_id") % 2 == 0), d.where(F.col("row_id") % 2 == 1), OFFLINE_THRESHOLD, CFG)
+    return p.select("processo", "cur_id", "prev_id", F.round("cosine", ROUND).alias("cosine"))
+
+
 def q_verdict_request(spark, sf):
-    p = match.cross_day_pairs(_filtered_day(spark, sf, PREV_DAY), _filtered_day(spark, sf, CUR_DAY), CFG)
-    return p.select("cur_id", "prev_id",
-                    match.verdict_request(F.col("cur_text"), F.col("prev_text")).alias("request"))
+    return _asked_pairs(spark, sf).select(
+        "cur_id", "prev_id", match.verdict_request(F.col("cur_text"), F.col("prev_text")).alias("request"))
 
 
 def q_verdict_parse(spark, sf):
@@ -337,6 +365,81 @@ def q_landing_refused(spark, sf):
     return ref.select("order", "path", "reason")
 
 
+def q_landing_replay(spark, sf):
+    """Three writers plan their pages against the same empty catalog and land
+    one after the other: one winner per path, the others get ``exists``."""
+    batch = _page_batch(spark, sf)
+    place = f"{ensure_checkpoint_dir(spark)}/landing-{uuid.uuid4().hex}"
+    state = landing.stored_catalog(spark, place)
+    out = []
+    for writer in range(3):
+        _, refused = landing.land(batch.where(F.col("order") % 3 == writer), place, LANDING_FOLDER, LANDING_OWNER,
+                                  F.lit("2024-06-21 09:00:00").cast("timestamp"), planned_at=state)
+        out.append(refused.select("order", "path", F.col("reason").alias("outcome")))
+    version, stored = landing.stored_catalog(spark, place)
+    landed = stored.select("order", "path", F.lit("landed").alias("outcome"))
+    for refused in out:
+        landed = landed.unionByName(refused)
+    return landed.withColumn("version", F.lit(version))
+
+
+def _equal_notices(requests):
+    """A judge for tests: a match if both notices are the same text."""
+    out = []
+    for r in requests:
+        a, _, b = r[len('Notice A: "'):r.rindex('"\nReply only')].partition('"\nNotice B: "')
+        word = "true" if a == b else "false"
+        out.append(f'{{"same_story": {word}, "same_goal": {word}, "same_litigation": {word}}}')
+    return out
+
+
+def q_answer_store(spark, sf):
+    """The distinct questions of the cross-day loop over three batches of
+    cases that share an answer store, each asked once."""
+    path = f"{ensure_checkpoint_dir(spark)}/answers-{uuid.uuid4().hex}"
+    judge = match.StoredJudge(match.CallableJudge(_equal_notices), path)
+    prev, cur = _filtered_day(spark, sf, PREV_DAY), _filtered_day(spark, sf, CUR_DAY)
+    for keys in (0, 1, 0):  # the first batch again: nothing new is asked
+        part = F.pmod(F.ascii(F.substring("processo", -1, 1)), F.lit(2)) == keys
+        _cut(match.first_matches(prev.where(part), cur.where(part), judge, CFG))
+    return judge.answers(spark).select(
+        F.col("_hash").alias("request_hash"), match.parse_verdict(F.col("response"))["match"].alias("is_match"),
+        F.col("attempts").cast("long").alias("attempts"))
+
+
+def _event_lines(spark, sf):
+    """Events as lines of day files, some of them damaged."""
+    e = _table(spark, sf, "events")
+    return e.select(F.to_date(_wall_clock(e, "ts")).cast("string").alias("dia"), F.expr(EVENT_LINE_SQL).alias("value"))
+
+
+def q_read_days_checked(spark, sf):
+    """Day files of comma-separated lines read under a schema; good and
+    rejected rows together are all lines."""
+    place = f"{ensure_checkpoint_dir(spark)}/days-{uuid.uuid4().hex}"
+    _event_lines(spark, sf).write.partitionBy("dia").text(place)
+    cfg = CFG.with_columns(key="processo", row_id="row_id")
+    good, bad = days.read_days_checked(spark, place, "row_id long, processo string, jornal string", cfg, header="false")
+    same = ["row_id", "processo", "jornal", F.col("dia").cast("string").alias("dia")]
+    return good.select(*same, F.lit(None).cast("string").alias("line"), F.lit("good").alias("status")).unionByName(
+        bad.select(*same, "line", F.col("reason").alias("status")))
+
+
+def q_written_summary(spark, sf):
+    """Labelled notices written day by day and written again;
+    the counts come from the writing itself."""
+    place = f"{ensure_checkpoint_dir(spark)}/labelled-{uuid.uuid4().hex}"
+    lab = _labelled(spark, sf)
+    told = []
+    for day in (PREV_DAY, CUR_DAY, PREV_DAY):
+        told.append((day, days.write_checked(lab.where(F.col("dia") == day), place, CFG)))
+    names = ["rows", "decided", "undecided", "removed", "representatives"]
+    written = spark.createDataFrame([(d, *[c[n] for n in names]) for d, c in told[1:]],
+                                    "dia long, " + ", ".join(f"{n} long" for n in names))
+    stored = days.read_days(spark, place).groupBy("dia").agg(F.count(F.lit(1)).alias("stored"))
+    return written.join(stored.select(F.col("dia").cast("long").alias("dia"), "stored"), "dia")
+
+
 def q_content_type(spark, sf):
     b = _page_batch(spark, sf)
     return b.select("order", landing.content_type(F.col("content")).alias("content_type"))
@@ -390,6 +493,7 @@ QUERIES = {
     "exact_copy_documents": q_exact_copy_documents,
     "label_similar": q_label_similar,
     "label_similar_documents": q_label_similar_documents,
+    "label_similar_prose": q_label_similar_prose,
     "label_similar_orders": q_label_similar_orders,
     "label_similar_hot": q_label_similar_hot,
     "label_similar_leaders": q_label_similar_leaders,
@@ -411,6 +515,8 @@ QUERIES = {
     "new_cases": q_new_cases,
     "cross_day_pairs": q_cross_day_pairs,
     "cross_day_scores": q_cross_day_scores,
+    "cross_day_similar": q_cross_day_similar,
+    "cross_day_similar_documents": q_cross_day_similar_documents,
     "verdict_request": q_verdict_request,
     "verdict_parse": q_verdict_parse,
     "first_match": q_first_match,
@@ -424,6 +530,10 @@ QUERIES = {
     "rejected_notices": q_rejected_notices,
     "landing_accept": q_landing_accept,
     "landing_refused": q_landing_refused,
+    "landing_replay": q_landing_replay,
+    "answer_store": q_answer_store,
+    "read_days_checked": q_read_days_checked,
+    "written_summary": q_written_summary,
     "content_type": q_content_type,
     "manifest_files": q_manifest_files,
     "manifest_generations": q_manifest_generations,
@@ -464,6 +574,15 @@ CASE page_id % 7 WHEN 1 THEN concat('%PDF-1.4 ', html) WHEN 2 THEN concat('nota
   WHEN 6 THEN concat('PK', chr(3), chr(4), repeat('.', 26), 'word/xl/ ', html) ELSE html END
 """
 
+# Lines of every kind: good, an id that is no number, a missing field,
+# an additional one, no id, no key.
+EVENT_LINE_SQL = """
+CASE event_id % 11 WHEN 3 THEN concat('x', event_id, ',P', event_id % 40, ',DJSP')
+  WHEN 5 THEN concat(event_id, ',P', event_id % 40) WHEN 6 THEN concat(event_id, ',P', event_id % 40, ',DJSP,more')
+  WHEN 8 THEN concat(',P', event_id % 40, ',DJSP') WHEN 9 THEN concat(event_id, ',,DJSP')
+  ELSE concat(event_id, ',P', event_id % 40, ',DJSP') END
+"""
+
 # Accounts that break each rule on some rows.
 ACCOUNTS_SQL = """
 SELECT c_custkey,
@@ -519,10 +638,6 @@ _MATCHED = (f"{_BASE}, {_VERD}, {_PARSED}, {_FIRST}, matched AS ("
             "SELECT cur.row_id, cur.processo, cur.noccur, cur.sim, "
             "CAST(coalesce(firsts.prev_id + 2, -1) AS BIGINT) AS match_row "
             "FROM cur LEFT JOIN firsts ON firsts.cur_id = cur.row_id)")
-_FIRST_CAND = ("firstcand AS (SELECT processo, arg_min(row_id, undecided_flag * 1000000000000 + row_id) AS prev_id "
-               "FROM prev WHERE processo IN (SELECT processo FROM elig) GROUP BY processo)")
-
-
 def _tfidf_sql(pairs: str, ids: str, left: str, right: str) -> str:
     """TF-IDF pair cosine in DuckDB over a CTE named ``pairs``."""
     tok = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
@@ -558,6 +673,10 @@ _ASKED = (f"asked AS (SELECT cur.processo, v.cur_id, v.prev_id, "
           "AND prev.processo = cur.processo JOIN elig ON elig.processo = cur.processo), "
           "stops AS (SELECT *, min(CASE WHEN is_match THEN question_no END) OVER (PARTITION BY cur_id) AS stop FROM asked)")
 
+_ASKED_PAIRS = (f"{_BASE}, {_VERD}, {_PARSED}, {_ASKED}, ap AS (SELECT s.processo, s.cur_id, s.prev_id, "
+                "c.intimacao AS cur_text, p.intimacao AS prev_text FROM stops s JOIN cur c ON c.row_id = s.cur_id "
+                "JOIN prev p ON p.row_id = s.prev_id WHERE stop IS NULL OR question_no <= stop)")
+
 _ACCOUNTS = f"acc AS ({ACCOUNTS_SQL})"
 _CHECKS = ("chk AS (SELECT c_custkey, regexp_matches(username, '^[a-zA-Z0-9_-]{1,20}\\n?$') AS username_ok, "
            "(length(name) > 1 AND length(name) < 100) AS name_ok, "
@@ -592,6 +711,7 @@ ORACLES = {
         SELECT row_id, processo, noccur,
         CAST(CASE WHEN noccur = 1 THEN row_id WHEN n_exact >= 2 THEN leader ELSE -1 END AS BIGINT) AS "similar" FROM w""",
     "label_similar": f'WITH {_N}, {_LAB} SELECT row_id, dia, processo, CAST(noccur AS BIGINT) AS noccur, CAST(sim AS BIGINT) AS "similar" FROM lab',
+    "label_similar_prose": f'SELECT row_id, dia, processo, CAST(noccur AS BIGINT) AS noccur, CAST(sim AS BIGINT) AS "similar" FROM ({fixtures.expected_labels_sql(fixtures.DUCK_DIV, prose=True)}) p',
     "label_similar_orders": _order_labels_oracle("o_custkey"),
     "label_similar_hot": _order_labels_oracle("o_orderstatus"),
     "filtered_notices": f'WITH {_N}, {_LAB}, {_F} SELECT row_id, dia, processo, CAST(sim AS BIGINT) AS "similar", undecided_flag FROM f',
@@ -616,15 +736,24 @@ ORACLES = {
     "repeated_cases": f"{_BASE} SELECT row_id, processo FROM cur WHERE processo IN (SELECT processo FROM prev)",
     "new_cases": f"""WITH {_N} SELECT row_id, processo FROM notices WHERE dia = {CUR_DAY}
         AND processo NOT IN (SELECT processo FROM notices WHERE dia = {PREV_DAY})""",
-    "cross_day_pairs": f"{_BASE}, {_FIRST_CAND} SELECT cur.processo, cur.row_id AS cur_id, fc.prev_id FROM cur JOIN firstcand fc ON fc.processo = cur.processo",
-    "cross_day_scores": f"""{_BASE}, {_FIRST_CAND}, fp AS (SELECT cur.row_id AS cur_id, fc.prev_id,
-        cur.intimacao AS cur_text, p.intimacao AS prev_text FROM cur JOIN firstcand fc ON fc.processo = cur.processo
-        JOIN prev p ON p.row_id = fc.prev_id), """ + _tfidf_sql("fp", "cur_id, prev_id", "cur_text", "prev_text")
-        + " SELECT fp.cur_id, fp.prev_id, round(tc.cosine, 6) AS cosine FROM fp LEFT JOIN tc USING (cur_id, prev_id)",
-    "verdict_request": f"""{_BASE}, {_FIRST_CAND} SELECT cur.row_id AS cur_id, fc.prev_id,
-        'Notice A: "' || cur.intimacao || '"' || chr(10) || 'Notice B: "' || p.intimacao || '"' || chr(10) ||
+    "cross_day_pairs": f"{_ASKED_PAIRS} SELECT processo, cur_id, prev_id FROM ap",
+    "cross_day_scores": f"{_ASKED_PAIRS}, " + _tfidf_sql("ap", "cur_id, prev_id", "cur_text", "prev_text")
+        + " SELECT cur_id, prev_id, round(tc.cosine, 6) AS cosine FROM ap LEFT JOIN tc USING (cur_id, prev_id)",
+    "cross_day_similar": f"""{_BASE}, cand AS (SELECT cur.processo, cur.row_id AS cur_id, prev.row_id AS prev_id,
+        cur.intimacao AS cur_text, prev.intimacao AS prev_text FROM cur JOIN prev ON cur.processo = prev.processo), """
+        + _tfidf_sql("cand", "cur_id, prev_id", "cur_text", "prev_text")
+        + f""" SELECT processo, cur_id, prev_id, round(cosine, 6) AS cosine FROM cand JOIN tc USING (cur_id, prev_id)
+        WHERE cosine >= {OFFLINE_THRESHOLD}""",
+    "cross_day_similar_documents": """WITH cand AS (SELECT c.source AS processo, c.doc_id AS cur_id, p.doc_id AS prev_id,
+        c.text AS cur_text, p.text AS prev_text FROM documents c JOIN documents p
+        ON c.source = p.source AND c.doc_id % 2 = 1 AND p.doc_id % 2 = 0), """
+        + _tfidf_sql("cand", "cur_id, prev_id", "cur_text", "prev_text")
+        + f""" SELECT processo, cur_id, prev_id, round(cosine, 6) AS cosine FROM cand JOIN tc USING (cur_id, prev_id)
+        WHERE cosine >= {OFFLINE_THRESHOLD}""",
+    "verdict_request": f"""{_ASKED_PAIRS} SELECT cur_id, prev_id,
+        'Notice A: "' || cur_text || '"' || chr(10) || 'Notice B: "' || prev_text || '"' || chr(10) ||
         'Reply only with a JSON object: "same_story" (true if both notices report the same facts), "same_goal" (true if both order the same act), "same_litigation" (true if both belong to the same lawsuit), and "litigation-id" (the case number).' AS request
-        FROM cur JOIN firstcand fc ON fc.processo = cur.processo JOIN prev p ON p.row_id = fc.prev_id""",
+        FROM ap""",
     "verdict_parse": f"""WITH {_N}, {_VERD}, {_PARSED} SELECT cur_id, prev_id,
         (gate AND coalesce(all_true, false)) AS is_match,
         {_ERROR} AS error FROM parsed""",
@@ -662,6 +791,27 @@ ORACLES = {
         FROM planned WHERE "order" = first_order AND NOT stored""",
     "landing_refused": f"""WITH {_PAGES} SELECT "order", path, 'exists' AS reason FROM planned
         WHERE "order" > first_order OR stored""",
+    "landing_replay": f"""WITH {_PAGES}, r AS (SELECT "order", path, row_number() OVER (
+        PARTITION BY path ORDER BY "order" % 3, "order") AS k FROM planned)
+        SELECT "order", path, CASE WHEN k = 1 THEN 'landed' ELSE 'exists' END AS outcome, 3 AS version FROM r""",
+    "answer_store": f"""{_BASE}, c AS (SELECT cur.row_id AS cur_id, cur.intimacao AS a, prev.intimacao AS b,
+        row_number() OVER (PARTITION BY cur.row_id ORDER BY prev.undecided_flag, prev.row_id) - 1 AS q
+        FROM cur JOIN elig ON elig.processo = cur.processo JOIN prev ON prev.processo = cur.processo),
+        e AS (SELECT *, min(CASE WHEN a = b THEN q END) OVER (PARTITION BY cur_id) AS hit FROM c)
+        SELECT DISTINCT sha256('Notice A: "' || a || '"' || chr(10) || 'Notice B: "' || b || '"' || chr(10) ||
+        'Reply only with a JSON object: "same_story" (true if both notices report the same facts), "same_goal" (true if both order the same act), "same_litigation" (true if both belong to the same lawsuit), and "litigation-id" (the case number).') AS request_hash,
+        a = b AS is_match, 1::BIGINT AS attempts
+        FROM e WHERE hit IS NULL OR q < pow(2, floor(log2(hit + 1)) + 1) - 1""",
+    "read_days_checked": f"""WITH l AS (SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS dia, {EVENT_LINE_SQL} AS line FROM events)
+        SELECT CASE WHEN event_id % 11 IN (3, 8) THEN NULL ELSE event_id END AS row_id,
+        CASE WHEN event_id % 11 = 9 THEN NULL ELSE 'P' || (event_id % 40) END AS processo,
+        CASE WHEN event_id % 11 = 5 THEN NULL ELSE 'DJSP' END AS jornal, dia,
+        CASE WHEN event_id % 11 IN (3, 5, 6) THEN line END AS line,
+        CASE WHEN event_id % 11 IN (3, 5, 6) THEN 'bad_line' WHEN event_id % 11 = 8 THEN 'null_row_id'
+             WHEN event_id % 11 = 9 THEN 'null_key' ELSE 'good' END AS status FROM l""",
+    "written_summary": f"""WITH {_N}, {_LAB} SELECT dia, count(*) AS "rows", count(*) FILTER (WHERE sim >= 0) AS decided,
+        count(*) FILTER (WHERE sim = -1) AS undecided, count(*) FILTER (WHERE sim >= 0 AND sim <> row_id) AS removed,
+        count(*) FILTER (WHERE sim = row_id) AS representatives, count(*) AS stored FROM lab GROUP BY dia""",
     "content_type": f"WITH {_PAGES} SELECT \"order\", {_CTYPE} AS content_type FROM batch",
     "manifest_files": f"""WITH {_OBJECTS} SELECT name, generation, 'turn_' || CAST(turn AS VARCHAR) || '.xlsx' AS file_name
         FROM objs WHERE starts_with(name, 'compare')""",

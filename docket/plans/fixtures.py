@@ -59,17 +59,25 @@ END
 """
 
 
-def notices_sql(div: str = SPARK_DIV, documents: str = "documents") -> str:
-    return NOTICES_SQL.format(div=div, header=HEADER_SQL, documents=documents)
+def notices_sql(div: str = SPARK_DIV, documents: str = "documents", prose: bool = False) -> str:
+    """The notices; with ``prose`` each ends with a document's whole text, the
+    same for all notices of a case (which changes no expected label)."""
+    sql = NOTICES_SQL.format(div=div, header=HEADER_SQL, documents=documents)
+    if not prose:
+        return sql
+    return f"""
+SELECT n.row_id, n.dia, n.processo, n.jornal, n.mode, n.v, concat(n.intimacao, ' ', coalesce(t.text, '')) AS intimacao
+FROM ({sql}) n LEFT JOIN {documents} t ON t.doc_id = (n.row_id {div} 20) * 20
+"""
 
 
-def expected_labels_sql(div: str = SPARK_DIV, documents: str = "documents") -> str:
+def expected_labels_sql(div: str = SPARK_DIV, documents: str = "documents", prose: bool = False) -> str:
     """Notices with their known `noccur` and `sim` = expected `similar` (the fixture answer)."""
     return f"""
 SELECT row_id, dia, processo, jornal, mode, v, intimacao,
        CASE WHEN v = 9 THEN 1 ELSE 9 END AS noccur,
        CASE WHEN ev = -1 THEN -1 ELSE row_id - v + ev END AS sim
-FROM (SELECT *, {EXPECTED_V_SQL} AS ev FROM ({notices_sql(div, documents)}) q) x
+FROM (SELECT *, {EXPECTED_V_SQL} AS ev FROM ({notices_sql(div, documents, prose)}) q) x
 """
 
 
@@ -91,6 +99,12 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, notices_sql(SPARK_DIV, "{documents}"), documents=documents_ids(spark, sf_dir))
 
 
+def prose_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notices with the texts of ``documents``."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return run_sql(spark, notices_sql(SPARK_DIV, "{documents}", prose=True), documents=documents)
+
+
 def expected_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture's known answer (column ``sim`` = expected ``similar``)."""
     return run_sql(spark, expected_labels_sql(SPARK_DIV, "{documents}"), documents=documents_ids(spark, sf_dir))

@@ -9,6 +9,9 @@ the batch are found with a per-path minimum.
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +25,19 @@ PDF_MAGIC = "25504446"          # %PDF
 OOXML_SHEET = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
 
 
+#: Columns of the stored catalog.
+CATALOG_COLUMNS = ("path", "name", "order", "content", "content_type", "owner", "upload_time")
+CATALOG = ("path string, name string, `order` long, content binary, content_type string, owner string, "
+           "upload_time timestamp")
+
+
 def content_type(content: Column) -> Column:
     """Type from magic numbers; text only if no byte of the whole content is
     a control character (stored with the file, never a reason to refuse)."""
     head = F.hex(F.substring(content, 1, 8))
-    # Latin-1 maps every byte to one char, so a cut multi-byte sequence is harmless.
+    # Latin-1 maps every byte to one char, whatever the encoding.
     raw = F.decode(content, "ISO-8859-1")
-    text_head = F.lower(F.ltrim(F.decode(F.substring(content, 1, 512), "ISO-8859-1")))
+    text_head = F.lower(F.substring(F.ltrim(raw), 1, 16))
     return (F.when(head.startswith(ZIP_MAGIC),
                    # an entry named xl/...: its name follows 26 bytes of local header
                    F.when(raw.rlike("PK\\x03\\x04[\\s\\S]{26}xl/"), F.lit(OOXML_SHEET))
@@ -98,16 +107,69 @@ def plan_landing(batch: DataFrame, catalog: DataFrame, folder: str, owner: str,
     return accepted, refused.unionByName(nowhere)
 
 
-def commit_landing(accepted: DataFrame, catalog_path: str) -> None:
-    """Append the accepted files, contents and metadata, to the stored catalog,
-    which later batches are planned against (one committed Spark write: a
-    failed one leaves no file behind)."""
-    accepted.write.mode("append").parquet(catalog_path)
-
-
-def stored_catalog(spark: SparkSession, catalog_path: str) -> DataFrame:
-    """The catalog ``commit_landing`` writes."""
-    return spark.read.parquet(catalog_path)
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file if there is none of that name; whether we did.  The
+    file system decides, so of two writers one gets False."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    if fs.exists(target):
+        return False
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError as refused:
+        if fs.exists(target):
+            return False
+        raise refused
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    return True
+
+
+def stored_catalog(spark: SparkSession, catalog_path: str, schema=CATALOG) -> tuple[int, DataFrame]:
+    """(version, stored files): what the numbered commits of a catalog hold
+    (version 0: there is none)."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    log = jvm.org.apache.hadoop.fs.Path(f"{catalog_path}/commits")
+    if not log.getFileSystem(conf).exists(log):
+        return 0, spark.createDataFrame([], schema)
+    # One short row per commit.
+    commits = spark.read.text(f"{catalog_path}/commits").select(
+        F.col("_metadata.file_name").cast("long").alias("version"), "value").collect()
+    if not commits:
+        return 0, spark.createDataFrame([], schema)
+    folders = [f"{catalog_path}/data/{r.value}" for r in commits]
+    return max(r.version for r in commits), spark.read.schema(schema).parquet(*folders)
+
+
+def commit_landing(accepted: DataFrame, catalog_path: str, version: int) -> bool:
+    """Store the accepted files of a plan made against ``version`` of the
+    catalog as the next version.  False if another writer has made that
+    version since: nothing of this plan is stored then, and the batch must be
+    planned again.  Files become visible by the commit alone, so a writer that
+    fails half way leaves nothing that is read."""
+    spark, name = accepted.sparkSession, uuid.uuid4().hex
+    accepted.select(*CATALOG_COLUMNS).write.parquet(f"{catalog_path}/data/{name}")
+    return _create(spark, f"{catalog_path}/commits/{version + 1:019d}", name)
+
+
+def land(batch: DataFrame, catalog_path: str, folder: str, owner: str, upload_time: Column | None = None,
+         stop_at_first: bool = False, planned_at: tuple[int, DataFrame] | None = None, attempts: int = 20):
+    """S6 whole: plan a batch against the stored catalog and commit it; if
+    another writer was faster, plan again against what it stored, so of all
+    writers one wins each path and the others are refused with ``exists``.
+
+    Returns (version, refused).  ``planned_at`` is the state the first plan is
+    made against, if it was read before.
+    """
+    spark = batch.sparkSession
+    state = planned_at or stored_catalog(spark, catalog_path)
+    for _ in range(attempts):
+        accepted, refused = plan_landing(batch, state[1], folder, owner, upload_time, stop_at_first)
+        if commit_landing(accepted, catalog_path, state[0]):
+            return state[0] + 1, refused
+        state = stored_catalog(spark, catalog_path)
+    raise RuntimeError(f"{attempts} other commits came first")
 
 
 def files_from_binary(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:

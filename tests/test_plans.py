@@ -36,5 +36,5 @@ def test_first_match_uses_hash_aggregation(spark):
 
 def test_row_ids_rank_inside_chunks(spark):
     p = _plan(spark, "assign_row_ids")
-    assert re.search(r"Window \[row_number\(\) windowspecdefinition\(dia, _ck0", p)
+    assert re.search(r"Window \[row_number\(\) windowspecdefinition\(dia, _piece", p)
     assert re.search(r"FileScan parquet \[event_id,ts\]", p)

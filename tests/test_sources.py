@@ -154,6 +154,28 @@ def test_rank_within_sparse_ids(spark):
     assert got.select("g", "o", "rank").exceptAll(ref).count() == 0 and got.count() == 3000
 
 
+def test_rank_within_cuts_follow_the_data(spark):
+    """Ids 2^18 apart or in one lump: pieces of a group stay few and even, and a
+    small group is not cut."""
+    from docket.operators import ranking
+    far = spark.range(0, 4000).select(F.lit(0).alias("g"), (F.col("id") * (1 << 18)).alias("o"))
+    lump = spark.range(0, 4000).select(F.lit(1).alias("g"), F.when(F.col("id") < 8, F.col("id") * (1 << 40))
+                                       .otherwise(F.col("id")).alias("o")).distinct()
+    df = far.unionByName(lump).unionByName(spark.range(0, 90).select(F.lit(2).alias("g"), F.col("id").alias("o")))
+    cuts = ranking._cuts(df.withColumn("o", F.col("o").cast("bigint")), ["g"], "o", chunk=100, pieces=16)
+    held = {r.g: r._cuts for r in cuts.collect()}
+    assert held[2] == [] and all(10 <= len(held[g]) <= 15 for g in (0, 1))
+    rows = {g: sorted(r.o for r in df.where(F.col("g") == g).collect()) for g in (0, 1)}
+    for g in (0, 1):
+        edges = [-1, *held[g], 1 << 62]
+        sizes = [sum(a < o <= b for o in rows[g]) for a, b in zip(edges, edges[1:])]
+        assert max(sizes) <= 2 * 4000 / 16
+    got = rank_within(df, ["g"], "o", chunk=100, pieces=16)
+    from pyspark.sql import Window
+    ref = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("o")).cast("bigint") - 1)
+    assert got.select("g", "o", "rank").exceptAll(ref).count() == 0 and got.count() == df.count()
+
+
 def test_rank_within_matches_row_number(spark):
     df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 5003).alias("o"))
     ours = rank_within(df, ["g"], "o", chunk=64).select("g", "o", "rank")
