@@ -23,7 +23,9 @@ rows are written as often as they occur.  An empty table writes no rows.
 
 from __future__ import annotations
 
+import re
 import struct
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -128,7 +130,10 @@ def unpack(payload: bytes) -> np.ndarray:
 # Encoding with the tokenizers library
 
 #: Units that a generation of the cache holds.
-_CACHE = 200_000
+_CACHE = 150_000
+#: Units that go through the library as a text; the others are one piece for
+#: its model.
+_WHOLE = re.compile("[^\x21-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]|'|<\\|")
 _SPACE, _LETTER, _DIGIT, _SIGN = range(4)
 
 
@@ -145,11 +150,11 @@ def _odd(part: np.ndarray) -> np.ndarray:
     and all that is neither ASCII nor a plain letter of U+00C0 to U+017E."""
     lead = (part >= 0xC0) & ((part < 0xC3) | (part > 0xC5))
     control = ((part < 0x20) & ((part < 0x09) | (part > 0x0D))) | (part == 0x7F)
-    at = lead | control | (part == ord("'"))
-    pair = part[:-1].astype(np.int32) << 8 | part[1:]
+    at = np.flatnonzero(lead | control | (part == ord("'")))
     # x and division signs; letters that lower-case or compose to two.
-    at[:-1] |= np.isin(pair, (0x3C7C, 0xC397, 0xC3B7, 0xC4B0, 0xC589, 0xC5BF))
-    return np.flatnonzero(at)
+    first = np.flatnonzero((part[:-1] == 0x3C) | ((part[:-1] >= 0xC3) & (part[:-1] <= 0xC5)))
+    pair = part[first].astype(np.int32) << 8 | part[first + 1]
+    return np.concatenate((at, first[np.isin(pair, (0x3C7C, 0xC397, 0xC3B7, 0xC4B0, 0xC589, 0xC5BF))]))
 
 
 def _units(part: np.ndarray, _=None) -> tuple[np.ndarray, np.ndarray]:
@@ -191,20 +196,30 @@ class Encoder:
         if not store:
             import json
 
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, pre_tokenizers
             tok = Tokenizer.from_file(path)
+            to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             form = [json.loads(x.__getstate__()) if x else {} for x in (tok.normalizer, tok.pre_tokenizer)]
             steps = [x.get("type") for x in form[0].get("normalizers", [])]
             split = form[1].get("pretokenizers", [{}])[0]
-            store.update(tok=tok, young={}, old={}, width=id_width(tok.get_vocab_size()),
+            letters = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x17F)}
+            store.update(tok=tok, model=tok.model, letters=letters, young={}, old={}, width=id_width(tok.get_vocab_size()),
                          plain=split.get("type") == "Split" and steps == ["NFC", "Replace", "Lowercase"])
         self.store = store
 
     def fresh(self, units: list[bytes]) -> list[bytes]:
-        """Ids of units, from the library, as bytes: one call for all."""
-        store = self.store
-        found = store["tok"].encode_batch_fast([u.decode() for u in units], add_special_tokens=False)
-        return [np.array(e.ids, store["width"]).tobytes() for e in found]
+        """Ids of units, from the library, as bytes."""
+        store, out = self.store, []
+        piece, whole, letters = store["model"].tokenize, store["tok"].encode, store["letters"]
+        kind = "H" if store["width"] == "<u2" else "I"
+        for u in units:
+            s = u.decode()
+            if not u.isalpha() and _WHOLE.search(s):  # bytes: ASCII letters
+                ids = whole(s, add_special_tokens=False).ids
+            else:
+                ids = [t.id for t in piece(s if u.isascii() else s.lower().translate(letters))]
+            out.append(array(kind, ids).tobytes())
+        return out
 
     def ids_of(self, units: list[bytes]) -> list[bytes]:
         """Ids of distinct units; the two newest generations of units are kept."""
