@@ -60,6 +60,27 @@ def tfidf_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TFIDF_TOKEN_PATTERN})"), F.lit(1))
 
 
+# English stop words of the option `words`.
+STOP_WORDS = tuple(
+    "a about above after again against all am an and any are as at be because been before being below "
+    "between both but by can did do does doing down during each few for from further had has have having "
+    "he her here hers herself him himself his how i if in into is it its itself just me more most my myself "
+    "no nor not now of off on once only or other our ours ourselves out over own same she should so some such "
+    "than that the their theirs them themselves then there these they this those through to too under until up "
+    "very was we were what when where which while who whom why will with you your yours yourself yourselves"
+    .split())
+
+
+def words_only(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+    """F10, option ``words``: lower case, whitespace tokens without the
+    punctuation around them that are letters only, stop words out, repeats and
+    order kept, joined by spaces (null stays null)."""
+    bare = F.transform(F.split(F.lower(text), PY_WS + "+"), lambda t: F.regexp_replace(
+        t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    stops = F.array(*[F.lit(w) for w in stop_words])
+    return F.array_join(F.filter(bare, lambda t: t.rlike(r"^\p{L}+$") & ~F.array_contains(stops, t)), " ")
+
+
 def iso_cleanup(iso: Column) -> Column:
     """F8: cut at the first '.', then every 'T' becomes a space."""
     return F.replace(F.split_part(iso, F.lit("."), F.lit(1)), F.lit("T"), F.lit(" "))
@@ -90,10 +111,11 @@ def parse_list_literal(lit_col: Column) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def literal_eval_list(s: pd.Series) -> pd.Series:
-    """F7 (general path): any Python list literal of strings."""
+    """F7 (general path): any Python list literal of strings; null for anything else."""
     def one(x):
-        if x is None:
+        try:
+            v = ast.literal_eval(x)
+            return [None if i is None else str(i) for i in v] if isinstance(v, (list, tuple)) else None
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
             return None
-        v = ast.literal_eval(x)
-        return [None if i is None else str(i) for i in v]
     return s.map(one)

@@ -175,11 +175,6 @@ def token_diff_udf(marker: str, width: int, python_slices: bool = True):
     return _udf
 
 
-@F.pandas_udf(T.BooleanType())
-def two_sided_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([two_sided(x, y) for x, y in zip(a, b)], dtype="boolean")
-
-
 def marker_edge_udf(marker: str, width: int, python_slices: bool = True):
     @F.pandas_udf(T.BooleanType())
     def _udf(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -132,11 +132,6 @@ def label_similar(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
     return label_similar_with_rejects(df, cfg)[0]
 
 
-def filter_order(cfg: TriageConfig = DEFAULT):
-    """O1: representatives first, then undecided rows, each by row id."""
-    return [(F.col("similar") == UNDECIDED).cast("int"), F.col(cfg.row_id)]
-
-
 def representatives(labelled: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
     """Rows some row points to -- exactly the rows pointing to themselves."""
     return labelled.where(F.col("similar") == F.col(cfg.row_id))

@@ -21,7 +21,7 @@ from ..operators.ranking import rank_within
 from ..operators.scorejoin import similar_pairs
 from ..operators.similarity import tfidf_cosine
 from ..operators.twoday import two_day_report
-from ..functions.text import iso_cleanup
+from ..functions.text import STOP_WORDS, iso_cleanup, words_only
 from ..functions.tokendiff import token_diff_udf
 from ..session import ensure_checkpoint_dir
 from ..sources import days, landing
@@ -232,11 +232,12 @@ def q_cross_day_similar(spark, sf):
 
 
 def q_cross_day_similar_documents(spark, sf):
-    """J7 on real prose: documents of odd ids as today, of even ids as
-    yesterday, one case per source."""
+    """J7 on real prose: twenty documents as yesterday, the next twenty as today
+    and so on, one case per source."""
     d = _table(spark, sf, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("processo"), F.col("text").alias("intimacao"))
-    p = similar_pairs(d.where(F.col("row_id") % 2 == 0), d.where(F.col("row_id") % 2 == 1), OFFLINE_THRESHOLD, CFG)
+    day = F.expr("row_id div 20 % 2")
+    p = similar_pairs(d.where(day == PREV_DAY), d.where(day == CUR_DAY), OFFLINE_THRESHOLD, CFG)
     return p.select("processo", "cur_id", "prev_id", F.round("cosine", ROUND).alias("cosine"))
 
 
@@ -304,6 +305,13 @@ def q_tfidf_pair_cosine(spark, sf):
     return scored.select("conv_id", "turn", F.round("cosine", ROUND).alias("cosine"))
 
 
+def q_tfidf_pair_cosine_words(spark, sf):
+    """X4 with the normaliser F10 `words` before it."""
+    scored = tfidf_cosine(_conversation_pairs(spark, sf), ["conv_id", "turn"], "left_text", "right_text",
+                          normalize=words_only)
+    return scored.select("conv_id", "turn", F.round("cosine", ROUND).alias("cosine"))
+
+
 def _wall_clock(df: DataFrame, name: str):
     """The stored wall-clock time of a Parquet timestamp whatever the session
     reads it as: NTZ as is, an instant rendered in UTC."""
@@ -464,6 +472,13 @@ def q_manifest_files(spark, sf):
     return landing.manifest_files(listed).select("name", "generation", "file_name")
 
 
+def q_manifest_rejects(spark, sf):
+    """Manifests without a readable list: some are taken away or cut short."""
+    listed = _objects(spark, sf).withColumn("list_files_compare", F.expr(
+        MANIFEST_HOLES_SQL.format(literal="list_files_compare", generation="generation")))
+    return landing.manifest_rejects(landing.list_prefix(listed, "compare")).select("name", "generation", "reason")
+
+
 def q_manifest_generations(spark, sf):
     return landing.generations(landing.list_prefix(_objects(spark, sf), "compare"))
 
@@ -535,6 +550,8 @@ QUERIES = {
     "read_days_checked": q_read_days_checked,
     "written_summary": q_written_summary,
     "content_type": q_content_type,
+    "tfidf_pair_cosine_words": q_tfidf_pair_cosine_words,
+    "manifest_rejects": q_manifest_rejects,
     "manifest_files": q_manifest_files,
     "manifest_generations": q_manifest_generations,
     "manifest_count": q_manifest_count,
@@ -583,6 +600,11 @@ CASE event_id % 11 WHEN 3 THEN concat('x', event_id, ',P', event_id % 40, ',DJSP
   ELSE concat(event_id, ',P', event_id % 40, ',DJSP') END
 """
 
+# Manifests without a list, and with one cut short.
+MANIFEST_HOLES_SQL = """
+CASE {generation} % 7 WHEN 3 THEN NULL WHEN 5 THEN substr({literal}, 1, length({literal}) - 1) ELSE {literal} END
+"""
+
 # Accounts that break each rule on some rows.
 ACCOUNTS_SQL = """
 SELECT c_custkey,
@@ -654,6 +676,14 @@ ts AS (SELECT {ids}, sum(CASE WHEN c1 IS NOT NULL AND c2 IS NOT NULL THEN c1 * c
 tc AS (SELECT {ids}, CASE WHEN n1 = 0 OR n2 = 0 THEN 0.0 ELSE dot / (sqrt(n1) * sqrt(n2)) END AS cosine FROM ts)"""
 
 
+def _words_sql(column: str) -> str:
+    """F10 `words` in DuckDB (the texts hold no white space but ASCII's)."""
+    stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    bare = (f"[regexp_replace(x, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') "
+            f"FOR x IN string_split_regex(lower({column}), '\\s+')]")
+    return f"array_to_string([y FOR y IN {bare} IF regexp_full_match(y, '\\p{{L}}+') AND y NOT IN ({stops})], ' ')"
+
+
 _CONV_PAIRS = ("cp AS (SELECT a.conv_id, b.turn, a.text AS left_text, b.text AS right_text "
                "FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)")
 
@@ -746,7 +776,7 @@ ORACLES = {
         WHERE cosine >= {OFFLINE_THRESHOLD}""",
     "cross_day_similar_documents": """WITH cand AS (SELECT c.source AS processo, c.doc_id AS cur_id, p.doc_id AS prev_id,
         c.text AS cur_text, p.text AS prev_text FROM documents c JOIN documents p
-        ON c.source = p.source AND c.doc_id % 2 = 1 AND p.doc_id % 2 = 0), """
+        ON c.source = p.source AND c.doc_id // 20 % 2 = 1 AND p.doc_id // 20 % 2 = 0), """
         + _tfidf_sql("cand", "cur_id, prev_id", "cur_text", "prev_text")
         + f""" SELECT processo, cur_id, prev_id, round(cosine, 6) AS cosine FROM cand JOIN tc USING (cur_id, prev_id)
         WHERE cosine >= {OFFLINE_THRESHOLD}""",
@@ -813,6 +843,12 @@ ORACLES = {
         count(*) FILTER (WHERE sim = -1) AS undecided, count(*) FILTER (WHERE sim >= 0 AND sim <> row_id) AS removed,
         count(*) FILTER (WHERE sim = row_id) AS representatives, count(*) AS stored FROM lab GROUP BY dia""",
     "content_type": f"WITH {_PAGES} SELECT \"order\", {_CTYPE} AS content_type FROM batch",
+    "tfidf_pair_cosine_words": f"WITH {_CONV_PAIRS}, wp AS (SELECT conv_id, turn, {_words_sql('left_text')} AS left_text, "
+        f"{_words_sql('right_text')} AS right_text FROM cp), " + _tfidf_sql("wp", "conv_id, turn", "left_text", "right_text")
+        + " SELECT wp.conv_id, wp.turn, round(tc.cosine, 6) AS cosine FROM wp LEFT JOIN tc USING (conv_id, turn)",
+    "manifest_rejects": f"""WITH {_OBJECTS} SELECT DISTINCT name, generation,
+        CASE WHEN generation % 7 = 3 THEN 'no_list' ELSE 'bad_list' END AS reason
+        FROM objs WHERE name LIKE 'compare%' AND generation % 7 IN (3, 5)""",
     "manifest_files": f"""WITH {_OBJECTS} SELECT name, generation, 'turn_' || CAST(turn AS VARCHAR) || '.xlsx' AS file_name
         FROM objs WHERE starts_with(name, 'compare')""",
     "manifest_generations": f"WITH {_OBJECTS} SELECT DISTINCT generation FROM objs WHERE starts_with(name, 'compare')",

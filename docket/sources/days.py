@@ -39,7 +39,10 @@ def read_days_checked(spark: SparkSession, path: str, schema: str | T.StructType
     rows = reader.options(**options).format(fmt).load(path)
     if days is not None:
         rows = rows.where(F.col(cfg.day).isin(list(days)))
-    reason = (F.when(F.col("_line").isNotNull(), F.lit("bad_line"))
+    # A reader converts only the columns that are used, and a line is bad for any
+    # of them: so all are (no value holds that text).
+    every = F.concat_ws("\0", *[F.col(f.name).cast("string") for f in fields.fields]) == F.lit("\1\0\1")
+    reason = (F.when(F.col("_line").isNotNull() | every, F.lit("bad_line"))
               .when(F.col(cfg.row_id).isNull(), F.lit("null_row_id"))
               .when(F.col(cfg.key).isNull(), F.lit("null_key")))
     rows = rows.withColumn("reason", reason)

@@ -188,16 +188,30 @@ def list_prefix(catalog: DataFrame, prefix: str, name: str = "name") -> DataFram
     return catalog.where(F.col(name).startswith(prefix))
 
 
+def _parsed_manifests(listed: DataFrame, meta: str):
+    """(files parsed on the JVM, the others) with the list in ``_files``."""
+    simple = simple_list_literal(F.col(meta)) & parse_list_literal(F.col(meta)).isNotNull()
+    simple = F.coalesce(simple, F.lit(False))
+    return (listed.where(simple).withColumn("_files", parse_list_literal(F.col(meta))),
+            listed.where(~simple).withColumn("_files", literal_eval_list(F.col(meta))))
+
+
 def manifest_files(listed: DataFrame, meta: str = "list_files_compare") -> DataFrame:
     """every file name recorded in the manifests, flattened.
 
     Simple literals are parsed on the JVM; the others (quotes or escapes in
     a name, tuples, trailing commas, ``None``) go through ``ast.literal_eval`` in a separate branch, so the
-    Python UDF only sees those rows."""
-    simple = simple_list_literal(F.col(meta)) & parse_list_literal(F.col(meta)).isNotNull()
-    fast = listed.where(simple).select("*", F.explode(parse_list_literal(F.col(meta))).alias("file_name"))
-    slow = listed.where(~simple).select("*", F.explode(literal_eval_list(F.col(meta))).alias("file_name"))
-    return fast.unionByName(slow)
+    Python UDF only sees those rows.  ``manifest_rejects`` has the manifests
+    without a list."""
+    fast, slow = _parsed_manifests(listed, meta)
+    return fast.unionByName(slow).select(*listed.columns, F.explode("_files").alias("file_name"))
+
+
+def manifest_rejects(listed: DataFrame, meta: str = "list_files_compare") -> DataFrame:
+    """Manifests whose list is missing (``no_list``) or not a list literal (``bad_list``)."""
+    _, slow = _parsed_manifests(listed, meta)
+    return slow.where(F.col("_files").isNull()).drop("_files").withColumn(
+        "reason", F.when(F.col(meta).isNull(), F.lit("no_list")).otherwise(F.lit("bad_list")))
 
 
 def manifest_count(listed: DataFrame, compat: bool = True) -> DataFrame:

@@ -194,3 +194,54 @@ def test_first_match_against_model(spark):
 class _CountingTableJudge(match.TableJudge):
     """Same answers, but not recognised as a table: goes through the rounds."""
     pass
+
+
+def _asked_twice(spark):
+    """Ten rows of today with two texts, against four of yesterday with two texts."""
+    schema = "row_id long, processo string, jornal string, intimacao string, similar long"
+    cur = spark.createDataFrame([(i, "A", "D J E N", f"t{i % 2}", i) for i in range(10)], schema)
+    prev = spark.createDataFrame([(i, "A", "D J E N", f"p{i % 2}", i) for i in range(4)], schema)
+    return prev, cur
+
+
+def test_stored_judge_asks_each_question_once(spark, tmp_path):
+    """Calls are the distinct requests, over rounds, runs and objects."""
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def judge(requests):
+        import uuid
+        for r in requests:
+            (log / uuid.uuid4().hex).write_text(r)
+        return ["{\"same_story\": false, \"same_goal\": false, \"same_litigation\": false}"] * len(requests)
+    prev, cur = _asked_twice(spark)
+    store = str(tmp_path / "store")
+    first = match.StoredJudge(match.CallableJudge(judge), store)
+    assert match.first_matches(prev, cur, first).count() == 0
+    texts = [p.read_text() for p in log.iterdir()]
+    assert len(texts) == len(set(texts)) == 4 == first.calls
+    again = match.StoredJudge(match.CallableJudge(judge), store)
+    assert match.first_matches(prev, cur, again).count() == 0
+    assert again.calls == 0 and len(list(log.iterdir())) == 4
+    assert {r.attempts for r in again.answers(spark).collect()} == {1}
+
+
+def test_stored_judge_tries_failures_again_and_keeps_a_budget(spark, tmp_path):
+    def fails(requests):
+        raise OSError("no line")
+
+    def agrees(requests):
+        return ["{\"same_story\": true, \"same_goal\": true, \"same_litigation\": true}"] * len(requests)
+    prev, cur = _asked_twice(spark)
+    store = str(tmp_path / "store")
+    for run in (1, 2):
+        bad = match.StoredJudge(match.CallableJudge(fails), store, max_attempts=2)
+        assert match.first_matches(prev.limit(1), cur, bad).count() == 0
+        assert bad.calls == 2 and {(r.attempts, r.response) for r in bad.answers(spark).collect()} == {(run, None)}
+    done = match.StoredJudge(match.CallableJudge(agrees), store, max_attempts=2)
+    assert match.first_matches(prev.limit(1), cur, done).count() == 0 and done.calls == 0
+    good = match.StoredJudge(match.CallableJudge(agrees), store, max_attempts=3)
+    assert match.first_matches(prev.limit(1), cur, good).count() == 10 and good.calls == 2
+    short = match.StoredJudge(match.CallableJudge(agrees), str(tmp_path / "other"), budget=1)
+    asked = match.asked_questions(prev.limit(1), cur, short).collect()
+    assert short.calls == 1 and sorted(r.error or "" for r in asked) == [""] * 5 + ["budget"] * 5

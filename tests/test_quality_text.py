@@ -28,3 +28,31 @@ def test_scalar_helpers(spark):
     assert r.i == "2024-06-21 10:11:12"
     assert r.l == ["a.xlsx", "b c.xlsx"]
     assert r.k == ["ab", "cd_e1", "é9"]
+
+
+def test_words_only(spark):
+    from docket.functions.text import words_only
+    rows = [("The  Judge, the JUDGE; orders\u00a0\"payment\" (now) x2 e-mail don't Código", "judge judge orders payment código"),
+            ("", ""), (None, None), ("12 the of !!", "")]
+    df = spark.createDataFrame(rows, "t string, e string").withColumn("w", words_only(F.col("t")))
+    assert [(r.w, r.e) for r in df.collect() if r.w != r.e] == []
+
+
+def test_pair_cosine_of_normalised_texts(spark):
+    from docket.functions.text import words_only
+    from docket.operators.similarity import tfidf_cosine
+    df = spark.createDataFrame([(1, "The payment of the fee", "PAYMENT: a fee!"), (2, "the of", "the of")],
+                               "i int, a string, b string")
+    got = {r.i: r.cosine for r in tfidf_cosine(df, ["i"], "a", "b", normalize=words_only).collect()}
+    assert abs(got[1] - 1) < 1e-12 and got[2] is None
+
+
+def test_manifests_without_a_list_are_rejected(spark):
+    from docket.sources import landing
+    rows = [("a", "['x', 'y']"), ("b", None), ("c", "['x'"), ("d", "{'x': 1}"), ("e", "('p', None)"), ("f", "['it\\'s']"),
+            ("g", "[]"), ("h", "os.system('x')")]
+    df = spark.createDataFrame(rows, "name string, list_files_compare string")
+    assert sorted((r.name, r.file_name or "") for r in landing.manifest_files(df).collect()) == [
+        ("a", "x"), ("a", "y"), ("e", ""), ("e", "p"), ("f", "it's")]
+    assert sorted((r.name, r.reason) for r in landing.manifest_rejects(df).collect()) == [
+        ("b", "no_list"), ("c", "bad_list"), ("d", "bad_list"), ("h", "bad_list")]

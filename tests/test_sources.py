@@ -78,9 +78,66 @@ def test_landing_is_stored_once(spark, tmp_path):
     assert sorted((str(r.order), r.reason) for r in ref.collect()) == [
         ("1", "same_order"), ("1", "same_order"), ("2", "exists"), ("4", "exists"), ("None", "no_order")]
     place = str(tmp_path / "catalog")
-    landing.commit_landing(acc, place)
-    acc, ref = landing.plan_landing(batch, landing.stored_catalog(spark, place), "inbox", "me")
-    assert acc.count() == 0 and ref.count() == batch.count()
+    assert landing.commit_landing(acc, place, 0)
+    version, catalog = landing.stored_catalog(spark, place)
+    acc, ref = landing.plan_landing(batch, catalog, "inbox", "me")
+    assert version == 1 and acc.count() == 0 and ref.count() == batch.count()
+
+
+def test_two_writers_one_winner(spark, tmp_path):
+    """Two plans against the same state: the second commit is refused, and its
+    batch, planned again, gets ``exists`` where the first has won."""
+    place = str(tmp_path / "catalog")
+    one, two = _batch(spark, ["a", "b"]), _batch(spark, ["b", "c"])
+    version, catalog = landing.stored_catalog(spark, place)
+    plans = [landing.plan_landing(b, catalog, "inbox", "me")[0] for b in (one, two)]
+    assert version == 0 and [p.count() for p in plans] == [2, 2]
+    assert landing.commit_landing(plans[0], place, version)
+    assert not landing.commit_landing(plans[1], place, version)
+    assert sorted(r.path for r in landing.stored_catalog(spark, place)[1].collect()) == ["inbox/a", "inbox/b"]
+    version, refused = landing.land(two, place, "inbox", "me", planned_at=(version, catalog))
+    assert version == 2 and [(r.path, r.reason) for r in refused.collect()] == [("inbox/b", "exists")]
+    version, catalog = landing.stored_catalog(spark, place)
+    assert version == 2 and sorted(r.path for r in catalog.collect()) == ["inbox/a", "inbox/b", "inbox/c"]
+    assert {bytes(r.content) for r in catalog.collect()} == {b"%PDF-1.4 x"}
+
+
+def test_html_after_much_space(spark):
+    kinds = spark.createDataFrame([(b" " * 5000 + b"<!DOCTYPE html><p>",), (b" " * 5000 + b"x<html>",)], "content binary")
+    assert [r.t for r in kinds.select(landing.content_type(F.col("content")).alias("t")).collect()] == [
+        "text/html", "text/plain"]
+
+
+def test_day_read_under_a_schema(spark, tmp_path):
+    """Good and rejected lines are all lines; one day reads its folder alone."""
+    lines = {1: ["row_id,processo,valor", "1,P1,2.5", '2,"P,2",3', "x,P3,1", "4,P4", "5,P5,1,2", ",P6,1", "7,,1", "8,P8,"],
+             2: ["row_id,processo,valor", "1,P1,abc"]}
+    for day, text in lines.items():
+        (tmp_path / f"dia={day}").mkdir()
+        (tmp_path / f"dia={day}" / "f.csv").write_text("\n".join(text) + "\n")
+    schema = "row_id long, processo string, valor double"
+    good, bad = days.read_days_checked(spark, str(tmp_path), schema)
+    assert sorted((r.dia, r.row_id, r.processo, r.valor) for r in good.collect()) == [
+        (1, 1, "P1", 2.5), (1, 2, "P,2", 3.0), (1, 8, "P8", None)]
+    assert sorted((r.dia, r.reason, r.line) for r in bad.collect() if r.line) == [
+        (1, "bad_line", "4,P4"), (1, "bad_line", "5,P5,1,2"), (1, "bad_line", "x,P3,1"), (2, "bad_line", "1,P1,abc")]
+    assert sorted(r.reason for r in bad.collect()) == ["bad_line"] * 4 + ["null_key", "null_row_id"]
+    assert good.count() + bad.count() == 9
+    one, rest = days.read_days_checked(spark, str(tmp_path), schema, days=[2])
+    assert one.count() == 0 and rest.count() == 1
+    assert "PartitionFilters: [" in (plan := rest._jdf.queryExecution().executedPlan().toString())
+    assert "dia" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_checked_sink_can_be_repeated(spark, tmp_path):
+    place = str(tmp_path / "out")
+    rows = [(i, i % 2, "P", "t", -1 if i % 5 == 0 else i - i % 3) for i in range(30)]
+    lab = spark.createDataFrame(rows, "row_id long, dia long, processo string, intimacao string, similar long")
+    told = days.write_checked(lab, place)
+    assert told == {"rows": 30, "decided": 24, "undecided": 6,
+                    "removed": sum(s >= 0 and s != i for i, *_, s in rows), "representatives": sum(s == i for i, *_, s in rows)}
+    assert days.write_checked(lab.where("dia = 1"), place)["rows"] == 15
+    assert sorted(r.row_id for r in days.read_days(spark, place).collect()) == list(range(30))
 
 
 def _batch(spark, names):
@@ -89,13 +146,13 @@ def _batch(spark, names):
 
 
 def test_landing_set_based_and_stop_at_first(spark):
-    catalog = spark.createDataFrame([("CBS/a.xlsx",), ("CBS/b.xlsx",), ("CBS/c.xlsx",)], "path string")
+    catalog = spark.createDataFrame([("inbox/a.xlsx",), ("inbox/b.xlsx",), ("inbox/c.xlsx",)], "path string")
     batch = _batch(spark, ["x.xlsx", "b.xlsx", "y.xlsx", "x.xlsx"])
-    acc, ref = landing.plan_landing(batch, catalog, "CBS", "ana")
+    acc, ref = landing.plan_landing(batch, catalog, "inbox", "ana")
     assert sorted(r.name for r in acc.collect()) == ["x.xlsx", "y.xlsx"]
     assert sorted(r.order for r in ref.collect()) == [1, 3]
     assert {r.content_type for r in acc.collect()} == {"application/pdf"}
-    acc, ref = landing.plan_landing(batch, catalog, "CBS", "ana", stop_at_first=True)
+    acc, ref = landing.plan_landing(batch, catalog, "inbox", "ana", stop_at_first=True)
     assert [r.order for r in acc.collect()] == [0]
     assert [r.order for r in ref.collect()] == [1]
 
