@@ -257,6 +257,24 @@ def _group_facts(work: DataFrame, g: list[str], r: str, cfg: TriageConfig) -> Da
     return _cut(facts.withColumn("_all", few).drop("_run", "_others"))
 
 
+def _leading_heads(heads: DataFrame, edges: DataFrame, g: list[str], r: str) -> DataFrame:
+    """``_leaders`` of each group whose heads do not all lead: earlier heads
+    with an edge to each head, then the greedy fold over the (at most
+    ``wide_heads``) heads of the group in id order."""
+    nobody = F.lit(None).cast("bigint")
+    nb = (heads.where(~F.col("_all")).select(*g, F.col("_h").alias(r), nobody.alias("_h"))
+          .unionByName(edges.where(~F.col("_all") & (F.col(r) <= F.col("_last")))
+                       .select(*g, r, F.col("_h").cast("bigint")))
+          .repartition(*g).groupBy(*g, r).agg(F.collect_list("_h").alias("_nb")))
+    return (nb.groupBy(*g)
+            .agg(F.sort_array(F.collect_list(F.struct(F.col(r).alias("i"), F.col("_nb").alias("nb"))))
+                 .alias("_heads"))
+            .select(*g, F.aggregate(
+                "_heads", F.array().cast("array<bigint>"),
+                lambda acc, x: F.when(F.exists(x["nb"], lambda n: F.array_contains(acc, n)), acc)
+                .otherwise(F.concat(acc, F.array(x["i"].cast("bigint"))))).alias("_leaders")))
+
+
 def leader_clusters(rows: DataFrame, texts: DataFrame, cfg: TriageConfig) -> DataFrame:
     """Greedy leaders over the rows from ``k`` on.
 
@@ -290,11 +308,14 @@ def leader_clusters(rows: DataFrame, texts: DataFrame, cfg: TriageConfig) -> Dat
     rnd = 0
     while not work.isEmpty():
         facts = _group_facts(work, g, r, cfg)
-        whole = facts.where(F.col("_leaf").isNotNull() & F.col("_other").isNull()).select(*g)
-        out = _add(out, _cut_answers(work.join(whole, g, "left_semi").select(d, r, F.col(r).alias("similar"))))
-        work = work.join(whole, g, "left_anti")
-        facts = facts.where(F.col("_leaf").isNull() | F.col("_other").isNotNull())
-        if facts.isEmpty():
+        alike = F.col("_leaf").isNotNull() & F.col("_other").isNull()
+        any_whole, any_rest = facts.agg(F.max(alike), F.max(~alike)).first()
+        if any_whole:
+            whole = facts.where(alike).select(*g)
+            out = _add(out, _cut_answers(work.join(whole, g, "left_semi").select(d, r, F.col(r).alias("similar"))))
+            work = work.join(whole, g, "left_anti")
+            facts = facts.where(~alike)
+        if not any_rest:
             break
         heads = _heads(work, g, r, rnd, cfg).withColumn("_all", F.lit(False))
         if rnd:
@@ -310,28 +331,15 @@ def leader_clusters(rows: DataFrame, texts: DataFrame, cfg: TriageConfig) -> Dat
         # are filtered before the diff runs.
         edges = _cut(_judged(met, heads, texts, g, cfg).where(edge(F.col("_h_text"), F.col(t)))
                      .select(*g, "_h", r).join(heads.select(d, "_h", "_last", "_all"), [d, "_h"]))
-        # Earlier heads with an edge to each head, then the greedy fold over
-        # the (at most cfg.wide_heads) heads of the group in id order.
-        nobody = F.lit(None).cast("bigint")
-        nb = (heads.where(~F.col("_all")).select(*g, F.col("_h").alias(r), nobody.alias("_h"))
-              .unionByName(edges.where(~F.col("_all") & (F.col(r) <= F.col("_last")))
-                           .select(*g, r, F.col("_h").cast("bigint")))
-              .repartition(*g).groupBy(*g, r).agg(F.collect_list("_h").alias("_nb")))
-        leaders = (nb.groupBy(*g)
-                   .agg(F.sort_array(F.collect_list(F.struct(F.col(r).alias("i"), F.col("_nb").alias("nb"))))
-                        .alias("_heads"))
-                   .select(*g, F.aggregate(
-                       "_heads", F.array().cast("array<bigint>"),
-                       lambda acc, x: F.when(F.exists(x["nb"], lambda n: F.array_contains(acc, n)), acc)
-                       .otherwise(F.concat(acc, F.array(x["i"].cast("bigint"))))).alias("_leaders")))
         # A row goes to its smallest leading head; a leading head has no
         # smaller one but itself.  So every head is settled by its round, and
         # the decided rows are all that leave the work set.
         chosen = edges.select(*g, "_h", r, "_all").unionByName(
             heads.select(*g, "_h", F.col("_h").alias(r), "_all"))
-        leading = F.col("_all") | F.array_contains("_leaders", F.col("_h").cast("bigint"))
-        decided = _cut_answers(chosen.join(leaders, g, "left").where(leading)
-                               .groupBy(d, r).agg(F.min("_h").alias("similar")))
+        if rnd:  # the single heads of the first round all lead
+            leading = F.col("_all") | F.array_contains("_leaders", F.col("_h").cast("bigint"))
+            chosen = chosen.join(_leading_heads(heads, edges, g, r), g, "left").where(leading)
+        decided = _cut_answers(chosen.groupBy(d, r).agg(F.min("_h").alias("similar")))
         out = _add(out, decided)
         work = _cut(work.join(decided.select(d, r), [d, r], "left_anti"))
         rnd += 1
