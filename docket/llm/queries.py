@@ -71,7 +71,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations from the view of each participant, whole up to 1,024 turns."""
+    """All conversations from the view of each participant, in parts of 1,024 turns."""
     return perspectives.rotate(table(spark, sf_dir, "conversations"), part_turns=1024).withColumn(
         "mask", perspectives.mask_text(F.col("mask")))
 
@@ -177,8 +177,8 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM x""",
     "op9_perspectives": """
 WITH t AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text, floor(turn / 64)::BIGINT AS part,
-         count(*) AS k FROM conversations GROUP BY ALL),
+  SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // 1024 AS part
+  FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text, count(*) AS k FROM conversations GROUP BY ALL)),
 v AS (
   SELECT t.*, s.role AS speaker,
          CASE WHEN t.role = s.role THEN '<|assistant|>' || chr(10)
@@ -188,7 +188,7 @@ v AS (
     ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 p AS (
   SELECT *, sum(length(head) + length(text) + 8) OVER (
-           PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop
+           PARTITION BY conv_id, speaker ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop
   FROM v)
 SELECT conv_id, speaker, part, sum(k)::BIGINT AS n_rows, count(*) AS n_turns,
        count(*) FILTER (role = speaker) AS n_own,

@@ -30,16 +30,16 @@ def test_quality_held_out(spark):
     assert sum((r.quality_score >= 0.5) == (r.quality == 1) for r in rows) / len(rows) > 0.95
 
 
-def test_co_training_uses_the_pool():
-    """Few labels; each view alone knows half of the signs."""
-    rng = np.random.default_rng(1)
-    y = rng.integers(0, 2, 600).astype(float)
-    def view():
-        col = np.where(y[:, None] > 0, rng.integers(0, 20, (600, 6)), rng.integers(10, 30, (600, 6)))
-        return cotraining.Rows(np.repeat(np.arange(600), 6), col.reshape(-1), np.full(3600, 0.4), 600, 30)
-    views, label = [view(), view()], np.where(np.arange(600) < 40, y, np.nan)
-    model = cotraining.co_train(views, label, np.arange(600) % 4 == 0)
-    assert np.mean((cotraining.combined(model, views)[2] > 0.5) == (y > 0.5)) > 0.95
+def test_labelled_rows_are_bounded(spark, monkeypatch):
+    """One labelled id with very many texts does not pass the sample."""
+    rows = [(1, f"text number {i} of the hot id", "s", "x", 20) for i in range(3000)]
+    rows += [(i, f"some text {i}", "s", "x", 10) for i in range(2, 60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars int")
+    y = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    seen, features = [], cotraining._features
+    monkeypatch.setattr(cotraining, "_features", lambda *a: seen.append(features(*a)) or seen[-1])
+    cotraining.fit(d, y, ["quality"], sample=64, pool=64, rounds=1)
+    assert 20 <= len(seen[0]) <= 128
 
 
 def test_quality_edges(spark, edge, empty):
@@ -173,6 +173,19 @@ def _render(turns, speaker):
     return text, spans
 
 
+def _dialogues(rows):
+    """{(conversation, speaker): its parts in order}."""
+    out = {}
+    for r in sorted(rows, key=lambda r: r.part or 0):
+        out.setdefault((r.conv_id, r.speaker), []).append(r)
+    return out
+
+
+def _joined(parts):
+    """The parts put together: text and mask."""
+    return "".join(r.rendered for r in parts), [tuple(m) for r in parts for m in r["mask"]]
+
+
 @pytest.mark.parametrize("most_rows", [10_000, 1])
 def test_perspectives(spark, most_rows):
     rows = [(1, t, r, x) for t, r, x in [(0, "system", "Be kind."), (1, "Ana", "Olá"), (2, "Bo", "Hi 😀"),
@@ -183,11 +196,11 @@ def test_perspectives(spark, most_rows):
     assert sorted((str(r.conv_id), r.speaker, r.part) for r in got) == sorted(
         [("1", "Ana", 0), ("1", "Bo", 0), ("None", "a", None)] + [("2", s, p) for s in "ab" for p in range(3)],
         key=str)
-    for r in got:
-        turns = sorted({(t, w, x or "") for c, t, w, x in rows if c == r.conv_id
-                        and (t is None or t // 64 == r.part)}, key=lambda t: (t[0] or 0, t[1] or "", t[2]))
-        assert (r.rendered, [tuple(m) for m in r["mask"]]) == _render(turns, r.speaker)
-        assert r.n_rows == sum(c == r.conv_id and (t is None or t // 64 == r.part) for c, t, _, _ in rows)
+    for (c, speaker), parts in _dialogues(got).items():
+        turns = sorted({(t, w, x or "") for i, t, w, x in rows if i == c},
+                       key=lambda t: (t[0] or 0, t[1] or "", t[2]))
+        assert _joined(parts) == _render(turns, speaker)
+        assert sum(r.n_rows for r in parts) == sum(i == c for i, *_ in rows)
     assert perspectives.rotate(df.where("false")).count() == 0
 
 
@@ -204,7 +217,7 @@ def test_perspectives_sparse_turns_stay_whole(spark):
 
 @pytest.mark.parametrize("turns", ["equal", "null", "dense"])
 def test_perspectives_long_conversation(spark, turns):
-    """Parts of bounded size, by rank, each with the context before it."""
+    """Parts of bounded size, by rank, that together are the whole dialogue."""
     at = {"equal": lambda t: 5, "null": lambda t: None, "dense": lambda t: t}[turns]
     rows = [(1, at(t), "system" if t in (0, 15) else "ab"[t % 2], f"t{t:03}") for t in range(45)]
     df = spark.createDataFrame(rows * 3 + [(2, 90, "a", "short")], "conv_id long, turn long, role string, text string")
@@ -212,11 +225,28 @@ def test_perspectives_long_conversation(spark, turns):
     order = sorted(rows, key=lambda x: (x[1] or 0, x[2], x[3]))
     assert sorted((r.conv_id, r.speaker, r.part) for r in got) == sorted(
         [(1, s, p) for s in "ab" for p in range(5)] + [(2, "a", 0)])
-    for r in (r for r in got if r.conv_id == 1):
-        own = order[10 * r.part:10 * r.part + 10]
-        before = [x for x in order[:10 * r.part] if x[2] == "system"]
-        assert (r.n_rows, r.n_turns) == (3 * len(own), len(own))
-        assert (r.rendered, [tuple(m) for m in r["mask"]]) == _render([x[1:] for x in before + own], r.speaker)
+    for (c, speaker), parts in _dialogues(got).items():
+        if c == 1:
+            assert [(r.n_rows, r.n_turns) for r in parts] == [(30, 10)] * 4 + [(15, 5)]
+            assert _joined(parts) == _render([x[1:] for x in order], speaker)
+
+
+def test_perspectives_of_very_many_and_very_long_turns(spark):
+    """1,500 turns by the query's parameters, against its SQL; a turn of 300,000 characters."""
+    import duckdb
+    rows = [(1, t, "abc"[t % 3], f"turn {t} 😀") for t in range(1500)] + [(2, 0, "a", "long " * 60_000), (2, 1, "b", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = perspectives.rotate(df, part_turns=1024).collect()
+    for (c, speaker), parts in _dialogues(got).items():
+        assert _joined(parts) == _render([x[1:] for x in rows if x[0] == c], speaker)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    asked = con.sql(queries.ORACLES["op9_perspectives"])
+    told = [tuple(dict(zip(asked.columns, r))[c] for c in ("conv_id", "speaker", "part", "n_rows", "rendered", "mask"))
+            for r in asked.fetchall()]
+    assert sorted(told) == sorted((r.conv_id, r.speaker, r.part, r.n_rows, r.rendered,
+                                   ",".join(f"{a}-{b}" for a, b in r["mask"])) for r in got)
 
 
 def test_pipeline(spark, docs, tmp_path):
