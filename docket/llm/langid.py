@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .class_lm import split_number
-from .common import series_udf, short_batches
+from .common import series_udf, short_batches, stage
 
 UNKNOWN = "und"
-MAX_LANGUAGES = 5_000
+#: Languages whose profiles are held at a time, in the driver or a task.
+BLOCK_LANGUAGES = 2_000
 WORDS = re.compile(r"[^\W\d_]+")
 SHIFT = np.int64(1 << 21)  # above every code point
 
@@ -92,20 +93,25 @@ def count_grams(train: DataFrame, text: str, lang: str, flush: int = 500_000) ->
     return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def profiles(train: DataFrame, profile_size: int, text: str = "text", lang: str = "lang") -> dict:
-    """{language: its n-grams in order}."""
+def profiles(train: DataFrame, profile_size: int, text: str = "text", lang: str = "lang",
+             block: int = BLOCK_LANGUAGES):
+    """{language: its n-grams in order}, ``block`` languages at a time, in order
+    of their names."""
     counts = count_grams(train, text, lang).withColumn("cell", F.pmod(F.xxhash64("gram"), F.lit(64)))
     order = [F.desc("n"), F.asc("gram")]
     for keys in (["lang", "cell"], ["lang"]):
         w = Window.partitionBy(*keys).orderBy(*order)
         counts = counts.withColumn("place", F.row_number().over(w)).where(
             F.col("place") <= profile_size).drop("place")
-    names = train.select(lang).distinct().limit(MAX_LANGUAGES + 1).count()
-    if names > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    got = counts.select("lang", "gram", "n").toArrow().to_pandas()
-    return {name: g.sort_values(["n", "gram"], ascending=[False, True])["gram"].to_numpy(np.int64)
-            for name, g in got.groupby("lang")}
+    # One row per language, so this window stays small.
+    number = F.floor((F.row_number().over(Window.orderBy("lang")) - 1) / block)
+    counts = stage(counts, "grams")
+    names = stage(counts.select("lang").distinct().withColumn("block", number), "languages")
+    for i in range((names.agg(F.max("block")).first()[0] or 0) + 1):
+        held = counts.join(names.where(F.col("block") == i), "lang").select("lang", "gram", "n")
+        got = held.toArrow().to_pandas()  # block x profile_size rows at most
+        yield {name: g.sort_values(["n", "gram"], ascending=[False, True])["gram"].to_numpy(np.int64)
+               for name, g in got.groupby("lang")}
 
 
 def distances(own: np.ndarray, index: list, profile_size: int) -> np.ndarray:
@@ -120,32 +126,42 @@ def distances(own: np.ndarray, index: list, profile_size: int) -> np.ndarray:
     return out
 
 
-def predictor(found: dict, profile_size: int):
-    """Column function: struct (lang_pred, score) of a text."""
-    names = sorted(found)
-
+def predictor(blocks: list, profile_size: int):
+    """Column function: struct (lang_pred, score) of a text.  ``blocks`` are
+    broadcast blocks of profiles; a task holds one at a time."""
     def run(batches):
-        index = []
-        for name in names:
-            order = np.argsort(found[name], kind="stable")
-            index.append((found[name][order], order))
         for texts in batches:
-            rows = []
-            for t in texts:
-                words = Counter(_lower_words(t)) if names else None
-                if not words:
-                    rows.append((UNKNOWN, 0.0))
-                    continue
-                own = ranked(*gram_counts(words), profile_size)
-                d = distances(own, index, profile_size)
-                best = int(np.argmin(d))
-                rows.append((names[best], 1.0 - float(d[best]) / (profile_size * len(own))))
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+            words = [Counter(_lower_words(t)) for t in texts]
+            own = [ranked(*gram_counts(w), profile_size) if w else None for w in words]
+            best = [(None, UNKNOWN)] * len(own)
+            for found in map(_held, blocks):
+                names = sorted(found)
+                index = []
+                for name in names:
+                    order = np.argsort(found[name], kind="stable")
+                    index.append((found[name][order], order))
+                for i, grams in enumerate(own if names else []):
+                    if grams is not None:
+                        d = distances(grams, index, profile_size)
+                        at = int(np.argmin(d))
+                        if best[i][0] is None or d[at] < best[i][0]:  # ties: the first name
+                            best[i] = float(d[at]), names[at]
+                if len(blocks) > 1:
+                    del found, index
+            yield pd.DataFrame([(name, 0.0 if d is None else 1.0 - d / (profile_size * len(grams)))
+                                for (d, name), grams in zip(best, own)], columns=["lang_pred", "score"])
+
+    def _held(block):
+        value = block.value
+        if len(blocks) > 1:
+            block.__dict__.pop("_value", None)
+        return value
     return series_udf(run, "lang_pred string, score double")
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-             folds: int = 4, held_fold: int = 2, profile_size: int = 400) -> DataFrame:
+             folds: int = 4, held_fold: int = 2, profile_size: int = 400,
+             block: int = BLOCK_LANGUAGES) -> DataFrame:
     """Learn from the rows outside the held-out fold that name a language and
     predict all: ``doc_id``, ``held_out``, ``lang_pred``, ``score`` (1 less the
     distance as a share of the largest possible)."""
@@ -153,6 +169,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
                        F.col(lang).cast("string").alias("lang"),
                        (split_number(F.col(doc_id), folds) == held_fold).alias("held_out"))
     short_batches()
-    found = profiles(rows.where(~F.col("held_out") & F.col("lang").isNotNull()), profile_size)
-    return rows.withColumn("p", predictor(found, profile_size)(F.col("text"))).select(
+    train = rows.where(~F.col("held_out") & F.col("lang").isNotNull())
+    blocks = [docs.sparkSession.sparkContext.broadcast(found) for found in profiles(train, profile_size, block=block)]
+    return rows.withColumn("p", predictor(blocks, profile_size)(F.col("text"))).select(
         "doc_id", "held_out", "p.lang_pred", "p.score")

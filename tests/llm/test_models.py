@@ -176,3 +176,12 @@ def test_language_edges(spark, edge, empty):
     assert langid.identify(empty).count() == 0
     nothing = langid.identify(edge.selectExpr("doc_id", "text", "cast(null as string) lang"))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
+
+
+def test_languages_in_blocks(spark):
+    """Any number of languages, some at a time: the same predictions."""
+    rows = [(i, f"{'abcdefghij'[i % 10] * 3} {'klmnopqrst'[i % 10]}x common words {i}", f"l{i % 10}") for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = sorted(tuple(r) for r in langid.identify(d, profile_size=40).collect())
+    assert sorted(tuple(r) for r in langid.identify(d, profile_size=40, block=3).collect()) == whole
+    assert len({r[2] for r in whole}) == 10
