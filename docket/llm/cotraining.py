@@ -146,40 +146,6 @@ def calibrate(z: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[float, fl
     return max(float(a), 0.0), float(c)
 
 
-def co_train(views: list[Rows], label: np.ndarray, held: np.ndarray, rounds: int = 4,
-             per_round: float = 0.05, sure: float = 0.95) -> dict:
-    """Fit both views on rows at hand.  ``label`` is 0 or 1, NaN for the pool; ``held`` marks
-    the labelled rows kept for calibration."""
-    known = ~np.isnan(label)
-    train, test = np.flatnonzero(known & ~held), np.flatnonzero(known & held)
-    pool = np.flatnonzero(~known)
-    share = float(label[known].mean()) if known.any() else 0.5
-    if len(np.unique(label[train])) < 2 or len(np.unique(label[test])) < 2:
-        return {"share": share}
-    sets = [(train, label[train]), (train, label[train])]
-    most = max(1, int(per_round * len(pool)))
-    for r in range(rounds + 1):
-        fits = [logistic(v.take(i), y) for v, (i, y) in zip(views, sets)]
-        if r == rounds or not len(pool):
-            break
-        used = np.zeros(views[0].n, bool)
-        for i, (v, (w, b)) in enumerate(zip(views, fits)):
-            p = sigmoid(v.take(pool).dot(w) + b)
-            new, labels = [], []
-            for value, conf in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-conf, kind="stable")[:most]
-                best = best[conf[best] >= sure]
-                new.append(pool[best])
-                labels.append(np.full(len(best), value))
-            other = 1 - i
-            sets[other] = (np.concatenate([sets[other][0], *new]),
-                           np.concatenate([sets[other][1], *labels]))
-            used[np.concatenate(new)] = True
-        pool = pool[~used[pool]]
-    scale = [calibrate(v.take(test).dot(w) + b, label[test]) for v, (w, b) in zip(views, fits)]
-    return {"share": share, "fits": fits, "scale": scale}
-
-
 def combined(model: dict, views: list[Rows]) -> list[np.ndarray]:
     """(text score, metadata score, combined score)."""
     if "fits" not in model:
@@ -295,7 +261,10 @@ def fit(docs: DataFrame, labels: DataFrame, targets: list[str], doc_id: str = "d
     # ``drawn`` has at most 2 * sample rows, so it may travel to every task.
     rows = docs.select(F.col(doc_id).alias("i"), F.xxhash64(doc_id, "text").alias("h"), *COLUMNS).join(
         F.broadcast(drawn), "i", "left")
-    got = _features(rows.where(" or ".join(f"{y} is not null" for y in ys)), ys)
+    # An id may have any number of rows: rows are bounded after the join, by id and text.
+    labelled = rows.where(" or ".join(f"{y} is not null" for y in ys)).dropDuplicates(["i", "h"])
+    few = labelled.where(_draw(F.col("h"), sample, labelled.count())).limit(2 * sample)
+    got = _features(few, ys)
     held = np.array([zlib.crc32(repr(i).encode()) % 5 == 0 for i in got["i"].tolist()], bool)
     models, sets, tests = {}, {}, {}
     for k, y in enumerate(ys):
