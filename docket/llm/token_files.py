@@ -58,6 +58,7 @@ def pack(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
     room = np.minimum(n, (at // block + 1) * block) - at
     best = np.zeros(n, np.int8)
     top = int(ids.max()).bit_length() if n else 0
+    short = ids.astype(np.uint32) if top <= 32 else ids
     for sel in range(len(COUNTS) - 1, 0, -1):  # the last that fits packs most
         count, width = COUNTS[sel], WIDTHS[sel]
         if count > block:
@@ -65,7 +66,12 @@ def pack(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
         if width >= top:
             fits = room >= count
         else:
-            bad = np.where(ids >= np.uint64(1 << width), at, n)
+            large = np.flatnonzero(short >= short.dtype.type(1 << width))
+            runs = np.diff(large, prepend=-1, append=n) - 1
+            if runs.max() < count:
+                continue  # no run of so many small ids
+            bad = np.full(n, n, np.int64)
+            bad[large] = large
             clear = np.minimum.accumulate(bad[::-1])[::-1] - at
             fits = np.minimum(room, clear) >= count
         best[fits] = sel

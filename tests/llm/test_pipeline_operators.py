@@ -226,3 +226,44 @@ def test_token_files_edges(spark, edge, empty):
     assert [r.start for r in rows[1:]] == list(np.cumsum([r.n_tokens for r in rows])[:-1])
     assert next(r for r in rows if r.doc_id == 1).n_tokens == 1
     assert token_files.round_trip(empty, queries.tokenizer_path()).count() == 0
+
+
+def test_encoder_on_words_of_any_character():
+    """Curly quotes, CJK, marks that compose, odd cases: as the library encodes them."""
+
+    from tokenizers import Tokenizer
+    path = queries.tokenizer_path()
+    tok, enc = Tokenizer.from_file(path), token_files.Encoder(path)
+    texts = ["it's “quoted” don’t 'S 've' '", "日本語 テキスト, ok", "é é İstanbul ISTANBUL ΑΣ ΣΑΣ",
+             "a b c d\x85e x\x1cy\x00z", "<|endoftext|> x<|startoftext|>y < | <|", "ŉ ſ × ÷ ÉÀÖØßÿŸž ǅ",
+             "😀😀 a😀b 12٣4 ½ ²", "'", "x'", "́ a", "ﬁ K Å", "tab\tnew\nline\x0bvt\x0cff\rcr", "", None]
+    rng = random.Random(1)
+    pool = [*"aAeEzZ019 .,'<|>!\t\n", "é", "É", "ß", "“", "’", "日", "😀", "́", " ", "İ", "ſ", "×", "Σ"]
+    texts += ["".join(rng.choices(pool, k=rng.randint(1, 40))) for _ in range(1500)]
+    for t, ids in zip(texts, enc.encode(texts, group_chars=500)):
+        assert list(ids) == tok.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_a_hot_id_goes_to_several_files(spark, tmp_path):
+    """Rows of one id are dealt by the hashes of their texts, in one order."""
+    rows = [(7, f"text {i} of the hot id " * 5) for i in range(600)] + [(i, "another text " * 5) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    place = str(tmp_path / "files")
+    token_files.write_tokens(d, place, queries.tokenizer_path(), shard_bytes=8_000)
+    files = spark.read.parquet(place)
+    hot = files.where("array_contains(doc_ids, 7)").select("shard").distinct().count()
+    assert hot > 4
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_tokens(spark, place).collect())
+    assert [g[1] for g in got] == sorted(r[0] for r in rows)
+    assert [g[0] for g in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
+
+
+def test_packing_skips_no_run_of_small_ids():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, top = int(rng.integers(0, 600)), int(rng.choice([1, 2, 5, 300, 70_000, 2 ** 33, 2 ** 61]))
+        ids = np.where(rng.random(n) < 0.8, rng.integers(0, 3, n), rng.integers(0, top, n)).astype(np.uint64)
+        packed = token_files.pack(ids)
+        assert (token_files.unpack(packed) == ids).all()
+        if top <= 5 and n >= 120:
+            assert len(packed) < 2 * n + 200
