@@ -108,6 +108,25 @@ def test_rounds_hold_no_text(spark, watched):
     assert watched["columns"] and not {c for c in watched["columns"] if "text" in c or c == "intimacao"} - {"_no_text"}
 
 
+def test_texts_are_joined_in_their_buckets(spark):
+    """Rows' texts reach the diff from a bucketed scan, without an exchange."""
+    rows = [(i, 0, f"P{i % 5}", f"Vara Civel de {MARKER} NOME{i} x") for i in range(50)]
+    texts = nearcopy.residue_table(spark.createDataFrame(rows, SCHEMA), CFG)
+    work, g = texts.select("dia", "processo", "row_id"), ["dia", "processo"]
+    heads = nearcopy._heads(work, g, "row_id", 0, CFG)
+    met = work.join(heads.drop("_last"), g).where(F.col("row_id") > F.col("_h"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = nearcopy._judged(met, heads, texts, g, CFG)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The scans of head and row texts come last, with no exchange above them.
+    tail = plan.rsplit("Exchange", 1)[1].splitlines()
+    scans = [line for line in tail if "FileScan" in line and "intimacao" in line]
+    assert len(scans) == 2 and all("Bucketed: true" in line for line in scans)
+
+
 def test_rows_that_all_lead_settle_at_once(spark, watched):
     """1,600 rows of one leaf: one pair a row (the sticky start), no rounds of leaders."""
     rows = [(i, 0, "P", f"Vara {MARKER} Pedido de venda sob o numero {i}") for i in range(1600)]
