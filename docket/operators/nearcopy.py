@@ -94,6 +94,9 @@ def _union_all(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
 # of a hot group stays linear in its rows.
 GROWTH = 64
 
+# Spark's own bound on the buckets of a table.
+MAX_BUCKETS = 100_000
+
 # Answers of this many rounds are merged into one checkpoint, so the plan of
 # the final union does not grow with the number of rounds.
 MERGE_ROUNDS = 16
@@ -108,7 +111,7 @@ def residue_table(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
     d, k_, r, t = cfg.day, cfg.key, cfg.row_id, cfg.text
     name = f"docket_residue_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark)}/{name}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
     # Rows without the marker string skip tokenizing altogether.
     rows = (residue.select(d, k_, r, t)
             .withColumn("_toks", F.when(F.col(t).contains(cfg.marker), py_tokens(F.col(t)))
