@@ -145,9 +145,8 @@ def stored_catalog(spark: SparkSession, catalog_path: str, schema=CATALOG) -> tu
 def commit_landing(accepted: DataFrame, catalog_path: str, version: int) -> bool:
     """Store the accepted files of a plan made against ``version`` of the
     catalog as the next version.  False if another writer has made that
-    version since: nothing of this plan is stored then, and the batch must be
-    planned again.  Files become visible by the commit alone, so a writer that
-    fails half way leaves nothing that is read."""
+    version since: the batch must be planned again.  Files become visible by the
+    commit alone; what a writer wrote without one stays in the folder unread."""
     spark, name = accepted.sparkSession, uuid.uuid4().hex
     accepted.select(*CATALOG_COLUMNS).write.parquet(f"{catalog_path}/data/{name}")
     return _create(spark, f"{catalog_path}/commits/{version + 1:019d}", name)
