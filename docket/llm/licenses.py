@@ -84,14 +84,18 @@ _SOFT = re.compile(r"(?<=[;:])\s+|\n+")
 
 
 def _known():
-    """(name, pattern, open) of each known sentence; an open one goes on to the
-    next known sentence.  Any space may be a soft break, kept as a line feed."""
+    """(name, pattern, open, rest) of each known sentence; an open one goes on to
+    the next known sentence.  Any space may be a soft break, kept as a line feed.
+    ``rest`` are the words after a gap: where they do not follow any more, the
+    sentence need not be looked for, and where they do, its first words find them,
+    so each part of a text is read once however often those are repeated."""
     for name, p in SENTENCES:
         tail = next((t for t in (r"(?: .*)?", ".*") if p.endswith(t)), "")
         p = p.removesuffix(tail)
+        rest = p.rpartition(".*")[2] if ".*" in p else ""
         p = p.replace(".*", ".*?").replace(" ", r"\s")
         end = r"(?=\s|$)" if tail == r"(?: .*)?" else "" if tail else r"[ .!?;:]*(?=\n|$)"
-        yield name, re.compile(p + end, re.DOTALL), bool(tail)
+        yield name, re.compile(p + end, re.DOTALL), bool(tail), rest
 
 
 _KNOWN = list(_known())
@@ -119,10 +123,11 @@ def _sentences(text: str):
 def _read(sentence: str) -> list[str]:
     s = normalise(sentence)
     found = []  # (start, end, name) of the known sentences
-    at = 0
+    at, flat = 0, s.replace("\n", " ")
+    last = {rest: flat.rfind(rest) for *_, rest in _KNOWN if rest}
     while at < len(s):
-        for name, p, goes_on in _KNOWN:
-            if m := p.match(s, at):
+        for name, p, goes_on, rest in _KNOWN:
+            if (not rest or at <= last[rest]) and (m := p.match(s, at)):
                 if found and found[-1][3]:
                     found[-1][1] = at
                 found.append([at, m.end(), name, goes_on])
