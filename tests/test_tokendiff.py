@@ -3,7 +3,7 @@ import random
 
 from hypothesis import given, settings, strategies as st
 
-from docket.functions.tokendiff import first_diffs, marker_edge, token_diff, two_sided
+from docket.functions.tokendiff import first_diffs, two_sided_and_marker, marker_edge, token_diff, two_sided
 from model import MARKER, differ_facts
 
 M = MARKER
@@ -33,6 +33,32 @@ def test_long_lists_with_popular_tokens():
         assert token_diff(a, b, M, 5) == differ_facts(a, b)
 
 
+def test_replace_blocks_with_similar_and_shared_words():
+    rng = random.Random(11)
+    words = ["juntar", "juntada", "juntado", "junta", "autos", "auto", "de", "da", "do", "decide", "decida",
+             "11111", "11112", "aaaaaaaaaa", "aaaaaaaaab", M, "JOSE", "JOSÉ", "日本語文", "日本語字"]
+    for size in (210, 260):
+        for shift in range(1, 8):
+            body = [rng.choice(words) for _ in range(size)]
+            cut = rng.randrange(30)
+            a = " ".join([M, "ANA", *body])
+            b = " ".join([M, "ANA", *["x"] * shift, *body[cut:], *body[:cut]])
+            for left, right in ((a, b), (b, a)):
+                exp = differ_facts(left, right)
+                assert token_diff(left, right, M, 5) == exp
+                assert two_sided_and_marker(left, right, M, 5) == exp[3:]
+
+
+def test_long_replace_block_of_popular_words():
+    rng = random.Random(5)
+    words = [x + y + z for x in "bdfg" for y in "aeiou" for z in ("rm", "lk", "st")]
+    body = [rng.choice(words) for _ in range(6000)]
+    a, b = ["h", M, "ANA", *body], ["h", M, "ANA", "x", "x", *body]
+    assert first_diffs(a, b, count=False)[2] == 3
+    n, _, _ = first_diffs(a, b)
+    assert n % 2 == 0 and n >= 2
+
+
 def test_whitespace_only_is_not_a_change():
     assert token_diff("a  b c", "a b c", M, 5)[:4] == (0, None, None, False)
 
