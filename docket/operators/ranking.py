@@ -6,7 +6,9 @@ a group of more than ``chunk`` rows is cut at quantiles of its own ids (an
 approximate percentile, a partial aggregate: any cut is right, it only has to
 balance), each piece is ranked on its own, and a piece's offset comes from a
 prefix sum over the counts of its group's pieces, at most ``PIECES`` of them
-however the ids are spread.
+however the ids are spread.  A group has a piece for every ``chunk`` of its
+rows, and a row finds its piece by binary search, so a row costs no more in a
+large group than in a small one.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from pyspark.sql import functions as F
 
 DEFAULT_CHUNK = 1 << 16
 PIECES = 1024
-STEP = 32  # of the two-step search among the cuts
 
 
 def _lookup(rows: DataFrame, keys: list[str], table: DataFrame, value: str) -> DataFrame:
@@ -35,19 +36,24 @@ def _cuts(keys: DataFrame, groups: list[str], order: str, chunk: int, pieces: in
     sizes = keys.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.where(F.col("_n") > chunk)
     ranks = [i / pieces for i in range(1, pieces)]
-    at = F.array_distinct(F.percentile_approx(order, ranks, 10 * pieces))
-    cut = _lookup(keys, groups, large, "_n").groupBy(*groups).agg(at.alias("_cuts"))
-    none = sizes.where(F.col("_n") <= chunk).select(*groups, F.array().cast("array<bigint>").alias("_cuts"))
-    return cut.select(*groups, F.coalesce("_cuts", F.array().cast("array<bigint>")).alias("_cuts")).unionByName(none)
+    at = F.percentile_approx(order, ranks, 10 * pieces)
+    none = F.array().cast("array<bigint>")
+    cut = (_lookup(keys, groups, large, "_n").groupBy(*groups)
+           .agg(F.coalesce(at, none).alias("_at"), F.count(F.lit(1)).alias("_n")))
+    # As many of them, evenly, as the group needs for pieces of a chunk.
+    wanted = F.least(F.ceil(F.col("_n") / chunk), F.lit(pieces)).cast("bigint")
+    nth = lambda i: F.get("_at", F.floor(i * F.lit(pieces) / wanted).cast("int") - 1)
+    some = F.array_distinct(F.transform(F.sequence(F.lit(1).cast("bigint"), wanted - 1), nth))
+    cut = cut.select(*groups, F.when(F.size("_at") == 0, none).otherwise(some).alias("_cuts"))
+    return cut.unionByName(sizes.where(F.col("_n") <= chunk).select(*groups, none.alias("_cuts")))
 
 
-def _piece(order, cuts):
-    """Number of cuts below an id: first among every ``STEP``-th, then among
-    those after it."""
-    below = lambda xs: F.size(F.filter(xs, lambda c: c < order))
-    every = F.filter(cuts, lambda _, i: i % STEP == STEP - 1)
-    whole = below(every) * STEP
-    return F.when(F.size(cuts) == 0, 0).otherwise(whole + below(F.slice(cuts, whole + 1, F.lit(STEP))))
+def _piece(order, cuts, pieces: int):
+    """Number of cuts (fewer than ``pieces``) below an id, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((pieces - 1).bit_length()))])
+    further = lambda at, step: (at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1) < order)
+    return F.when(F.size(cuts) == 0, 0).otherwise(F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at)))
 
 
 def rank_within(df: DataFrame, group_cols: list[str], order_col: str,
@@ -64,7 +70,7 @@ def rank_within(df: DataFrame, group_cols: list[str], order_col: str,
     part = [*group_cols, *extra]
     cuts = _cuts(rows.select(*part, "_order"), part, "_order", chunk, pieces)
     placed = _lookup(rows, part, cuts, "_cuts").withColumn(
-        "_piece", F.coalesce(_piece(F.col("_order"), F.col("_cuts")), F.lit(0))).drop("_cuts")
+        "_piece", F.coalesce(_piece(F.col("_order"), F.col("_cuts"), pieces), F.lit(0))).drop("_cuts")
     local = placed.withColumn("_local", F.row_number().over(
         Window.partitionBy(*part, "_piece").orderBy("_order")) - 1)
     counts = placed.groupBy(*part, "_piece").agg(F.count(F.lit(1)).alias("_n"))

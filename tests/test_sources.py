@@ -233,6 +233,17 @@ def test_rank_within_cuts_follow_the_data(spark):
     assert got.select("g", "o", "rank").exceptAll(ref).count() == 0 and got.count() == df.count()
 
 
+def test_rank_within_cuts_a_group_by_its_size(spark):
+    """A group has a cut for every chunk, not all that ``pieces`` allow."""
+    from docket.operators import ranking
+    df = spark.range(0, 6000).select(F.when(F.col("id") < 450, 0).otherwise(1).alias("g"), F.col("id").alias("o"))
+    held = {r.g: r._cuts for r in ranking._cuts(df, ["g"], "o", chunk=100, pieces=1024).collect()}
+    assert len(held[0]) == 4 and len(held[1]) == 55
+    got = rank_within(df, ["g"], "o", chunk=100)
+    assert got.where(F.col("rank") != F.col("o") - F.when(F.col("g") == 0, 0).otherwise(450)).count() == 0
+    assert got.count() == 6000
+
+
 def test_rank_within_matches_row_number(spark):
     df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 5003).alias("o"))
     ours = rank_within(df, ["g"], "o", chunk=64).select("g", "o", "rank")
