@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, TriageConfig, UNDECIDED
 from ..functions.text import fingerprint
-from .nearcopy import _cut, near_copy_labels
+from .nearcopy import _cut, _dealt, near_copy_labels
 
 _FP = "_fp"
 
@@ -122,7 +122,7 @@ def label_similar_with_rejects(df: DataFrame, cfg: TriageConfig = DEFAULT):
         .cast("bigint").alias("similar"))
     left = facts.where((F.col("noccur") > 1) & (F.col("n_exact") == 1)).select(d, r, "noccur")
     residue = kept.select(d, k_, r, t).join(left.select(d, r), [d, r], "left_semi")
-    near = near_copy_labels(residue, cfg).join(left, [d, r]).select(*decided.columns)
+    near = near_copy_labels(residue, cfg).join(_dealt(left), [d, r]).select(*decided.columns)
     return kept.join(decided.unionByName(near), [d, r]).select(*cols, "noccur", "similar"), rejected
 
 

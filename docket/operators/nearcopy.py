@@ -81,6 +81,12 @@ def spread(df: DataFrame, col: str) -> DataFrame:
     return df.repartition(col)
 
 
+def _dealt(side: DataFrame) -> DataFrame:
+    """A side of a join on row ids, which grows with the rows: dealt by id like
+    the other side, so that no copy of it goes through the driver."""
+    return side.hint("merge")
+
+
 def _union_all(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts, empty)
 
@@ -344,7 +350,7 @@ def leader_clusters(rows: DataFrame, texts: DataFrame, cfg: TriageConfig) -> Dat
             chosen = chosen.join(_leading_heads(heads, edges, g, r), g, "left").where(leading)
         decided = _cut_answers(chosen.groupBy(d, r).agg(F.min("_h").alias("similar")))
         out = _add(out, decided)
-        work = _cut(work.join(decided.select(d, r), [d, r], "left_anti"))
+        work = _cut(work.join(_dealt(decided.select(d, r)), [d, r], "left_anti"))
         rnd += 1
     return _union_all(out[1:], out[0])
 
@@ -358,7 +364,7 @@ def near_copy_labels(residue: DataFrame, cfg: TriageConfig) -> DataFrame:
     # k leads its case; rows it already claimed skip the leader rounds.
     k_rows = ks.select(d, F.col("k").alias(r), F.col("k").alias("similar"))
     late = (with_k.where(F.col("k").isNotNull() & (F.col(r) > F.col("k"))).drop("k")
-            .join(k_edges.select(d, r), [d, r], "left_anti"))
+            .join(_dealt(k_edges.select(d, r)), [d, r], "left_anti"))
     early = with_k.where(F.col("k").isNull() | (F.col(r) < F.col("k"))).select(d, k_, r)
     # A case with exactly one undecided row promotes it.
     n_early = early.groupBy(d, k_).agg(F.count(F.lit(1)).alias("_n_early"))

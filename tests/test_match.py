@@ -245,3 +245,17 @@ def test_stored_judge_tries_failures_again_and_keeps_a_budget(spark, tmp_path):
     short = match.StoredJudge(match.CallableJudge(agrees), str(tmp_path / "other"), budget=1)
     asked = match.asked_questions(prev.limit(1), cur, short).collect()
     assert short.calls == 1 and sorted(r.error or "" for r in asked) == [""] * 5 + ["budget"] * 5
+
+
+def test_rows_that_grow_are_not_broadcast(spark):
+    """Matching by stored answers joins rows on their ids dealt by id: no copy of
+    a day goes through the driver, even where it would be small enough."""
+    prev, cur = _days(spark)
+    judge = match.TableJudge(_verdicts(spark, [(0, 1, YES), (0, 2, YES), (1, 1, YES), (2, 3, YES)]))
+    out = match.match_days(prev, cur, judge).select("row_id", "match_row")
+    assert {r.row_id: r.match_row for r in out.collect()} == {0: 4, 1: 3, 2: -1, 3: -1}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "cur_id" + "#" in line or
+             "BroadcastHashJoin" in line and "row_id#" in line.split("Build")[0]]
+    assert not joins
